@@ -544,3 +544,33 @@ ORACLE |= {
     ),
     "output_manifest": recursive(on_report("select * from manifest", BY_LEVEL_CSV, MANIFEST)),
 }
+
+RUN_ENTRIES = """
+kept as (select * from entries where entry_time >= timestamp '2024-01-05 06:00:00'
+  and upper(level) in ('ERROR', 'WARN', 'INFO')),
+counts as (
+  select level, count(*) as n, min(struct_pack(f := filename, l := line_num)) as first_seen
+  from kept group by level)"""
+RUN_MANIFEST = f"""
+parts as (select distinct level, part_no, n_parts, 'report_' || level || {PART_NAME} || '.md' as file from parted),
+manifest as (
+  select 0 as ordinal, '' as level, 0 as part_no, 'report_summary.md' as file
+  union all
+  select row_number() over (order by first_seen, part_no), level, part_no, file
+  from parts join counts using (level))"""
+ORACLE["run_analysis"] = recursive(
+    sql(
+        """select m.*, (select cast(sum(n) as bigint) from counts) as total_logs,
+             (select count(*) from groups) as matched_groups,
+             (select cast(sum("count") as bigint) from groups) as matched_occurrences
+           from manifest m""",
+        headers(),
+        ASSIGNED,
+        ENTRIES,
+        RUN_ENTRIES,
+        groups("kept"),
+        TEXTS,
+        packed("level", f"strlen({LEVEL_MD_HEAD}) + 1", MD_SIZE, SPLIT),
+        RUN_MANIFEST,
+    )
+)

@@ -28,6 +28,7 @@ GROUP_FIELDS = [
     "message_body",
     "stacktrace",
 ]
+CHUNK = ["batch", "chunk_file", "chunk_no"]
 MAX_LINES_PER_RECORD = 100_000
 
 
@@ -103,7 +104,10 @@ def line_records(chunks: DataFrame, max_lines: int = MAX_LINES_PER_RECORD) -> Da
     The chunks of larger groups are records of their own, so that no record
     grows with the data. ``record`` orders the records of a group.
     """
-    chunk = F.struct("batch", "chunk_file", "chunk_no")
+    chunk = F.struct(*CHUNK)
+    whole_group = F.struct(
+        F.lit(0).alias("batch"), F.lit("").alias("chunk_file"), F.lit(-1).cast("bigint").alias("chunk_no")
+    )
     large = (
         chunks.groupBy("gid")
         .agg(F.sum(F.size("lines")).alias("_n"))
@@ -112,8 +116,8 @@ def line_records(chunks: DataFrame, max_lines: int = MAX_LINES_PER_RECORD) -> Da
     )
     return (
         chunks.join(large, "gid", "left")
-        .groupBy("gid", F.when(F.col("_large"), chunk).alias("record"))
-        .agg(F.sort_array(F.collect_list(F.struct(*chunk_columns(), "lines"))).alias("_chunks"))
+        .groupBy("gid", F.when(F.col("_large"), chunk).otherwise(whole_group).alias("record"))
+        .agg(F.sort_array(F.collect_list(F.struct(*CHUNK, "lines"))).alias("_chunks"))
         .select(
             "gid",
             "record",
@@ -122,10 +126,6 @@ def line_records(chunks: DataFrame, max_lines: int = MAX_LINES_PER_RECORD) -> Da
     )
 
 
-def chunk_columns() -> list[str]:
-    return ["batch", "chunk_file", "chunk_no"]
-
-
 def with_line_numbers(groups: DataFrame, records: DataFrame) -> DataFrame:
     """Groups with all fields; a group above the record limit has several rows."""
     return groups.join(records, "gid").select("gid", *GROUP_FIELDS, "first_line", "record")

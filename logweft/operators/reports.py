@@ -44,6 +44,7 @@ MD_FILE = "- **來源檔案**"
 MD_BODY_TITLE = "#### 延伸訊息:"
 MD_TRACE_TITLE = "#### 內容/堆疊追蹤 (含原始行號):"
 MD_NO_MATCH = "無符合條件的記錄"
+REPORT_KEY = ["gid", "record"]
 LINE_END = {"csv": "\r\n", "json": "\n", "md": "\n"}
 JSON_ESCAPES = {"\\": "\\\\", '"': '\\"', "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
 
@@ -209,32 +210,34 @@ def report_units(counts: DataFrame, options: ReportOptions, by_level: bool) -> D
 # --- the report --------------------------------------------------------------------
 
 
-def report_rows(groups: DataFrame, options: ReportOptions, by_level: bool) -> DataFrame:
-    """Groups in report order with their text, size and position, to be staged."""
+def report_sizes(records: DataFrame, options: ReportOptions, by_level: bool) -> DataFrame:
+    """Every group's place in report order and rendered size, without its text."""
     fmt = options.fmt
-    order = [F.col("unit"), *report_order(options.sort_by), F.col("record")]
-    text = row_text(fmt, F.lit(""))
+    order = ["unit", *report_order(options.sort_by), "record"]
     line_end = 0 if fmt == "json" else len(LINE_END[fmt])
+    size = rendered_size(row_text(fmt, F.lit("")), fmt) + line_end
     return (
-        groups.withColumn("unit", F.col("level") if by_level else F.lit(""))
-        .orderBy(*order)
-        .select(
-            "unit",
-            F.monotonically_increasing_id().alias("pos"),
-            (rendered_size(text, fmt) + line_end).cast("bigint").alias("size"),
-            text.alias("text"),
+        records.select(
+            (F.col("level") if by_level else F.lit("")).alias("unit"),
+            *REPORT_KEY,
+            "level",
+            "timestamp",
+            "filename",
+            "first_line",
+            size.cast("bigint").alias("size"),
         )
+        .orderBy(*order)
+        .select("unit", F.monotonically_increasing_id().alias("pos"), *REPORT_KEY, "size")
     )
 
 
-def assign_parts(rows: DataFrame, units: DataFrame, options: ReportOptions) -> DataFrame:
-    """Rows with their part and their index in it."""
-    sizes = rows.select("unit", "pos", "size").join(units.select("unit", "opening"), "unit")
+def assign_parts(sizes: DataFrame, units: DataFrame, options: ReportOptions) -> DataFrame:
+    """The part every group belongs to, and its index in that part."""
     fmt = options.fmt
-    parts = pack_parts(
-        sizes, options.max_bytes, JSON_SEPARATOR if fmt == "json" else 0, fmt == "md", options.chunk_rows
-    )
-    return rows.join(parts, ["unit", "pos"])
+    separator = JSON_SEPARATOR if fmt == "json" else 0
+    measured = sizes.join(units.select("unit", "opening"), "unit").drop(*REPORT_KEY)
+    parts = pack_parts(measured, options.max_bytes, separator, fmt == "md", options.chunk_rows)
+    return sizes.join(parts, ["unit", "pos"]).select("unit", "part_no", "idx", *REPORT_KEY)
 
 
 def report_files(placed: DataFrame, units: DataFrame, options: ReportOptions) -> DataFrame:
@@ -325,15 +328,16 @@ def summary_lines(
     return lines.withColumn("file", F.lit(f"{options.stem}_summary{options.extension}"))
 
 
-def report_lines(placed: DataFrame, files: DataFrame, options: ReportOptions) -> DataFrame:
+def report_lines(
+    records: DataFrame, placed: DataFrame, files: DataFrame, options: ReportOptions
+) -> DataFrame:
     """Every report file as rows of text: its header, its groups, its end."""
     fmt = options.fmt
-    text = F.col("text")
-    if fmt == "md":
-        text = F.concat(F.lit("### "), F.col("idx").cast("string"), F.substr("text", F.lit(5)))
-    elif fmt == "json":
-        text = F.concat("text", F.when(F.col("idx") < F.col("n_rows"), ",").otherwise(""))
-    rows = placed.join(files.select("unit", "part_no", "file", "n_rows"), ["unit", "part_no"]).select(
+    text = row_text(fmt, F.col("idx").cast("string"))
+    if fmt == "json":
+        text = F.concat(text, F.when(F.col("idx") < F.col("n_rows"), ",").otherwise(""))
+    named = placed.join(files.select("unit", "part_no", "file", "n_rows"), ["unit", "part_no"])
+    rows = records.join(named, REPORT_KEY).select(
         "file", F.lit(1).alias("section"), F.col("idx").alias("pos"), text.alias("text")
     )
     heads = files.select("file", F.lit(0).alias("section"), F.lit(0).alias("pos"), F.col("head").alias("text"))
@@ -377,30 +381,32 @@ class Report:
 
 
 def build_report(
-    staging: Staging, groups: DataFrame, counts: DataFrame, options: ReportOptions, folder: str = ""
+    staging: Staging, records: DataFrame, counts: DataFrame, options: ReportOptions, folder: str = ""
 ) -> Report:
     """All lines of all files of a report, and the list of the files.
 
-    ``groups`` has line numbers (``groups.with_line_numbers``), ``counts`` comes
-    from ``groups.level_counts``.
+    ``records`` are groups with line numbers (``groups.with_line_numbers``),
+    ``counts`` comes from ``groups.level_counts``; both are read more than once
+    and should be staged. Only sizes are sorted and packed; the texts move to
+    their file when they are written, and not before.
     """
     by_level = options.split_by_level and counts.where("n > 0").count() > 1
     units = report_units(counts, options, by_level)
-    rows = staging.write(report_rows(groups, options, by_level), f"rows-{options.fmt}")
-    placed = staging.write(assign_parts(rows, units, options), f"placed-{options.fmt}")
+    sizes = staging.write(report_sizes(records, options, by_level), f"sizes-{options.fmt}")
+    placed = staging.write(assign_parts(sizes, units, options), f"placed-{options.fmt}")
     files = staging.write(report_files(placed, units, options), f"files-{options.fmt}")
     with_summary = by_level or files.count() > 1
     manifest = output_manifest(files, options, with_summary)
-    lines = report_lines(placed, files, options)
+    lines = report_lines(records, placed, files, options)
     if with_summary:
         lines = lines.unionByName(summary_lines(counts, manifest, options, folder))
     return Report(lines, manifest)
 
 
 def write_report(
-    staging: Staging, groups: DataFrame, counts: DataFrame, folder: str, options: ReportOptions
+    staging: Staging, records: DataFrame, counts: DataFrame, folder: str, options: ReportOptions
 ) -> DataFrame:
     """Write a report and return the list of its files."""
-    report = build_report(staging, groups, counts, options, folder)
+    report = build_report(staging, records, counts, options, folder)
     write_lines(report.lines, folder, options.fmt)
     return staging.write(report.manifest, f"manifest-{options.fmt}")

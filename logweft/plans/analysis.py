@@ -153,7 +153,6 @@ def run(staging: Staging, options: RunOptions) -> RunResult:
     total = analysis.totals().first()
     if total["matched_groups"] == 0:
         raise ValueError("no log entry fits: check the directory, the keyword and the data")
-    files = write_report(
-        staging, analysis.records(), analysis.counts, options.folder, options.report()
-    )
+    records = staging.write(analysis.records(), "records")
+    files = write_report(staging, records, analysis.counts, options.folder, options.report())
     return RunResult(options, analysis, files, *total)

@@ -30,9 +30,11 @@ class Staging:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/logweft-{uuid.uuid4().hex}"
+        self._written = 0
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.folder}/{name}"
+        self._written += 1
+        path = f"{self.folder}/{self._written:03d}-{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
