@@ -146,7 +146,7 @@ def derive_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(key % 3 == 0, "Logback-").otherwise("logback-"), F.lpad(key.cast("string"), 9, "0"),
             F.when(key % 5 == 0, ".XML").when(key % 7 == 0, ".txt").otherwise(".xml"),
         ).alias("config"),
-        F.concat(
+        F.encode(F.concat(
             F.lit('<configuration><property name="FILE_LOG_PATTERN" value="'), F.col("c_mktsegment"),
             F.lit(' %m%n"/><property name="APP" value="%x"/><property name="x_pattern" value="none"/>'
                   '<appender name="'), F.col("c_name"),
@@ -154,5 +154,5 @@ def derive_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("<appender name='copy'><encoder><pattern>"), layout,
             F.lit("</pattern></encoder></appender><pattern><![CDATA[%m "),
             F.col("c_nationkey").cast("string"), F.lit("]]></pattern></configuration>"),
-        ).alias("xml"),
+        ), "utf-8").alias("xml"),
     )

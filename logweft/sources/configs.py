@@ -21,7 +21,7 @@ def is_config_name(name: Column) -> Column:
 
 
 def discover_configs(spark: SparkSession, directory: str) -> DataFrame:
-    """The configuration files beside the logs, whole: ``config, xml``."""
+    """The configuration files beside the logs, whole: ``config, xml`` (bytes)."""
     return _whole_files(spark.read.option("pathGlobFilter", CONFIG_GLOB), directory)
 
 
@@ -30,9 +30,10 @@ def read_config(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _whole_files(reader, path: str) -> DataFrame:
-    return reader.option("wholetext", True).text(path).select(
-        F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))).alias("config"),
-        F.col("value").alias("xml"),
+    # Binary, since a file may declare its own encoding.
+    name = F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))
+    return reader.format("binaryFile").load(path).select(
+        F.url_decode(name).alias("config"), F.col("content").alias("xml")
     )
 
 
@@ -40,7 +41,7 @@ def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
-def _patterns(xml: str) -> Iterator[tuple[str, str, str]]:
+def _patterns(xml: bytes) -> Iterator[tuple[str, str, str]]:
     """Name, pattern and source of every candidate, in document order.
 
     A property is one if its name speaks of a pattern and its value holds a
@@ -50,7 +51,7 @@ def _patterns(xml: str) -> Iterator[tuple[str, str, str]]:
     appenders: list[str] = []
     found: dict[int, tuple[str, str, str]] = {}
     opened: dict[ET.Element, int] = {}
-    for event, element in ET.iterparse(io.BytesIO(xml.encode()), events=("start", "end")):
+    for event, element in ET.iterparse(io.BytesIO(xml), events=("start", "end")):
         tag = _local(element.tag)
         if event == "start":
             opened[element] = len(opened)
