@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from checks.derived import derive_configs, log_dir, log_lines, table
 from logweft.functions import levels, text, times
-from logweft.functions.layout import Layout, compile_layout
+from logweft.functions.layout import Layout, compile_layout, is_header
 from logweft.operators import entries as E
 from logweft.operators import filters, layouts, reports, summaries
 from logweft.operators import groups as G
@@ -92,7 +92,8 @@ def _report(spark, sf_dir, **options) -> reports.Report:
 
 @query
 def scan_log_dir(spark, sf_dir):
-    return logs.scan_log_dir(spark, log_dir(spark, sf_dir)).select("filename", "value")
+    scanned = logs.scan_log_dir(spark, log_dir(spark, sf_dir))
+    return scanned.select(logs.log_name(F.col("path")).alias("filename"), "value")
 
 
 @query
@@ -133,27 +134,29 @@ def discover_layout_configs(spark, sf_dir):
 # --- headers -------------------------------------------------------------------------
 
 
+def _parsed(spark, sf_dir, layout: Layout = DEFAULT) -> DataFrame:
+    return log_lines(spark, sf_dir).withColumn("parsed", layout.parse(F.col("value")))
+
+
 @query
 def parse_header_default(spark, sf_dir):
-    value = F.col("value")
-    fields = {name: F.nullif(column, F.lit("")) for name, column in DEFAULT.fields(value).items()}
-    lines = log_lines(spark, sf_dir)
-    return lines.select("filename", "line_num", DEFAULT.matches(value).alias("is_header")).join(
-        lines.where(DEFAULT.matches(value)).withColumns(fields).drop("value"), ["filename", "line_num"], "left"
-    )
+    header = F.when(is_header(F.col("parsed")), F.col("parsed"))
+    fields = {name: F.nullif(field, F.lit("")) for name, field in DEFAULT.fields(header).items()}
+    lines = _parsed(spark, sf_dir).withColumn("is_header", is_header(F.col("parsed")))
+    return lines.withColumns(fields).drop("value", "parsed")
 
 
 @query
 def parse_header_custom(spark, sf_dir):
     layout = compile_layout(CUSTOM_LAYOUT)
-    lines = log_lines(spark, sf_dir).where(layout.matches(F.col("value")))
-    return lines.withColumns(layout.fields(F.col("value"))).drop("value")
+    headers = _parsed(spark, sf_dir, layout).where(is_header(F.col("parsed")))
+    return headers.withColumns(layout.fields(F.col("parsed"))).drop("value", "parsed")
 
 
 @query
 def extract_fields(spark, sf_dir):
-    lines = log_lines(spark, sf_dir).where(DEFAULT.matches(F.col("value")))
-    return lines.withColumns(DEFAULT.fields(F.col("value"))).drop("value")
+    headers = _parsed(spark, sf_dir).where(is_header(F.col("parsed")))
+    return headers.withColumns(DEFAULT.fields(F.col("parsed"))).drop("value", "parsed")
 
 
 # --- entries -------------------------------------------------------------------------
@@ -161,13 +164,15 @@ def extract_fields(spark, sf_dir):
 
 @query
 def assign_entries(spark, sf_dir):
-    return _assigned(spark, sf_dir).select("filename", "line_num", "entry_line", "is_header")
+    opens = F.col("header").isNotNull().alias("is_header")
+    return _assigned(spark, sf_dir).select("filename", "line_num", "entry_line", opens)
 
 
 @query
 def drop_orphans(spark, sf_dir):
     selection = Selection(start=START, end=END)
-    return _assigned(spark, sf_dir, selection).select("filename", "line_num", "value")
+    kept = _assigned(spark, sf_dir, selection).select("filename", "line_num")
+    return kept.join(log_lines(spark, sf_dir), ["filename", "line_num"])
 
 
 @query
@@ -202,8 +207,8 @@ def filter_time_range(spark, sf_dir):
 
 @query
 def drop_bad_timestamps(spark, sf_dir):
-    lines = log_lines(spark, sf_dir).where(DEFAULT.matches(F.col("value")))
-    return filters.drop_bad_timestamps(lines.withColumns(DEFAULT.fields(F.col("value")))).select(*_PLACE)
+    headers = _parsed(spark, sf_dir).where(is_header(F.col("parsed")))
+    return filters.drop_bad_timestamps(headers.withColumns(DEFAULT.fields(F.col("parsed")))).select(*_PLACE)
 
 
 @query

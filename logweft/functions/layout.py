@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from logweft.functions.text import DIGIT, NONSPACE, SPACE, WORD
 
 FIELDS = ("timestamp", "thread", "level", "logger", "message")
+SEPARATOR = "\x01"
 
 # The built-in layout, the conversion words and what they match.
 DEFAULT_LAYOUT = "%d{yyyy-MM-dd HH:mm:ss.SSS} [%thread] %-5level %logger{36} - %msg%n"
@@ -76,11 +77,28 @@ class Layout:
     def matches(self, line: Column) -> Column:
         return _with_newline(line).rlike(self.regex)
 
-    def field(self, line: Column, name: str) -> Column:
-        return F.regexp_extract(_with_newline(line), self.regex, self.groups[name])
+    def parse(self, line: Column) -> Column:
+        """The fields of a header as an array, from one pass of the regex.
 
-    def fields(self, line: Column) -> dict[str, Column]:
-        return {name: self.field(line, name) for name in FIELDS}
+        A line that is no header gives an array of another size. Lines that
+        contain the separator themselves take the slower way, group by group.
+        """
+        text, groups = _with_newline(line), range(1, len(FIELDS) + 1)
+        joined = SEPARATOR.join(f"${group}" for group in groups)
+        quick = F.split(F.regexp_replace(text, self.regex + "\n?", joined), SEPARATOR)
+        slow = F.array(*[F.regexp_extract(text, self.regex, group) for group in groups])
+        careful = F.when(text.rlike(self.regex), slow).otherwise(F.array(F.lit("")))
+        return F.when(line.contains(SEPARATOR), careful).otherwise(quick)
+
+    def field(self, parsed: Column, name: str) -> Column:
+        return F.get(parsed, F.lit(self.groups[name] - 1))
+
+    def fields(self, parsed: Column) -> dict[str, Column]:
+        return {name: self.field(parsed, name) for name in FIELDS}
+
+
+def is_header(parsed: Column) -> Column:
+    return F.size(parsed) == len(FIELDS)
 
 
 def _with_newline(line: Column) -> Column:

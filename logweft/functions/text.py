@@ -10,9 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters that count as blank, word, digit and line break.
-BLANK = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-SPACE = f"[{BLANK}]"
-NONSPACE = f"[^{BLANK}]"
+# ASCII comes first and the rest sits behind one range test, which keeps matching fast.
+_ASCII_BLANK = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20"
+_OTHER_BLANK = r"\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE = rf"[{_ASCII_BLANK}[\x{{85}}-\x{{3000}}&&[{_OTHER_BLANK}]]]"
+NONSPACE = rf"[^{_ASCII_BLANK}[\x{{85}}-\x{{3000}}&&[{_OTHER_BLANK}]]]"
 WORD = r"[\p{L}\p{N}_]"
 DIGIT = r"\p{Nd}"
 LINE_BREAK = r"\r\n|[\n-\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"

@@ -13,31 +13,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweft.functions.layout import Layout
+from logweft.functions.layout import Layout, is_header
 from logweft.functions.text import starts_trace, strip
 from logweft.functions.times import entry_time
 from logweft.operators.filters import Selection, header_selected
+from logweft.sources.logs import block_columns, log_name
 from logweft.staging import Staging
 
-BLOCK = ["filename", "path", "start"]
 # A block table of up to this many rows (about 100 bytes each) is broadcast.
 BROADCAST_BLOCKS = 1_000_000
 
 
 def block_table(scanned: DataFrame, layout: Layout) -> DataFrame:
     """One row per block: line offset, first header, owner of the lines before it."""
+    block = block_columns(scanned)
     header_pos = F.when(layout.matches(F.col("value")), F.col("pos"))
-    in_file = Window.partitionBy("filename").orderBy("path", "start")
+    found = scanned.groupBy(*block).agg(
+        F.min("pos").alias("first_pos"),
+        F.count("*").alias("n_lines"),
+        F.min(header_pos).alias("first_header"),
+    )
+    if "filename" not in block:
+        found = found.withColumn("filename", log_name(F.col("path")))
+    order = [name for name in block if name != "filename"]
+    in_file = Window.partitionBy("filename").orderBy(*order)
     earlier = in_file.rowsBetween(Window.unboundedPreceding, -1)
     with_header = F.when(F.col("first_header").isNotNull(), F.col("block"))
     return (
-        scanned.groupBy(*BLOCK)
-        .agg(
-            F.min("pos").alias("first_pos"),
-            F.count("*").alias("n_lines"),
-            F.min(header_pos).alias("first_header"),
-        )
-        .withColumn("block", F.row_number().over(in_file))
+        found.withColumn("block", F.row_number().over(in_file))
         .withColumn("line_offset", F.coalesce(F.sum("n_lines").over(earlier), F.lit(0)))
         .withColumn("owner", F.last(with_header, ignorenulls=True).over(earlier))
     )
@@ -51,7 +54,7 @@ def staged_block_table(staging: Staging, scanned: DataFrame, layout: Layout) ->
 
 def number_lines(scanned: DataFrame, blocks: DataFrame) -> DataFrame:
     """Number the lines of every file from 1 without sorting them."""
-    return scanned.join(blocks, BLOCK, "left").select(
+    return scanned.join(blocks, block_columns(scanned), "left").select(
         "filename", line_number(scanned).alias("line_num"), "value"
     )
 
@@ -75,15 +78,14 @@ def assign_entries(
     whose header the selection rejects. What can be told from the header is
     decided here, before any text is moved for it.
     """
-    value = F.col("value")
-    is_header = layout.matches(value)
-    header_line = F.when(
+    value, parsed = F.col("value"), F.col("parsed")
+    opened = F.when(
         F.col("is_header"), F.when(F.col("selected"), F.col("line_num")).otherwise(F.lit(-1))
     )
     in_block = Window.partitionBy("filename", "owner").orderBy("line_num")
     up_to_here = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        scanned.join(blocks, BLOCK, "left")
+        scanned.join(blocks, block_columns(scanned), "left")
         .select(
             "filename",
             F.when(F.col("pos") >= F.col("first_header"), F.col("block"))
@@ -91,17 +93,17 @@ def assign_entries(
             .alias("owner"),
             line_number(scanned).alias("line_num"),
             value,
-            is_header.alias("is_header"),
+            layout.parse(value).alias("parsed"),
         )
         .where(F.col("owner").isNotNull())
-        .withColumn(
-            "selected",
-            F.col("is_header") & F.coalesce(header_selected(layout, value, selection), F.lit(False)),
-        )
-        .withColumn("value", F.when(~F.col("is_header") | F.col("selected"), value))
-        .withColumn("entry_line", F.last(header_line, ignorenulls=True).over(up_to_here))
+        .withColumn("is_header", is_header(parsed))
+        .withColumn("selected", F.col("is_header") & header_selected(layout, parsed, selection))
+        # A header moves as its fields, a rejected one as a mere mark.
+        .withColumn("header", F.when(F.col("selected"), parsed))
+        .withColumn("value", F.when(~F.col("is_header"), value))
+        .withColumn("entry_line", F.last(opened, ignorenulls=True).over(up_to_here))
         .where(F.col("entry_line") > 0)
-        .select("filename", "owner", "entry_line", "line_num", "is_header", "value")
+        .select("filename", "owner", "entry_line", "line_num", "header", "value")
     )
 
 
@@ -112,9 +114,9 @@ def gather(assigned: DataFrame) -> DataFrame:
     trace if it or an earlier line of the entry starts one, so the smallest such
     line number is all there is to know.
     """
-    continued = ~F.col("is_header")
+    continued = F.col("header").isNull()
     return assigned.groupBy("filename", "owner", "entry_line").agg(
-        F.max(F.when(F.col("is_header"), F.col("value"))).alias("header"),
+        F.first("header", ignorenulls=True).alias("header"),
         F.min(F.when(continued & starts_trace(F.col("value")), F.col("line_num"))).alias("trace_from"),
         F.sort_array(F.collect_list(F.when(continued, F.struct("line_num", "value")))).alias("rest"),
     )
@@ -183,9 +185,10 @@ def build_entries(gathered: DataFrame, layout: Layout) -> DataFrame:
 
 def header_entries(scanned: DataFrame, layout: Layout, selection: Selection = Selection()) -> DataFrame:
     """The selected headers alone, for what needs no continuation line: no shuffle."""
-    value = F.col("value")
+    parsed = F.col("parsed")
     return (
-        scanned.where(layout.matches(value) & header_selected(layout, value, selection))
-        .withColumns(layout.fields(value))
-        .drop("value")
+        scanned.withColumn("parsed", layout.parse(F.col("value")))
+        .where(is_header(parsed) & header_selected(layout, parsed, selection))
+        .withColumns(layout.fields(parsed))
+        .drop("value", "parsed")
     )

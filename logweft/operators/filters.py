@@ -24,12 +24,12 @@ class Selection:
     ignore_case: bool = False
 
 
-def header_selected(layout: Layout, header: Column, selection: Selection) -> Column:
+def header_selected(layout: Layout, parsed: Column, selection: Selection) -> Column:
     """What the header alone decides: a real date, the time range, the level."""
-    moment = entry_time(layout.field(header, "timestamp"))
+    moment = entry_time(layout.field(parsed, "timestamp"))
     chosen = in_range(moment, selection.start, selection.end)
     if selection.levels is not None:
-        chosen = chosen & level_selected(layout.field(header, "level"), selection.levels)
+        chosen = chosen & level_selected(layout.field(parsed, "level"), selection.levels)
     return chosen
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweft.functions.levels import level_rank
-from logweft.sources.logs import LINES_PER_BLOCK
+from logweft.sources.logs import LINES_PER_BLOCK, block_columns, log_name
 
 GROUP_KEY = ["level", "logger", "message", "message_body", "stacktrace"]
 GROUP_FIELDS = [
@@ -44,15 +44,17 @@ def with_group_id(entries: DataFrame) -> DataFrame:
 
 def level_counts(entries: DataFrame) -> DataFrame:
     """Entries per level as written, and where each level was met first."""
-    *place, line = [c for c in ("filename", "path", "start", "pos") if c in entries.columns]
-    if not place:
+    if "pos" in entries.columns:
+        place, line = block_columns(entries), "pos"
+    else:
         place, line = ["filename"], "line_num"
     # Counting per place first keeps the large aggregation on plain numbers.
-    return (
-        entries.groupBy("level", *place)
-        .agg(F.count("*").alias("n"), F.min(line).alias("line"))
-        .groupBy("level")
-        .agg(F.sum("n").alias("n"), F.min(F.struct(*place, "line")).alias("first_seen"))
+    counted = entries.groupBy("level", *place).agg(F.count("*").alias("n"), F.min(line).alias("line"))
+    if "filename" not in place:
+        counted = counted.withColumn("filename", log_name(F.col("path")))
+        place = ["filename", *place]
+    return counted.groupBy("level").agg(
+        F.sum("n").alias("n"), F.min(F.struct(*place, "line")).alias("first_seen")
     )
 
 

@@ -13,8 +13,13 @@ from logweft.functions.text import is_blank, lenient_utf8
 LINES_PER_BLOCK = 65_536
 
 
-def _decoded(name: Column) -> Column:
-    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+def log_name(path: Column) -> Column:
+    """The log a path belongs to: the file, or the ``.log`` folder it is a part of."""
+    name = F.substring_index(path, "/", -1)
+    folder = F.substring_index(F.substring_index(F.substring_index(path, "/", -2), "/", 1), "=", -1)
+    chosen = F.when(name.endswith(".log"), name).otherwise(folder)
+    decoded = F.url_decode(F.replace(chosen, F.lit("+"), F.lit("%2B")))
+    return F.when(chosen.contains("%"), decoded).otherwise(chosen)
 
 
 def scan_log_dir(spark: SparkSession, directory: str) -> DataFrame:
@@ -33,11 +38,8 @@ def scan_log_dir(spark: SparkSession, directory: str) -> DataFrame:
             raise
         # No such log: an empty result, or an error when the directory is missing.
         text = spark.read.option("pathGlobFilter", "*.log").text(directory)
-    path, name = F.col("_metadata.file_path"), F.col("_metadata.file_name")
-    folder = F.regexp_extract(path, r"([^/=]*)/[^/]*$", 1)
     return text.select(
-        _decoded(F.when(name.endswith(".log"), name).otherwise(folder)).alias("filename"),
-        path.alias("path"),
+        F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("start"),
         F.monotonically_increasing_id().alias("pos"),
         lenient_utf8(F.col("value")).alias("value"),
@@ -48,7 +50,6 @@ def as_scan(lines: DataFrame) -> DataFrame:
     """Lines that are numbered already, cut into blocks of bounded size."""
     return lines.select(
         "filename",
-        F.lit("").alias("path"),
         F.floor(F.col("line_num") / LINES_PER_BLOCK).alias("start"),
         F.col("line_num").alias("pos"),
         "line_num",
@@ -56,7 +57,14 @@ def as_scan(lines: DataFrame) -> DataFrame:
     )
 
 
+def block_columns(scanned: DataFrame) -> list[str]:
+    """The columns that name a block: ``path, start`` or ``filename, start``."""
+    return [name for name in ("filename", "path", "start") if name in scanned.columns]
+
+
 def sample_lines(lines: DataFrame, limit: int = 50) -> DataFrame:
     """The first non-blank lines over the files in name order (a top-k)."""
-    order = [name for name in ("filename", "path", "start", "pos", "line_num") if name in lines.columns]
+    if "filename" not in lines.columns:
+        lines = lines.withColumn("filename", log_name(F.col("path")))
+    order = [c for c in ("filename", "path", "start", "pos", "line_num") if c in lines.columns]
     return lines.where(~is_blank(F.col("value"))).orderBy(*order).limit(limit)

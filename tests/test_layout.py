@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from logweft.functions.layout import DEFAULT_LAYOUT, UnsupportedLayoutError, compile_layout
+from logweft.functions.layout import DEFAULT_LAYOUT, UnsupportedLayoutError, compile_layout, is_header
 
 CASES = [
     (None, "2024-03-01 08:00:00.123 [main] INFO  app.Main - up", ("2024-03-01 08:00:00.123", "main", "INFO", "app.Main", "up")),
@@ -37,6 +37,8 @@ CASES = [
         ("2024-03-01 08:00:00", "t", "info", "l.Long", "text here"),
     ),
     ("%d [%t] %p %class %pid - %m", "2024-03-01 08:00:00 [t] INFO a.C 77 - m", ("2024-03-01 08:00:00", "t", "INFO", "a.C", "m")),
+    (None, "2024-03-01 08:00:00 [a\x01b] INFO c - \x01", ("2024-03-01 08:00:00", "a\x01b", "INFO", "c", "\x01")),
+    (None, "2024-03-01 08:00:00 [] INFO  - ", ("2024-03-01 08:00:00", "", "INFO", "", "")),
 ]
 
 
@@ -47,14 +49,16 @@ def test_fields(spark, pattern, line, expected):
     row = (
         spark.createDataFrame([(line,)], "value string")
         .where(layout.matches(value))
-        .select(*[column.alias(name) for name, column in layout.fields(value).items()])
+        .select(layout.parse(value).alias("parsed"))
+        .where(is_header(F.col("parsed")))
+        .select(*[column.alias(name) for name, column in layout.fields(F.col("parsed")).items()])
         .first()
     )
     assert tuple(row) == expected
 
 
 @pytest.mark.parametrize(
-    "line, is_header",
+    "line, expected",
     [
         ("2024-03-01 08:00:00.123 [main] INFO a.B -", True),
         ("2024-03-01 08:00:00.123 [main] INFO a.B - ", True),
@@ -62,12 +66,16 @@ def test_fields(spark, pattern, line, expected):
         (" 2024-03-01 08:00:00.123 [main] INFO a.B - x", False),
         ("2024-03-01 08:00:00.1 [main] INFO a.B - x", False),
         ("2024-03-01 08:00:00.123 [m\u2028n] ÄRGER a.B -\u3000x\u2028y", True),
+        ("2024-03-01 08:00:00 [m\x01n] INFO a.B - x\x01\x01", True),
+        ("no\x01header\x01\x01\x01\x01", False),
         ("", False),
     ],
 )
-def test_header_lines(spark, line, is_header):
+def test_header_lines(spark, line, expected):
     df = spark.createDataFrame([(line,)], "value string")
-    assert df.select(compile_layout("  ").matches(F.col("value"))).first()[0] is is_header
+    layout = compile_layout("  ")
+    found = df.select(layout.matches(F.col("value")), is_header(layout.parse(F.col("value")))).first()
+    assert tuple(found) == (expected, expected)
 
 
 @pytest.mark.parametrize(
