@@ -65,8 +65,14 @@ def _counts(spark, sf_dir) -> DataFrame:
     return G.level_counts(_headers(spark, sf_dir))
 
 
+def _identified(spark, sf_dir) -> DataFrame:
+    """Entries with their group, staged as an analysis does: two aggregations read them."""
+    entries = G.with_group_id(_entries(spark, sf_dir)).drop("full_text")
+    return Staging(spark).write(entries, "entries")
+
+
 def _records(spark, sf_dir) -> DataFrame:
-    identified = G.with_group_id(_entries(spark, sf_dir))
+    identified = _identified(spark, sf_dir)
     return G.with_line_numbers(G.dedup_groups(identified), G.line_records(G.line_chunks(identified)))
 
 
@@ -284,7 +290,7 @@ def first_last_seen(spark, sf_dir):
 def merge_groups(spark, sf_dir):
     """The first half of January and the rest, grouped apart and merged."""
     middle = "2024-01-15 12:00:00"
-    identified = G.with_group_id(_entries(spark, sf_dir))
+    identified = _identified(spark, sf_dir)
     moment = F.col("entry_time")
     first = identified.where(moment < F.lit(middle).cast("timestamp_ntz"))
     rest = identified.where(moment >= F.lit(middle).cast("timestamp_ntz"))

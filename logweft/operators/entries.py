@@ -186,8 +186,10 @@ def build_entries(gathered: DataFrame, layout: Layout) -> DataFrame:
 def header_entries(scanned: DataFrame, layout: Layout, selection: Selection = Selection()) -> DataFrame:
     """The selected headers alone, for what needs no continuation line: no shuffle."""
     parsed = F.col("parsed")
+    # Exploding a single value keeps the filter from repeating the regex.
+    once = F.explode(F.array(layout.parse(F.col("value")))).alias("parsed")
     return (
-        scanned.withColumn("parsed", layout.parse(F.col("value")))
+        scanned.select("*", once)
         .where(is_header(parsed) & header_selected(layout, parsed, selection))
         .withColumns(layout.fields(parsed))
         .drop("value", "parsed")

@@ -35,7 +35,9 @@ MAX_LINES_PER_RECORD = 100_000
 def group_id() -> Column:
     """A 256-bit digest of the group key: short to shuffle, sort and join on."""
     parts = [F.concat(F.length(name).cast("string"), F.lit(":"), F.col(name)) for name in GROUP_KEY]
-    return F.unhex(F.sha2(F.concat(*parts), 256))
+    digest = F.unhex(F.sha2(F.concat(*parts), 256))
+    # Never NULL, and known to be, so that joins on it need no filter of their own.
+    return F.coalesce(digest, F.lit(bytearray()))
 
 
 def with_group_id(entries: DataFrame) -> DataFrame:

@@ -24,27 +24,25 @@ def layout_regex(patterns: pd.Series) -> pd.Series:
 
 
 def score_patterns(candidates: DataFrame, samples: DataFrame) -> DataFrame:
-    """Sample lines each candidate matches. ``samples`` holds few lines by definition."""
+    """Sample lines each candidate matches. ``samples`` holds few lines by definition.
+
+    Configurations repeat patterns, so every distinct pattern is tried once.
+    """
     lines = samples.agg(F.collect_list(F.concat("value", F.lit("\n"))).alias("lines"))
-    return (
-        candidates.withColumn("regex", layout_regex("pattern"))
+    matching = F.filter("lines", lambda line: F.rlike(line, F.col("regex")))
+    tried = (
+        candidates.select("pattern")
+        .distinct()
+        .withColumn("regex", layout_regex("pattern"))
         .withColumn("lines", lines.scalar())
-        .withColumn("checked", F.size("lines").cast("bigint"))
-        .withColumn(
-            "matches",
-            F.when(
-                F.col("regex").isNotNull(),
-                F.size(F.filter("lines", lambda line: F.rlike(line, F.col("regex")))),
-            )
-            .otherwise(0)
-            .cast("bigint"),
-        )
-        .withColumn(
-            "score",
-            F.when(F.col("checked") > 0, F.col("matches") / F.col("checked")).otherwise(F.lit(0.0)),
+        .select(
+            "pattern",
+            F.when(F.col("regex").isNull(), 0).otherwise(F.size(matching)).cast("bigint").alias("matches"),
+            F.size("lines").cast("bigint").alias("checked"),
         )
-        .drop("regex", "lines")
     )
+    score = F.when(F.col("checked") > 0, F.col("matches") / F.col("checked")).otherwise(F.lit(0.0))
+    return candidates.join(tried, "pattern").withColumn("score", score)
 
 
 def best_pattern(scored: DataFrame) -> DataFrame:

@@ -135,6 +135,14 @@ def _chain(steps: pd.DataFrame, opening: int, limit: int, numbered: bool) -> pd.
     return pd.DataFrame(entries, columns=["chunk", "used", "rows", "part_no"])
 
 
+def _all_fit(sizes: DataFrame, limit: int, separator: int, numbered: bool) -> bool:
+    """Whether no output needs a second part, indexes counted at their full width."""
+    n = F.count("*")
+    index = F.length(n.cast("string")) if numbered else F.lit(0)
+    used = F.max("opening") + F.sum("size") + n * (index + separator)
+    return sizes.groupBy("unit").agg(used.alias("used")).where(F.col("used") > limit).isEmpty()
+
+
 def pack_parts(
     sizes: DataFrame, limit: int, separator: int = 0, numbered: bool = False, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
@@ -145,10 +153,14 @@ def pack_parts(
     the size of the unit's file header. ``separator`` bytes precede every row but
     the first of a part.
     """
-    chunk_rows = int(chunk_rows)
     ranked = running_before(
         sizes.withColumn("task", F.shiftright("pos", 33)), ["unit"], "task", ["pos"], F.lit(1), "rank"
-    ).select(
+    )
+    if _all_fit(sizes, limit, separator, numbered):
+        return ranked.select(
+            "unit", "pos", F.lit(1).cast("bigint").alias("part_no"), (F.col("rank") + 1).alias("idx")
+        )
+    ranked = ranked.select(
         "unit",
         "pos",
         (F.col("size") + separator).alias("size"),

@@ -44,6 +44,7 @@ MD_FILE = "- **來源檔案**"
 MD_BODY_TITLE = "#### 延伸訊息:"
 MD_TRACE_TITLE = "#### 內容/堆疊追蹤 (含原始行號):"
 MD_NO_MATCH = "無符合條件的記錄"
+ONE_TASK_BYTES = 1 << 30  # a report file up to this size is written by one task
 REPORT_KEY = ["gid", "record"]
 LINE_END = {"csv": "\r\n", "json": "\n", "md": "\n"}
 JSON_ESCAPES = {"\\": "\\\\", '"': '\\"', "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
@@ -354,19 +355,21 @@ def report_lines(
     return lines
 
 
-def write_lines(lines: DataFrame, folder: str, fmt: str) -> None:
-    """Write report lines in order, large files by several tasks."""
+def write_lines(lines: DataFrame, folder: str, options: ReportOptions) -> None:
+    """Write report lines in order: a file by one task, or by several if it may be large."""
     text = F.col("text")
-    if fmt == "csv":
+    if options.fmt == "csv":
         text = F.when(F.col("section") == 0, F.concat(F.lit(BOM), text)).otherwise(text)
     order = ["file", "section", "pos"]
+    if options.max_bytes <= ONE_TASK_BYTES:
+        placed = lines.repartition("file")
+    else:
+        placed = lines.repartitionByRange(*order)
     (
-        lines.withColumn("text", text)
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .select("file", F.col("text").alias("value"))
+        placed.sortWithinPartitions(*order)
+        .select("file", text.alias("value"))
         .write.partitionBy("file")
-        .option("lineSep", LINE_END[fmt])
+        .option("lineSep", LINE_END[options.fmt])
         .mode("append")
         .text(folder)
     )
@@ -408,5 +411,5 @@ def write_report(
 ) -> DataFrame:
     """Write a report and return the list of its files."""
     report = build_report(staging, records, counts, options, folder)
-    write_lines(report.lines, folder, options.fmt)
+    write_lines(report.lines, folder, options)
     return staging.write(report.manifest, f"manifest-{options.fmt}")
