@@ -212,26 +212,27 @@ def report_units(counts: DataFrame, options: ReportOptions, by_level: bool) -> D
 
 
 def report_sizes(records: DataFrame, options: ReportOptions, by_level: bool) -> DataFrame:
-    """Every group's place in report order and rendered size, without its text."""
+    """What places a group in a report: its sort columns and rendered size, not its text."""
     fmt = options.fmt
-    order = ["unit", *report_order(options.sort_by), "record"]
     line_end = 0 if fmt == "json" else len(LINE_END[fmt])
     size = rendered_size(row_text(fmt, F.lit("")), fmt) + line_end
-    return (
-        records.select(
-            (F.col("level") if by_level else F.lit("")).alias("unit"),
-            *REPORT_KEY,
-            "level",
-            "timestamp",
-            "filename",
-            "first_line",
-            size.cast("bigint").alias("size"),
-        )
-        .orderBy(*order)
-        .select("unit", F.monotonically_increasing_id().alias("pos"), *REPORT_KEY, "size")
+    return records.select(
+        (F.col("level") if by_level else F.lit("")).alias("unit"),
+        *REPORT_KEY,
+        "level",
+        "timestamp",
+        "filename",
+        "first_line",
+        size.cast("bigint").alias("size"),
     )
 
 
+def report_positions(sizes: DataFrame, options: ReportOptions) -> DataFrame:
+    """The sizes in report order. To be staged: ``pos`` holds the task that wrote a row."""
+    ordered = sizes.orderBy("unit", *report_order(options.sort_by), "record")
+    return ordered.select("unit", F.monotonically_increasing_id().alias("pos"), *REPORT_KEY, "size")
+
+
 def assign_parts(sizes: DataFrame, units: DataFrame, options: ReportOptions) -> DataFrame:
     """The part every group belongs to, and its index in that part."""
     fmt = options.fmt
@@ -395,7 +396,9 @@ def build_report(
     """
     by_level = options.split_by_level and counts.where("n > 0").count() > 1
     units = report_units(counts, options, by_level)
+    # Staged before sorting, since finding the ranges of a sort reads its input twice.
     sizes = staging.write(report_sizes(records, options, by_level), f"sizes-{options.fmt}")
+    sizes = staging.write(report_positions(sizes, options), f"positions-{options.fmt}")
     placed = staging.write(assign_parts(sizes, units, options), f"placed-{options.fmt}")
     files = staging.write(report_files(placed, units, options), f"files-{options.fmt}")
     with_summary = by_level or files.count() > 1

@@ -17,7 +17,7 @@ from logweft.operators import layouts, summaries
 from logweft.operators.filters import Selection, filter_keyword
 from logweft.operators.reports import MAX_PART_BYTES, ReportOptions, write_report
 from logweft.sources.configs import discover_configs, load_candidates, read_config
-from logweft.sources.logs import sample_lines, scan_log_dir
+from logweft.sources.logs import sample_log_dir, scan_log_dir
 from logweft.staging import Staging
 
 
@@ -131,19 +131,16 @@ def analyze(staging: Staging, options: AnalysisOptions) -> Analysis:
     )
     kept = filter_keyword(found, options.keyword, options.ignore_case)
     entries = staging.write(G.with_group_id(kept).drop("full_text", "entry_time"), "entries")
-    return Analysis(
-        entries,
-        staging.write(G.level_counts(entries), "counts"),
-        staging.write(G.dedup_groups(entries), "groups"),
-        staging.write(G.line_chunks(entries), "chunks"),
-        options,
+    staged = staging.write_all(
+        counts=G.level_counts(entries), groups=G.dedup_groups(entries), chunks=G.line_chunks(entries)
     )
+    return Analysis(entries, options=options, **staged)
 
 
 def detect_layout(spark: SparkSession, log_dir: str, config: str | None = None) -> DataFrame:
     """The best candidate of one configuration, or of all beside the logs."""
     configs = read_config(spark, config) if config else discover_configs(spark, log_dir)
-    samples = sample_lines(scan_log_dir(spark, log_dir))
+    samples = sample_log_dir(spark, log_dir)
     return layouts.best_pattern(layouts.score_patterns(load_candidates(configs), samples))
 
 

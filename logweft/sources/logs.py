@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,14 +31,21 @@ def scan_log_dir(spark: SparkSession, directory: str) -> DataFrame:
     ``start`` name the block a line was read from, ``pos`` orders the lines of a
     block.
     """
-    escaped = re.sub(r"([\[\]{}*?\\])", r"\\\1", directory.rstrip("/"))
     try:
-        text = spark.read.text(f"{escaped}/*.log")
+        text = spark.read.text(f"{_no_glob(directory.rstrip('/'))}/*.log")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         # No such log: an empty result, or an error when the directory is missing.
         text = spark.read.option("pathGlobFilter", "*.log").text(directory)
+    return _scanned(text)
+
+
+def _no_glob(path: str) -> str:
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def _scanned(text: DataFrame) -> DataFrame:
     return text.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("start"),
@@ -68,3 +76,25 @@ def sample_lines(lines: DataFrame, limit: int = 50) -> DataFrame:
         lines = lines.withColumn("filename", log_name(F.col("path")))
     order = [c for c in ("filename", "path", "start", "pos", "line_num") if c in lines.columns]
     return lines.where(~is_blank(F.col("value"))).orderBy(*order).limit(limit)
+
+
+def sample_log_dir(spark: SparkSession, directory: str, limit: int = 50) -> DataFrame:
+    """``sample_lines`` of a directory, reading no more logs than it needs.
+
+    The first log nearly always has enough lines. If not, twice as many logs are
+    read, and so on.
+    """
+    logs: dict[str, list[str]] = {}
+    for uri in scan_log_dir(spark, directory).inputFiles():
+        path = unquote(uri)
+        folder, _, name = path.rpartition("/")
+        log = name if name.endswith(".log") else folder.rpartition("/")[2].rpartition("=")[2]
+        logs.setdefault(log, []).append(_no_glob(path))
+    schema, names, taken = "value string", sorted(logs), 1
+    while names:
+        some = [path for name in names[:taken] for path in logs[name]]
+        rows = sample_lines(_scanned(spark.read.text(some)), limit).select("value").collect()
+        if len(rows) == limit or taken >= len(names):
+            return spark.createDataFrame(rows, schema)
+        taken *= 2
+    return spark.createDataFrame([], schema)

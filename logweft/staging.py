@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,14 +32,31 @@ class Staging:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/logweft-{uuid.uuid4().hex}"
-        self._written = 0
+        self._number = itertools.count(1)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        self._written += 1
-        path = f"{self.folder}/{self._written:03d}-{name}"
+        path = f"{self.folder}/{next(self._number):03d}-{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_all(self, **tables: DataFrame) -> dict[str, DataFrame]:
+        """Write tables that do not need each other as concurrent jobs."""
+        threads = [InheritableThread(target=self._write_into, args=(tables, name)) for name in tables]
+        for thread in threads:
+            thread.start()
+        for thread in threads:
+            thread.join()
+        for written in tables.values():
+            if isinstance(written, Exception):
+                raise written
+        return tables
+
+    def _write_into(self, tables: dict, name: str) -> None:
+        try:
+            tables[name] = self.write(tables[name], name)
+        except Exception as error:  # raised again in the calling thread
+            tables[name] = error
+
     def __enter__(self) -> Staging:
         return self
 
