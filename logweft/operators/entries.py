@@ -22,6 +22,9 @@ from logweft.staging import Staging
 
 # A block table of up to this many rows (about 100 bytes each) is broadcast.
 BROADCAST_BLOCKS = 1_000_000
+# Bytes of lines that one task puts together, at most.
+TASK_BYTES = 512 << 20
+CHANGED = "the file blocks changed between two scans"
 
 
 def block_table(scanned: DataFrame, layout: Layout) -> DataFrame:
@@ -31,6 +34,7 @@ def block_table(scanned: DataFrame, layout: Layout) -> DataFrame:
     found = scanned.groupBy(*block).agg(
         F.min("pos").alias("first_pos"),
         F.count("*").alias("n_lines"),
+        F.sum(F.octet_length("value")).alias("n_bytes"),
         F.min(header_pos).alias("first_header"),
     )
     if "filename" not in block:
@@ -46,10 +50,20 @@ def block_table(scanned: DataFrame, layout: Layout) -> DataFrame:
     )
 
 
-def staged_block_table(staging: Staging, scanned: DataFrame, layout: Layout) -> DataFrame:
-    """The block table written once, and broadcast to the lines if it is small."""
+def staged_block_table(
+    staging: Staging, scanned: DataFrame, layout: Layout
+) -> tuple[DataFrame, int | None]:
+    """The block table written once, and how many tasks should assemble the lines.
+
+    It is broadcast to the lines if it is small. The session's number of shuffle
+    partitions is kept (``None``) unless a task would get too many bytes.
+    """
     blocks = staging.write(block_table(scanned, layout), "blocks")
-    return F.broadcast(blocks) if blocks.count() <= BROADCAST_BLOCKS else blocks
+    n_blocks, n_bytes = blocks.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    tasks = -(-n_bytes // TASK_BYTES)
+    usual = int(staging.spark.conf.get("spark.sql.shuffle.partitions"))
+    table = F.broadcast(blocks) if n_blocks <= BROADCAST_BLOCKS else blocks
+    return table, (tasks if tasks > usual else None)
 
 
 def number_lines(scanned: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -65,12 +79,16 @@ def line_number(scanned: DataFrame) -> Column:
     rank = F.col("pos") - F.col("first_pos")
     seen = F.coalesce((rank >= 0) & (rank < F.col("n_lines")), F.lit(False))
     return F.when(seen, F.col("line_offset") + rank + 1).otherwise(
-        F.raise_error(F.lit("the file blocks changed between two scans")).cast("bigint")
+        F.raise_error(F.lit(CHANGED)).cast("bigint")
     )
 
 
 def assign_entries(
-    scanned: DataFrame, blocks: DataFrame, layout: Layout, selection: Selection = Selection()
+    scanned: DataFrame,
+    blocks: DataFrame,
+    layout: Layout,
+    selection: Selection = Selection(),
+    tasks: int | None = None,
 ) -> DataFrame:
     """Give every line the line number of the header it belongs to.
 
@@ -84,13 +102,16 @@ def assign_entries(
     )
     in_block = Window.partitionBy("filename", "owner").orderBy("line_num")
     up_to_here = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
+    owner = (
+        F.when(F.col("n_lines").isNull(), F.raise_error(F.lit(CHANGED)).cast("int"))
+        .when(F.col("pos") >= F.col("first_header"), F.col("block"))
+        .otherwise(F.col("owner"))
+    )
+    lines = (
         scanned.join(blocks, block_columns(scanned), "left")
         .select(
             "filename",
-            F.when(F.col("pos") >= F.col("first_header"), F.col("block"))
-            .otherwise(F.col("owner"))
-            .alias("owner"),
+            owner.alias("owner"),
             line_number(scanned).alias("line_num"),
             value,
             layout.parse(value).alias("parsed"),
@@ -101,7 +122,12 @@ def assign_entries(
         # A header moves as its fields, a rejected one as a mere mark.
         .withColumn("header", F.when(F.col("selected"), parsed))
         .withColumn("value", F.when(~F.col("is_header"), value))
-        .withColumn("entry_line", F.last(opened, ignorenulls=True).over(up_to_here))
+        .select("filename", "owner", "line_num", opened.alias("opened"), "header", "value")
+    )
+    if tasks:
+        lines = lines.repartition(tasks, "filename", "owner")
+    return (
+        lines.withColumn("entry_line", F.last("opened", ignorenulls=True).over(up_to_here))
         .where(F.col("entry_line") > 0)
         .select("filename", "owner", "entry_line", "line_num", "header", "value")
     )

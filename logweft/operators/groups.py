@@ -98,7 +98,7 @@ def line_chunks(identified: DataFrame, batch: int = 0) -> DataFrame:
             F.col("filename").alias("chunk_file"),
             F.floor(F.col("line_num") / LINES_PER_BLOCK).alias("chunk_no"),
         )
-        .agg(F.sort_array(F.collect_list("line_num")).alias("lines"))
+        .agg(F.count("*").alias("n"), F.sort_array(F.collect_list("line_num")).alias("lines"))
     )
 
 
@@ -114,7 +114,7 @@ def line_records(chunks: DataFrame, max_lines: int = MAX_LINES_PER_RECORD) -> Da
     )
     large = (
         chunks.groupBy("gid")
-        .agg(F.sum(F.size("lines")).alias("_n"))
+        .agg(F.sum("n").alias("_n"))
         .where(F.col("_n") > max_lines)
         .select("gid", F.lit(True).alias("_large"))
     )

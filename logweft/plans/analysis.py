@@ -119,8 +119,9 @@ def iter_entries(
     selection = Selection(local_bound(spark, start), local_bound(spark, end), levels)
     compiled = compile_layout(layout)
     scanned = scan_log_dir(spark, path)
-    blocks = E.staged_block_table(staging, scanned, compiled)
-    return E.build_entries(E.gather(E.assign_entries(scanned, blocks, compiled, selection)), compiled)
+    blocks, tasks = E.staged_block_table(staging, scanned, compiled)
+    assigned = E.assign_entries(scanned, blocks, compiled, selection, tasks)
+    return E.build_entries(E.gather(assigned), compiled)
 
 
 def analyze(staging: Staging, options: AnalysisOptions) -> Analysis:

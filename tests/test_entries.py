@@ -107,7 +107,7 @@ def test_files_cut_into_many_blocks(spark, staging, logs, block_bytes):
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(block_bytes))
         spark.conf.set("spark.sql.files.openCostInBytes", "0")
         scanned = scan_log_dir(spark, folder)
-        blocks = E.staged_block_table(staging, scanned, compile_layout())
+        blocks, _ = E.staged_block_table(staging, scanned, compile_layout())
         assert blocks.count() > 10
         numbered = E.number_lines(scanned, blocks).where("filename = 'a.log'").orderBy("line_num")
         assert [r["value"] for r in numbered.collect()] == content.split("\n")[:-1]
@@ -121,6 +121,29 @@ def test_files_cut_into_many_blocks(spark, staging, logs, block_bytes):
         assert {r["line_num"]: r["full_text"] for r in got if r["filename"] == name} == expected
 
 
+def test_many_bytes_get_more_tasks(staging, logs, monkeypatch):
+    folder = logs({"a.log": MIXED, "b.log": MIXED})
+    usual = found(staging, folder, "filename", "line_num", "full_text")
+    monkeypatch.setattr(E, "TASK_BYTES", 50)
+    layout, scanned = compile_layout(), scan_log_dir(staging.spark, folder)
+    blocks, tasks = E.staged_block_table(staging, scanned, layout)
+    assert tasks > 4
+    assigned = E.assign_entries(scanned, blocks, layout, tasks=tasks)
+    assert "REPARTITION" in assigned._jdf.queryExecution().toString()
+    assert found(staging, folder, "filename", "line_num", "full_text") == usual
+
+
+def test_changed_blocks_fail(spark, staging, logs):
+    layout = compile_layout()
+    scanned = scan_log_dir(spark, logs({"a.log": MIXED * 20}))
+    blocks, _ = E.staged_block_table(staging, scanned, layout)
+    for wrong in (blocks.withColumn("start", F.col("start") + 1), blocks.withColumn("first_pos", F.lit(10**6))):
+        with pytest.raises(Exception, match="changed between two scans"):
+            E.assign_entries(scanned, wrong, layout).count()
+        with pytest.raises(Exception, match="changed between two scans"):
+            E.number_lines(scanned, wrong).collect()
+
+
 def test_log_written_by_spark_in_parts(spark, staging, tmp_path):
     lines = [f"2024-05-01 10:00:00 [t] INFO a.B - {i}" if i % 3 else f"more {i}" for i in range(200)]
     df = spark.createDataFrame([("x.log", i, v) for i, v in enumerate(lines)], "filename string, i int, value string")
