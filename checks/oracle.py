@@ -476,7 +476,7 @@ BY_LEVEL_CSV = packed("level", f"strlen({LEVEL_CSV_HEAD}) + 5", CSV_SIZE, SPLIT)
 MANIFEST = f"""
 parts as (select distinct level, part_no, n_parts, 'report_' || level || {PART_NAME} || '.csv' as file from parted),
 manifest as (
-  select 0 as ordinal, '' as level, 0 as part_no, 'report_summary.csv' as file
+  select cast(0 as bigint) as ordinal, '' as level, cast(0 as bigint) as part_no, 'report_summary.csv' as file
   union all
   select row_number() over (order by first_seen, part_no), level, part_no, file
   from parts join counts using (level))"""
@@ -524,7 +524,8 @@ ORACLE |= {
     ),
     "split_by_size": recursive(
         on_report(
-            f"""select 'report' || {PART_NAME} || '.csv' as file, idx as pos, csv_text as text from parted
+            f"""select 'report' || {PART_NAME} || '.csv' as file, cast(idx as bigint) as pos, csv_text as text
+                from parted
                 union all
                 select 'report_summary.csv', part_no, 'report' || {PART_NAME} || '.csv'
                 from (select distinct part_no, n_parts from parted)""",
@@ -554,7 +555,7 @@ counts as (
 RUN_MANIFEST = f"""
 parts as (select distinct level, part_no, n_parts, 'report_' || level || {PART_NAME} || '.md' as file from parted),
 manifest as (
-  select 0 as ordinal, '' as level, 0 as part_no, 'report_summary.md' as file
+  select cast(0 as bigint) as ordinal, '' as level, cast(0 as bigint) as part_no, 'report_summary.md' as file
   union all
   select row_number() over (order by first_seen, part_no), level, part_no, file
   from parts join counts using (level))"""

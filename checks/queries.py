@@ -391,12 +391,13 @@ def safe_filename_part(spark, sf_dir):
 def rendered_size(spark, sf_dir):
     records = _records(spark, sf_dir)
     sizes = [
-        (reports.rendered_size(reports.row_text(fmt, F.lit("1")), fmt) + len(reports.LINE_END[fmt])).alias(
-            f"{fmt}_size"
-        )
+        reports.rendered_size(reports.row_text(fmt, F.lit("1")), fmt) + len(reports.LINE_END[fmt])
         for fmt in ("csv", "md")
     ]
-    return records.select("filename", "first_line", *sizes)
+    csv_size, md_size = [size.cast("bigint") for size in sizes]
+    return records.select(
+        "filename", "first_line", csv_size.alias("csv_size"), md_size.alias("md_size")
+    )
 
 
 # --- order ---------------------------------------------------------------------------
@@ -422,7 +423,8 @@ def sort_summary(spark, sf_dir):
 
 @query
 def top5_summary(spark, sf_dir):
-    return summaries.top_summary(summaries.dashboard(_groups(spark, sf_dir)))
+    top = summaries.top_summary(summaries.dashboard(_groups(spark, sf_dir)))
+    return top.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 # --- reports -------------------------------------------------------------------------
@@ -493,7 +495,7 @@ def run_analysis(spark, sf_dir):
     result = A.run(staging, options)
     return result.files.select(
         "*",
-        F.lit(result.total_logs).alias("total_logs"),
-        F.lit(result.matched_groups).alias("matched_groups"),
-        F.lit(result.matched_occurrences).alias("matched_occurrences"),
+        F.lit(result.total_logs).cast("bigint").alias("total_logs"),
+        F.lit(result.matched_groups).cast("bigint").alias("matched_groups"),
+        F.lit(result.matched_occurrences).cast("bigint").alias("matched_occurrences"),
     )
