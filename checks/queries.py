@@ -84,8 +84,8 @@ def _plain(groups: DataFrame) -> DataFrame:
 
 def _staged_records(spark, sf_dir) -> tuple[Staging, DataFrame, DataFrame]:
     staging = Staging(spark)
-    records = staging.write(_records(spark, sf_dir), "records")
-    return staging, records, staging.write(_counts(spark, sf_dir), "counts")
+    staged = staging.write_all(records=_records(spark, sf_dir), counts=_counts(spark, sf_dir))
+    return staging, staged["records"], staged["counts"]
 
 
 def _report(spark, sf_dir, **options) -> reports.Report:
