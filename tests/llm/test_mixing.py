@@ -1,0 +1,92 @@
+import math
+from collections import Counter
+
+import numpy as np
+import pytest
+from helpers_llm import frame, words
+from pyspark.sql import functions as F
+
+from logweft.llm import mixing as M
+
+
+def filled(sizes, weights, share=1.5, repeats=2):
+    """Targets by handing out what is left by weight until none is above its limit."""
+    left, open_, target = share * sum(sizes), set(range(len(sizes))), [0.0] * len(sizes)
+    while open_:
+        total = sum(weights[i] for i in open_)
+        over = {i for i in open_ if left * weights[i] / total > repeats * sizes[i]}
+        for i in over or open_:
+            target[i] = repeats * sizes[i] if over else left * weights[i] / total
+        left -= sum(target[i] for i in over)
+        open_ -= over or open_
+    return target
+
+
+@pytest.fixture(scope="module")
+def sources(spark, messy):
+    rows = [(5000 + i, words(i, 5 + i % 90), "en", f"s{i % 11 if i % 3 else 0}") for i in range(700)]
+    return frame(spark, rows).unionByName(messy)
+
+
+def test_targets_and_shares(sources):
+    got = M.mix(sources).collect()
+    docs = sources.select("source", "text").collect()
+    sizes = Counter()
+    for d in docs:
+        sizes[d.source] += len((d.text or "").split())
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    expected = dict(zip(names, filled([sizes[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))]), strict=True))
+    assert len(got) == len(docs)
+    taken = Counter()
+    for r in got:
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(expected[r.source])
+        assert 0 <= r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+    assert {s: taken[s] for s in names} == {s: math.floor(expected[s] + 1e-9) for s in names}
+
+
+def test_positions_meet_the_schedules(sources):
+    """Up to any time a source has given the share of its words that its schedule's integral says."""
+    rows = M.mix(sources).where("source = 's0'").collect()
+    kind = sorted({r.source for r in sources.select("source").collect()}, key=lambda s: (s is None, s or "")).index("s0") % 3
+    knots = M.SCHEDULES[kind]
+    given = sorted([(r.position, min(r.taken, r.size)) for r in rows if r.taken] + [(r.again, r.taken - r.size) for r in rows if r.again is not None])
+    total = sum(n for _, n in given)
+    for time in np.linspace(0.1, 0.9, 9):
+        inner = [k for k in knots if k[0] < time]
+        (s, a), (t, b) = inner[-1], knots[len(inner)]
+        cut = [*inner, (time, a + (b - a) * (time - s) / (t - s))]
+        share = M.integral(cut) / M.integral(knots)
+        assert sum(n for p, n in given if p <= time) / total == pytest.approx(share, abs=0.01)
+
+
+def test_times_invert_any_schedule(spark):
+    knots = ((0.0, 0.0), (0.25, 3.0), (0.25001, 1.0), (0.7, 1.0), (1.0, 0.2))
+    rows = spark.range(1, 100).select((F.col("id") / 100).alias("d"), M.time_of(F.col("id") / 100, knots).alias("t")).collect()
+    for r in rows:
+        inner = [k for k in knots if k[0] < r.t]
+        (s, a), (t, b) = inner[-1], knots[len(inner)]
+        assert M.integral([*inner, (r.t, a + (b - a) * (r.t - s) / (t - s))]) / M.integral(knots) == pytest.approx(r.d, abs=1e-6)
+
+
+def test_reruns_agree(sources):
+    first = [tuple(r) for r in M.curriculum(sources).collect()]
+    again = [tuple(r) for r in M.curriculum(sources.repartition(7)).collect()]
+    assert sorted(first, key=str) == sorted(again, key=str)
+    order = [r[5] for r in first if r[5] is not None]
+    assert order == sorted(order)
+
+
+def test_mixed_documents(sources, nothing):
+    rows = M.mixed(sources)
+    assert rows.columns == [c for c in sources.columns if c not in ("taken", "position", "again")] + ["taken", "position", "again"]
+    got = rows.collect()
+    report = M.mix(sources).where("taken > 0")
+    assert Counter((r.doc_id, r.taken) for r in got) == Counter((r.doc_id, r.taken) for r in report.collect())
+    assert [r.position for r in got] == sorted(r.position for r in got)
+    assert M.curriculum(nothing).count() == 0 and M.mixed(nothing).count() == 0
+
+
+def test_sources_without_words(spark):
+    docs = frame(spark, [(1, None, "en", "a"), (2, "", "en", None)])
+    assert [(r.size, r.target, r.taken) for r in M.mix(docs).collect()] == [(0, 0.0, 0)] * 2

@@ -1,0 +1,139 @@
+"""Quality classifier and language ID: gradients, held-out accuracy, and odd input."""
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from helpers_llm import frame, words
+from pyspark.sql import functions as F
+
+from logweft.llm import language as L
+from logweft.llm import quality as Q
+from logweft.llm.words import flat
+
+DATA = "/root/testdata/sf0.01"
+
+
+# --- quality ---------------------------------------------------------------------------
+
+
+def test_sum_of_squares_identity():
+    """The linear-time score equals the sum over all pairs."""
+    random = np.random.default_rng(1)
+    size = Q.BUCKETS + Q.STATISTICS
+    model = Q.Machine(0.3, random.normal(size=size).astype(np.float32), random.normal(size=(size, Q.RANK)).astype(np.float32))
+    numbers, values, counts = Q.features(*flat(pa.array(["a b c, D! 12 a", "", "x " * 50])))
+    at = 0
+    for got, n in zip(model.raw(numbers, values, counts), counts, strict=True):
+        i, x = numbers[at : at + n], values[at : at + n]
+        pairs = sum(model.factors[i[a]] @ model.factors[i[b]] * x[a] * x[b] for a in range(n) for b in range(a))
+        assert got == pytest.approx(0.3 + model.weight[i] @ x + pairs, abs=1e-3)
+        at += n
+
+
+def test_held_out_quality(spark):
+    docs, labels = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "labels"))
+    got = Q.score(docs, Q.train(docs, labels)).join(labels, "doc_id").where("held_out")
+    good = got.where("quality = 1").agg(F.avg("predicted")).first()[0]
+    ranks = [(r.score, r.quality) for r in got.collect()]
+    ups, downs = [s for s, q in ranks if q == 1], [s for s, q in ranks if q == 0]
+    assert good >= 0.95
+    assert np.mean([(u > d) + 0.5 * (u == d) for u in ups for d in downs]) > 0.95
+
+
+def test_odd_texts_and_labels(spark, messy, nothing):
+    labels = spark.createDataFrame([(7, 1), (8, 0), (8, 1), (9, 0), (9, None), (12, 0), (None, 1), (77, 1)], "doc_id long, quality int")
+    got = Q.score(messy, Q.train(messy, labels)).collect()
+    assert len(got) == messy.count()
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    assert len({r.score for r in got if r.doc_id in (3, 4)}) == 1
+    assert Q.train(messy, labels.limit(0)) is None
+    assert {r.score for r in Q.score(messy, None).collect()} == {0.5}
+    assert Q.train(nothing, labels) is None and Q.score(nothing, None).count() == 0
+
+
+def test_only_the_text_is_an_input(spark):
+    texts = [words(i, 40) for i in range(30)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    docs = frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    model = Q.train(docs, labels)
+    other = frame(spark, [(1000 - i, t, None, "z") for i, t in enumerate(texts)])
+    assert [r.score for r in Q.score(docs, model).orderBy("doc_id").collect()] == [
+        r.score for r in Q.score(other, model).orderBy(F.desc("doc_id")).collect()
+    ]
+
+
+# --- language --------------------------------------------------------------------------
+
+
+def test_gradients_of_the_network():
+    """Backpropagation through time against differences of the loss."""
+    random = np.random.default_rng(3)
+    network = L.started(["a", "b", "c"])
+    for tensors in (*network.inputs, *network.states):
+        tensors[:] = [t.astype(np.float64) for t in tensors]
+    network.out = network.out.astype(np.float64)
+    codes = random.integers(97, 104, (9, 5)).astype(np.uint8)
+    codes[7:, 2] = 0
+    labels = np.array([0, 1, 2, 0, 1])
+    weight = np.array([1.0, 2.0, 1.5, 1.0, 2.0])
+
+    def loss():
+        odds, _, _ = L._odds(network, codes)
+        p = odds[np.arange(codes.size), np.tile(labels, 9)]
+        return -(np.log(p) * np.tile(weight, 9) * (codes.ravel() > 0)).sum() / codes.size
+
+    grads = L._gradients(network, codes, labels, weight)
+    for tensor, grad in zip(network.tensors(), grads, strict=True):
+        for place in [tuple(random.integers(0, n) for n in tensor.shape) for _ in range(6)] + [(98, 1)] * (tensor.shape[0] == 256):
+            if tensor.dtype != np.float64 or tensor[place] < -1e5:
+                continue
+            before = tensor[place]
+            tensor[place] = before + 1e-3
+            up = loss()
+            tensor[place] = before - 1e-3
+            down = loss()
+            tensor[place] = before
+            assert grad[place] == pytest.approx((up - down) / 2e-3, abs=3e-4, rel=0.02)
+
+
+def test_segments_cover_every_byte():
+    data, offsets = flat(pa.array(["a" * 130, "", None, "bc", "d" * 64]))
+    codes, counts = L.segments(data, offsets)
+    assert counts.tolist() == [3, 0, 0, 1, 1]
+    assert codes[codes > 0].tobytes() == data.tobytes()
+
+
+def test_every_position_is_labelled(spark):
+    network = L.started(["a", "b"])
+    data, offsets = flat(pa.array(["x" * 100, "y"]))
+    codes, _ = L.segments(data, offsets)
+    odds, _, _ = L._odds(network, codes.T)
+    assert odds.shape == (codes.size, 2)
+    assert L.pooled(network, data, offsets).sum(1) == pytest.approx([1, 1])
+
+
+def test_held_out_languages(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = L.report(docs).join(docs.select("doc_id", "lang", "n_chars"), "doc_id").where("held_out and n_chars > 20").collect()
+    assert len(got) > 150 and np.mean([r.lang == r.lang_pred for r in got]) > 0.98
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_odd_texts(spark, messy, nothing):
+    rows = [(1, "1234 !!", "en", "a"), (2, "\x00é", None, "a"), (3, "中文" * 5000, None, "a")]
+    docs = messy.unionByName(frame(spark, rows))
+    got = L.report(docs).collect()
+    assert len(got) == docs.count()
+    known = {r.lang for r in docs.collect()}
+    texts = [(r.text or "") for r in docs.collect()]
+    assert sum(r.lang_pred == L.UNKNOWN and r.score == 0 for r in got) == sum(not any(c.isalpha() for c in t) for t in texts)
+    assert all(r.lang_pred in known for r in got if r.lang_pred != L.UNKNOWN)
+    assert {r.lang_pred for r in L.predict(docs, None).select("lang_pred").collect()} == {L.UNKNOWN}
+    assert L.report(nothing).count() == 0 and L.accepted(nothing).count() == 0
+
+
+def test_accepted_rows_keep_their_columns(messy):
+    kept = L.accepted(messy)
+    assert kept.columns == messy.columns
+    rows = [r for r in messy.collect() if any(c.isalpha() for c in r.text or "")]
+    assert 0 < kept.count() <= len(rows)
