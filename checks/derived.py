@@ -1,13 +1,16 @@
 """Log lines derived from the given tables, the input of most queries.
 
-Every event is one log record; a click carries the whole document of the same
-number as its body. Some records get a damaged date, another timestamp form, a
+Every event is one log record; it carries the whole document of the same number at its
+end, if there is one. Some records get a damaged date, another timestamp form, a
 lower-case level, an empty message, a trace or a body, and the first record of
 each file has no header.
 """
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,17 @@ EVENTS_PER_BUCKET = 16_384
 _staged: dict[tuple[str, str, str], object] = {}
 
 
+def staging(spark: SparkSession) -> Staging:
+    """Tables that live as long as the session, since queries return frames that read them.
+
+    A session without a shared folder can only be a local one here; it gets a temporary one.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.startswith("local["):
+        folder = _once(spark, "", "folder", lambda: tempfile.mkdtemp(prefix="checks-"))
+    return Staging(spark, folder).keep_until_exit()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -74,12 +88,11 @@ def derive_records(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("\n    payload="), props, F.lit("\n  \ntail")),
         )
         .when((kind == "signup") & every(5, 1), "  nested TimeoutException: slow")
-        .when(kind == "click", F.col("text"))
     )
-    return events.join(documents, (kind == "click") & (F.col("doc_id") == event_id), "left").select(
+    return events.join(documents, F.col("doc_id") == event_id, "left").select(
         F.concat(F.lit("app-"), (event_id % 4).cast("string"), F.lit(".log")).alias("filename"),
         "event_id",
-        F.split(F.concat_ws("\n", header, more), "\n").alias("parts"),
+        F.split(F.concat_ws("\n", header, more, F.col("text")), "\n").alias("parts"),
     )
 
 
@@ -104,7 +117,7 @@ def _once(spark: SparkSession, sf_dir: str, what: str, build):
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived lines, written once per session as the logs to analyse."""
     return _once(
-        spark, sf_dir, "lines", lambda: Staging(spark).write(derive_lines(spark, sf_dir), "lines")
+        spark, sf_dir, "lines", lambda: staging(spark).write(derive_lines(spark, sf_dir), "lines")
     )
 
 
@@ -112,7 +125,7 @@ def log_dir(spark: SparkSession, sf_dir: str) -> str:
     """A directory of text logs with the derived lines, written once per session."""
 
     def build() -> str:
-        folder = f"{Staging(spark).folder}/logs"
+        folder = f"{staging(spark).folder}/logs"
         order = ["filename", "line_num"]
         (
             log_lines(spark, sf_dir)
@@ -156,3 +169,21 @@ def derive_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("c_nationkey").cast("string"), F.lit("]]></pattern></configuration>"),
         ), "utf-8").alias("xml"),
     )
+
+
+def config_dir(spark: SparkSession, sf_dir: str) -> str:
+    """A directory with the derived configurations as files, written once per session."""
+
+    def build() -> str:
+        folder = f"{staging(spark).folder}/configs".removeprefix("file:")
+
+        def save(rows) -> None:
+            os.makedirs(folder, exist_ok=True)
+            for row in rows:
+                with open(os.path.join(folder, row["config"]), "wb") as file:
+                    file.write(row["xml"])
+
+        derive_configs(spark, sf_dir).foreachPartition(save)
+        return folder
+
+    return _once(spark, sf_dir, "configs", build)

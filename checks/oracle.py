@@ -37,7 +37,7 @@ described as (
          when event_type = 'view' and event_id % 2 = 1 then ' heartbeat'
          when event_type = 'purchase' and event_id % 23 = 4 then ' payment Error for ' || props
          else ' props ' || props end as msg
-  from stamped s left join documents d on s.event_type = 'click' and d.doc_id = s.event_id),
+  from stamped s left join documents d on d.doc_id = s.event_id),
 records as (
   select event_id, 'app-' || (event_id % 4) || '.log' as filename,
     string_split(
@@ -52,8 +52,8 @@ records as (
              || 'Caused by: java.io.IOException: closed'
            when event_type = 'purchase' and event_id % 3 = 0 then
              chr(10) || '    payload=' || props || chr(10) || '  ' || chr(10) || 'tail'
-           when event_type = 'signup' and event_id % 5 = 1 then '  nested TimeoutException: slow'
-           when event_type = 'click' then text end, ''), chr(10)) as parts
+           when event_type = 'signup' and event_id % 5 = 1 then '  nested TimeoutException: slow' end, '')
+      || coalesce(chr(10) || text, ''), chr(10)) as parts
   from described),
 exploded as (
   select filename, event_id, unnest(parts) as value, unnest(range(len(parts))) as nth from records),
@@ -150,7 +150,7 @@ summary as (
   from valued where value <> '' group by dimension, value)"""
 
 FIELDS = (
-    '"count", line_numbers, timestamp, last_timestamp, level, thread, logger, filename, message, '
+    '"count", timestamp, last_timestamp, level, thread, logger, filename, message, '
     "message_body, stacktrace"
 )
 
@@ -179,6 +179,7 @@ def on_groups(select: str, *parts: str) -> str:
     return sql(select, headers(), ASSIGNED, ENTRIES, groups(), *parts)
 
 
+KEY = "level, logger, message, message_body, stacktrace"
 RANGE = "entry_time between timestamp '2024-01-05 06:00:00' and timestamp '2024-01-20 18:30:00'"
 PLACE = "filename, line_num, timestamp, level"
 RANK = "case level when 'ERROR' then 0 when 'WARN' then 1 when 'WARNING' then 1 when 'INFO' then 2 when 'DEBUG' then 3 when 'TRACE' then 4 else 99 end"
@@ -238,22 +239,30 @@ ORACLE: dict[str, str] = {
     "normalize_timezone": """
         select event_id, strftime(ts - interval 8 hour, '%Y-%m-%d %H:%M:%S') as local_time from events""",
     "level_counts": sql("select level, n from counts", headers(), COUNTS),
-    "dedup_groups": on_groups(f"select {FIELDS.replace(' line_numbers,', '')} from groups"),
-    "collect_line_numbers": on_groups(f"select {FIELDS} from groups"),
+    "dedup_groups": on_groups(f"select {FIELDS} from groups"),
+    "collect_line_numbers": on_groups(
+        f"""select g.filename, g.first_line, g."count", cast(0 as int) as batch, chunk_file, chunk_no, n, c.line_numbers
+            from chunked c join groups g using ({KEY})""",
+        f"""chunked as (
+          select {KEY}, filename as chunk_file, line_num // 65536 as chunk_no, count(*) as n,
+            string_agg(line_num, ',' order by line_num) as line_numbers
+          from entries group by {KEY}, filename, line_num // 65536)""",
+    ),
     "first_last_seen": on_groups(
         """select level, logger, message, message_body, stacktrace, timestamp, last_timestamp, first_line
            from groups"""
     ),
     "merge_groups": sql(
-        """select a."count" + coalesce(b."count", 0) as "count",
-             a.line_numbers || coalesce(',' || b.line_numbers, '') as line_numbers, a.timestamp,
-             coalesce(b.last_timestamp, a.last_timestamp) as last_timestamp, a.level, a.thread, a.logger,
-             a.filename, a.message, a.message_body, a.stacktrace
-           from early a left join late b using (level, logger, message, message_body, stacktrace)
-           union all
-           select b."count", b.line_numbers, b.timestamp, b.last_timestamp, b.level, b.thread, b.logger,
-             b.filename, b.message, b.message_body, b.stacktrace
-           from late b anti join early a using (level, logger, message, message_body, stacktrace)""",
+        f"""select m.*, n_chunks, n_lines, line_sum from (
+              select a."count" + coalesce(b."count", 0) as "count", a.timestamp,
+                coalesce(b.last_timestamp, a.last_timestamp) as last_timestamp, level, a.thread, logger,
+                a.filename, message, message_body, stacktrace, cast(0 as int) as first_batch
+              from early a left join late b using ({KEY})
+              union all
+              select b."count", b.timestamp, b.last_timestamp, b.level, b.thread, b.logger,
+                b.filename, b.message, b.message_body, b.stacktrace, 1
+              from late b anti join early a using ({KEY})) m
+            join lined using ({KEY})""",
         headers(),
         ASSIGNED,
         ENTRIES,
@@ -261,6 +270,13 @@ ORACLE: dict[str, str] = {
         "second_half as (select * from entries where entry_time >= timestamp '2024-01-15 12:00:00')",
         groups("first_half", "early"),
         groups("second_half", "late"),
+        f"""lined as (
+          select {KEY}, count(*) as n_chunks, cast(sum(n) as bigint) as n_lines, cast(sum(s) as bigint) as line_sum
+          from (
+            select {KEY}, count(*) as n, sum(line_num) as s from first_half group by {KEY}, filename, line_num // 65536
+            union all
+            select {KEY}, count(*), sum(line_num) from second_half group by {KEY}, filename, line_num // 65536)
+          group by {KEY})""",
     ),
     "totals": on_groups(
         """select (select count(*) from entries) as total_logs, count(*) as matched_groups,
@@ -435,8 +451,12 @@ CSV_ROWS_HEAD = """ || '--- 詳細日誌內容 (已合併重複項) ---' || chr(
   || '出現次數,出現行號,第一次時間,最後一次時間,等級,線程,Logger,來源檔案,訊息內容,延伸訊息,堆疊追蹤 (含行號)'"""
 MD_HEAD = """'# Java Log 分析報告' || chr(10) || chr(10) || '## 統計摘要' || chr(10) || '| 日誌等級 | 數量 |' || chr(10)
   || '| --- | --- |' || chr(10) || {counts} || chr(10) || chr(10) || '## 符合條件的詳細日誌'"""
+CSV_SPLIT_HEAD = " || '--- 詳細日誌已分割 ---' || chr(13) || chr(10) || '請參考下列檔案'"
 ALL_CSV = "(select string_agg(level || ',' || n, chr(13) || chr(10) order by level) from counts)"
 ALL_MD = "(select string_agg('| ' || level || ' | ' || n || ' |', chr(10) order by level) from counts)"
+MD_SPLIT_HEAD = MD_HEAD.replace("{counts}", ALL_MD).replace(
+    "'## 符合條件的詳細日誌'", "'## 詳細日誌已分割' || chr(10) || '請參考下列檔案：'"
+)
 ALL_JSON = "(select string_agg('\"' || level || '\": ' || n, ', ' order by first_seen) from counts)"
 
 
@@ -518,25 +538,34 @@ ORACLE |= {
             from counts
             union all select 'report_' || level || '.csv', 1, level_pos, csv_text from ranked
             union all select 'report_summary.csv', 0, 0, {CSV_HEAD.replace("{counts}", ALL_CSV)}
-              || '--- 詳細日誌已分割 ---' || chr(13) || chr(10) || '請參考下列檔案'
+              {CSV_SPLIT_HEAD}
             union all select 'report_summary.csv', 1, row_number() over (order by first_seen),
               'report_' || level || '.csv' from counts"""
     ),
     "split_by_size": recursive(
         on_report(
-            f"""select 'report' || {PART_NAME} || '.csv' as file, cast(idx as bigint) as pos, csv_text as text
+            f"""select 'report' || {PART_NAME} || '.csv' as file, 1 as section, cast(idx as bigint) as pos, csv_text as text
                 from parted
                 union all
-                select 'report_summary.csv', part_no, 'report' || {PART_NAME} || '.csv'
+                select 'report' || {PART_NAME} || '.csv', 0, 0, {CSV_HEAD.replace("{counts}", ALL_CSV)} {CSV_ROWS_HEAD}
+                from (select distinct part_no, n_parts from parted)
+                union all
+                select 'report_summary.csv', 0, 0, {CSV_HEAD.replace("{counts}", ALL_CSV)} {CSV_SPLIT_HEAD}
+                union all
+                select 'report_summary.csv', 1, part_no, 'report' || {PART_NAME} || '.csv'
                 from (select distinct part_no, n_parts from parted)""",
             packed("", f"strlen({CSV_HEAD.replace('{counts}', ALL_CSV)} {CSV_ROWS_HEAD}) + 5", CSV_SIZE, SPLIT),
         )
     ),
     "split_by_level_and_size": recursive(
         on_report(
-            f"""select 'report_' || level || {PART_NAME} || '.md' as file, idx as pos,
+            f"""select 'report_' || level || {PART_NAME} || '.md' as file, 1 as section, cast(idx as bigint) as pos,
                   '### ' || idx || md_text as text from parted
-                union all select 'report_summary.md', ordinal, '- `' || file || '`' from (
+                union all
+                select 'report_' || level || {PART_NAME} || '.md', 0, 0, {LEVEL_MD_HEAD}
+                from (select distinct level, part_no, n_parts from parted) join counts using (level)
+                union all select 'report_summary.md', 0, 0, {MD_SPLIT_HEAD}
+                union all select 'report_summary.md', 1, ordinal, '- `' || file || '`' from (
                   select row_number() over (order by first_seen, part_no) as ordinal,
                     'report_' || level || {PART_NAME} || '.md' as file
                   from (select distinct level, part_no, n_parts from parted) join counts using (level))""",

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.derived import derive_configs, log_dir, log_lines, table
+from checks.derived import config_dir, derive_configs, log_dir, log_lines, staging, table
 from logweft.functions import levels, text, times
 from logweft.functions.layout import Layout, compile_layout, is_header
 from logweft.operators import entries as E
@@ -17,7 +17,6 @@ from logweft.operators import groups as G
 from logweft.operators.filters import Selection
 from logweft.plans import analysis as A
 from logweft.sources import configs, logs
-from logweft.staging import Staging
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +29,8 @@ LEVELS = ("error", " WARN ")
 KEYWORD = "IllegalStateException: bad"
 FOLDED_KEYWORD = "TIMEOUTexception"
 SPLIT_BYTES = 150_000
+# Few rows in a chunk, so that chunks are composed over two levels.
+CHUNK_ROWS = 16
 
 
 def query(function: Query) -> Query:
@@ -68,29 +69,41 @@ def _counts(spark, sf_dir) -> DataFrame:
 def _identified(spark, sf_dir) -> DataFrame:
     """Entries with their group, staged as an analysis does: two aggregations read them."""
     entries = G.with_group_id(_entries(spark, sf_dir)).drop("full_text")
-    return Staging(spark).write(entries, "entries")
+    return staging(spark).write(entries, "entries")
 
 
-def _records(spark, sf_dir) -> DataFrame:
+def _staged(spark, sf_dir) -> dict[str, DataFrame]:
     identified = _identified(spark, sf_dir)
-    return G.with_line_numbers(G.dedup_groups(identified), G.line_records(G.line_chunks(identified)))
+    return staging(spark).write_all(
+        groups=G.dedup_groups(identified), chunks=G.line_chunks(identified), counts=_counts(spark, sf_dir)
+    )
 
 
-def _plain(groups: DataFrame) -> DataFrame:
-    """All fields of a group, line numbers as text."""
-    numbers = F.array_join(F.col("line_numbers").cast("array<string>"), ",")
-    return groups.select(*G.GROUP_FIELDS).withColumn("line_numbers", numbers)
+def _fields(groups: DataFrame) -> DataFrame:
+    return groups.select(*G.GROUP_FIELDS)
 
 
-def _staged_records(spark, sf_dir) -> tuple[Staging, DataFrame, DataFrame]:
-    staging = Staging(spark)
-    staged = staging.write_all(records=_records(spark, sf_dir), counts=_counts(spark, sf_dir))
-    return staging, staged["records"], staged["counts"]
+def _numbered(chunks: DataFrame, groups: DataFrame) -> DataFrame:
+    """The line numbers of every chunk as text, beside the fields of the group's first entry."""
+    found = G.join_chunks(chunks, groups)
+    numbers = F.array_join(F.col("lines").cast("array<string>"), ",").alias("line_numbers")
+    names = ["filename", "first_line", "count", "batch", "chunk_file", "chunk_no", "n"]
+    return found.select(*names, numbers)
 
 
 def _report(spark, sf_dir, **options) -> reports.Report:
-    staging, records, counts = _staged_records(spark, sf_dir)
-    return reports.build_report(staging, records, counts, reports.ReportOptions(**options))
+    tables = _staged(spark, sf_dir)
+    options = reports.ReportOptions(chunk_rows=CHUNK_ROWS, **options)
+    return reports.build_report(staging(spark), tables["groups"], tables["chunks"], tables["counts"], options)
+
+
+def _lines(report: reports.Report, line_end: str) -> DataFrame:
+    """The pieces of a report put together to lines, without line end and byte order mark."""
+    parts = F.sort_array(F.collect_list(F.struct("piece", "text")))
+    text = F.array_join(F.transform(parts, lambda x: x["text"]), "")
+    lines = report.pieces.groupBy("file", "section", "pos").agg(text.alias("text"))
+    bare = F.expr(f"substring(text, 1, length(text) - {len(line_end)})")
+    return lines.select("file", "section", "pos", F.regexp_replace(bare, f"^{reports.BOM}", "").alias("text"))
 
 
 # --- sources -------------------------------------------------------------------------
@@ -124,7 +137,7 @@ def sample_lines(spark, sf_dir):
 
 @query
 def scan_layout_configs(spark, sf_dir):
-    return configs.extract_candidates(derive_configs(spark, sf_dir))
+    return configs.extract_candidates(derive_configs(spark, sf_dir)).select(*configs.CANDIDATE)
 
 
 @query
@@ -134,7 +147,7 @@ def dedup_candidates(spark, sf_dir):
 
 @query
 def discover_layout_configs(spark, sf_dir):
-    return derive_configs(spark, sf_dir).select("config").where(configs.is_config_name(F.col("config")))
+    return configs.discover_configs(spark, config_dir(spark, sf_dir)).select("config")
 
 
 # --- headers -------------------------------------------------------------------------
@@ -224,10 +237,12 @@ def filter_level(spark, sf_dir):
 
 @query
 def filter_keyword(spark, sf_dir):
-    entries = _entries(spark, sf_dir)
-    exact = filters.filter_keyword(entries, KEYWORD).select(*_PLACE, F.lit("exact").alias("match"))
-    folded = filters.filter_keyword(entries, FOLDED_KEYWORD, ignore_case=True)
-    return exact.unionByName(folded.select(*_PLACE, F.lit("folded").alias("match")))
+    text = F.col("full_text")
+    found = F.array_compact(F.array(
+        F.when(filters.has_keyword(text, KEYWORD), "exact"),
+        F.when(filters.has_keyword(text, FOLDED_KEYWORD, ignore_case=True), "folded"),
+    ))
+    return _entries(spark, sf_dir).select(*_PLACE, F.explode(found).alias("match"))
 
 
 @query
@@ -273,12 +288,13 @@ def level_counts(spark, sf_dir):
 
 @query
 def dedup_groups(spark, sf_dir):
-    return _groups(spark, sf_dir).select(*[name for name in G.GROUP_FIELDS if name != "line_numbers"])
+    return _fields(_groups(spark, sf_dir))
 
 
 @query
 def collect_line_numbers(spark, sf_dir):
-    return _plain(_records(spark, sf_dir))
+    identified = _identified(spark, sf_dir)
+    return _numbered(G.line_chunks(identified), G.dedup_groups(identified))
 
 
 @query
@@ -294,9 +310,11 @@ def merge_groups(spark, sf_dir):
     moment = F.col("entry_time")
     first = identified.where(moment < F.lit(middle).cast("timestamp_ntz"))
     rest = identified.where(moment >= F.lit(middle).cast("timestamp_ntz"))
-    merged = G.merge_groups(G.dedup_groups(first), G.dedup_groups(rest))
-    chunks = G.line_chunks(first, 0).unionByName(G.line_chunks(rest, 1))
-    return _plain(G.with_line_numbers(merged, G.line_records(chunks)))
+    batches = [(G.dedup_groups(half), G.line_chunks(half)) for half in (first, rest)]
+    groups, chunks = G.merge_groups(*batches)
+    lines = chunks.groupBy("gid").agg(F.count("*").alias("n_chunks"), F.sum("n").alias("n_lines"),
+                                      F.sum(F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("line_sum"))
+    return groups.join(lines, "gid").select(*G.GROUP_FIELDS, "first_batch", "n_chunks", "n_lines", "line_sum")
 
 
 @query
@@ -338,8 +356,8 @@ def distinct_counts(spark, sf_dir):
 
 
 def _scored(spark, sf_dir) -> DataFrame:
-    samples = logs.sample_lines(log_lines(spark, sf_dir))
-    return layouts.score_patterns(configs.load_candidates(derive_configs(spark, sf_dir)), samples)
+    candidates = staging(spark).write(configs.load_candidates(derive_configs(spark, sf_dir)), "candidates")
+    return layouts.score_patterns(candidates, log_lines(spark, sf_dir))
 
 
 @query
@@ -389,15 +407,15 @@ def safe_filename_part(spark, sf_dir):
 
 @query
 def rendered_size(spark, sf_dir):
-    records = _records(spark, sf_dir)
-    sizes = [
-        reports.rendered_size(reports.row_text(fmt, F.lit("1")), fmt) + len(reports.LINE_END[fmt])
+    identified = _identified(spark, sf_dir)
+    groups, chunks = G.dedup_groups(identified), G.line_chunks(identified)
+    csv, md = (
+        groups.join(reports.numbers_size(chunks, fmt), "gid").select(
+            "gid", "filename", "first_line", reports.item_size(fmt, F.lit("1")).cast("bigint").alias(f"{fmt}_size")
+        )
         for fmt in ("csv", "md")
-    ]
-    csv_size, md_size = [size.cast("bigint") for size in sizes]
-    return records.select(
-        "filename", "first_line", csv_size.alias("csv_size"), md_size.alias("md_size")
     )
+    return csv.join(md.select("gid", "md_size"), "gid").drop("gid")
 
 
 # --- order ---------------------------------------------------------------------------
@@ -405,7 +423,7 @@ def rendered_size(spark, sf_dir):
 
 @query
 def sort_time(spark, sf_dir):
-    return _plain(G.sort_groups(_records(spark, sf_dir), "time"))
+    return _fields(G.sort_groups(_groups(spark, sf_dir), "time"))
 
 
 @query
@@ -432,7 +450,7 @@ def top5_summary(spark, sf_dir):
 
 def _whole_report(fmt: str) -> Query:
     def run(spark, sf_dir):
-        return _report(spark, sf_dir, fmt=fmt, max_bytes=1 << 50).lines.select("file", "section", "pos", "text")
+        return _lines(_report(spark, sf_dir, fmt=fmt, max_bytes=1 << 50), reports.LINE_END[fmt])
 
     return run
 
@@ -443,26 +461,23 @@ for _fmt in ("csv", "json", "md"):
 
 @query
 def report_summary(spark, sf_dir):
-    report = _report(spark, sf_dir, split_by_level=True)
-    return report.lines.where(F.col("file") == "report_summary.csv").select("section", "pos", "text")
+    lines = _lines(_report(spark, sf_dir, split_by_level=True), "\r\n")
+    return lines.where(F.col("file") == "report_summary.csv").select("section", "pos", "text")
 
 
 @query
 def split_by_size(spark, sf_dir):
-    lines = _report(spark, sf_dir, max_bytes=SPLIT_BYTES).lines
-    return lines.where("section = 1").select("file", "pos", "text")
+    return _lines(_report(spark, sf_dir, max_bytes=SPLIT_BYTES), "\r\n")
 
 
 @query
 def split_by_level(spark, sf_dir):
-    lines = _report(spark, sf_dir, split_by_level=True, max_bytes=1 << 50).lines
-    return lines.where("section < 2").select("file", "section", "pos", "text")
+    return _lines(_report(spark, sf_dir, split_by_level=True, max_bytes=1 << 50), "\r\n")
 
 
 @query
 def split_by_level_and_size(spark, sf_dir):
-    lines = _report(spark, sf_dir, fmt="md", split_by_level=True, max_bytes=SPLIT_BYTES).lines
-    return lines.where("section = 1").select("file", "pos", "text")
+    return _lines(_report(spark, sf_dir, fmt="md", split_by_level=True, max_bytes=SPLIT_BYTES), "\n")
 
 
 @query
@@ -475,24 +490,24 @@ def output_manifest(spark, sf_dir):
 
 @query
 def iter_entries(spark, sf_dir):
-    found = A.iter_entries(Staging(spark), log_dir(spark, sf_dir), start=START, end=END)
+    found = A.iter_entries(staging(spark), log_dir(spark, sf_dir), start=START, end=END)
     return found.withColumn("entry_time", F.col("entry_time").cast("string"))
 
 
 @query
 def parse_directory(spark, sf_dir):
     options = A.AnalysisOptions(log_dir(spark, sf_dir), keyword=FOLDED_KEYWORD, ignore_case=True, sort_by="level")
-    return _plain(A.analyze(Staging(spark), options).sorted_records())
+    return A.analyze(staging(spark), options).sorted_groups().drop("gid")
 
 
 @query
 def run_analysis(spark, sf_dir):
-    staging = Staging(spark)
+    tables = staging(spark)
     options = A.RunOptions(
-        log_dir(spark, sf_dir), start=START, output_path=f"{staging.folder}/out/report.md", fmt="md",
+        log_dir(spark, sf_dir), start=START, output_path=f"{tables.folder}/out/report.md", fmt="md",
         max_bytes=SPLIT_BYTES, split_by_level=True,
     )
-    result = A.run(staging, options)
+    result = A.run(tables, options)
     return result.files.select(
         "*",
         F.lit(result.total_logs).cast("bigint").alias("total_logs"),

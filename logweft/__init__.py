@@ -13,6 +13,7 @@ from logweft.plans.analysis import (
     analyze,
     detect_layout,
     iter_entries,
+    merge,
     run,
 )
 from logweft.staging import Staging
@@ -33,5 +34,6 @@ __all__ = [
     "compile_layout",
     "detect_layout",
     "iter_entries",
+    "merge",
     "run",
 ]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import zip_longest
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,6 +43,7 @@ FIELD_REGEX = {
 }
 LOGGER_BEFORE_METHOD = rf"(.+{NONSPACE}){SPACE}*"
 LOGGER_BEFORE_METHOD_WORDS = ("logger", "lo", "c")
+METHOD_WORDS = ("method", "M")
 OTHER_WORDS = {
     f"{SPACE}*": ("n",),
     f"{NONSPACE}+": ("file", "method", "M", "pid"),
@@ -57,9 +59,6 @@ WRAPPER_WORDS = (
 
 _FIELD_OF = {word: field for field, words in FIELD_WORDS.items() for word in words}
 _OTHER_REGEX_OF = {word: regex for regex, words in OTHER_WORDS.items() for word in words}
-_CONVERSION = re.compile(r"%-?\d*(?:\.\d+)?(?P<word>[A-Za-z]+)(?P<option>\{[^}]*\})?")
-_METHOD_NEXT = re.compile(r"\.%-?\d*(?:\.\d+)?(?:method|M)(?![A-Za-z])")
-_PLACEHOLDER = re.compile(r"\$\{[^{}:]+:-")
 _CLOSER = {"(": ")", "{": "}"}
 
 
@@ -113,10 +112,10 @@ def compile_layout(pattern: str | None = None) -> Layout:
         return Layout(DEFAULT_REGEX, {name: i for i, name in enumerate(FIELDS, 1)})
 
     regex, groups, literal_from = "(?d)^", {}, 0
-    for found in _CONVERSION.finditer(flat):
-        regex += _literal(flat[literal_from : found.start()])
-        literal_from = found.end()
-        word = found["word"]
+    tokens = list(_conversions(flat))
+    for token, following in zip_longest(tokens, tokens[1:]):
+        regex += _literal(flat[literal_from : token.start])
+        literal_from, word = token.end, token.word
         field = _FIELD_OF.get(word)
         if field is None:
             if word not in _OTHER_REGEX_OF:
@@ -126,8 +125,9 @@ def compile_layout(pattern: str | None = None) -> Layout:
         if field in groups:
             raise UnsupportedLayoutError(f"the layout names the {field} twice")
         groups[field] = len(groups) + 1
-        splits_method = word in LOGGER_BEFORE_METHOD_WORDS and _METHOD_NEXT.match(flat, found.end())
-        regex += LOGGER_BEFORE_METHOD if splits_method else FIELD_REGEX[field]
+        to_method = following and following.word in METHOD_WORDS and flat[token.end : following.start] == "."
+        split = to_method and word in LOGGER_BEFORE_METHOD_WORDS
+        regex += LOGGER_BEFORE_METHOD if split else FIELD_REGEX[field]
     missing = [name for name in FIELDS if name not in groups]
     if missing:
         raise UnsupportedLayoutError("the layout lacks: " + ", ".join(missing))
@@ -148,23 +148,76 @@ def _closing(text: str, opening: int) -> int:
     return -1
 
 
+@dataclass(frozen=True)
+class _Conversion:
+    """A conversion specifier: ``start`` of its percent sign, end of its ``word``, ``end`` of its options."""
+
+    start: int
+    word: str
+    word_end: int
+    end: int
+
+
+def _skip(text: str, at: int, allowed: str) -> int:
+    while at < len(text) and text[at] in allowed:
+        at += 1
+    return at
+
+
+def _number(text: str, at: int) -> int:
+    """Past an optional minus sign and digits."""
+    return _skip(text, at + (text[at : at + 1] == "-"), "0123456789")
+
+
+def _conversions(text: str):
+    """The specifiers in a pattern: percent, minimum, dot and maximum, word, options in braces."""
+    at = text.find("%")
+    while at >= 0:
+        begin = _number(text, at + 1)
+        if text[begin : begin + 1] == ".":
+            begin = _number(text, begin + 1)
+        word_end = begin
+        while word_end < len(text) and text[word_end].isascii() and text[word_end].isalpha():
+            word_end += 1
+        if word_end > begin:
+            close = text.find("}", word_end) if text[word_end : word_end + 1] == "{" else -1
+            end = close + 1 if close >= 0 else word_end
+            yield _Conversion(at, text[begin:word_end], word_end, end)
+            at = text.find("%", end)
+        else:
+            at = text.find("%", at + 1)
+
+
+def _placeholder(text: str) -> tuple[int, int] | None:
+    """Where the first ``${NAME:-`` starts and its default begins."""
+    start = text.find("${")
+    while start >= 0:
+        stop = start + 2
+        while stop < len(text) and text[stop] not in "{}:":
+            stop += 1
+        if stop > start + 2 and text[stop : stop + 2] == ":-":
+            return start, stop + 2
+        start = text.find("${", start + 1)
+    return None
+
+
 def _use_defaults(text: str) -> str:
     """Put the default in the place of every ``${NAME:-default}``."""
-    found = _PLACEHOLDER.search(text)
+    found = _placeholder(text)
     if found is None:
         return text
-    end = _closing(text, found.start() + 1)
+    start, begin = found
+    end = _closing(text, start + 1)
     if end < 0:
-        return text[: found.end()] + _use_defaults(text[found.end() :])
-    default = _use_defaults(text[found.end() : end])
-    return text[: found.start()] + default + _use_defaults(text[end + 1 :])
+        return text[:begin] + _use_defaults(text[begin:])
+    return text[:start] + _use_defaults(text[begin:end]) + _use_defaults(text[end + 1 :])
 
 
 def _unwrap(text: str) -> str:
     """Keep what colour and replace wrappers enclose, drop the wrappers."""
-    for found in _CONVERSION.finditer(text):
-        opening = found.end("word")
-        if found["word"] not in WRAPPER_WORDS or text[opening : opening + 1] != "(":
+    for found in _conversions(text):
+        opening = found.word_end
+        if found.word not in WRAPPER_WORDS or text[opening : opening + 1] != "(":
             continue
         end = _closing(text, opening)
         if end < 0:
@@ -173,5 +226,5 @@ def _unwrap(text: str) -> str:
         while text[rest : rest + 1] == "{" and _closing(text, rest) > 0:
             rest = _closing(text, rest) + 1
         inner = _unwrap(text[opening + 1 : end])
-        return text[: found.start()] + inner + _unwrap(text[rest:])
+        return text[: found.start] + inner + _unwrap(text[rest:])
     return text

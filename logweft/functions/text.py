@@ -53,13 +53,17 @@ def split_lines(text: Column) -> Column:
 def lenient_utf8(text: Column) -> Column:
     """Drop byte sequences that are not UTF-8, keep everything else.
 
-    A line that really contains U+FFFD keeps it: it is parked on a
-    noncharacter while the invalid bytes are marked and removed.
+    A line that really contains U+FFFD keeps it: it is written with a noncharacter while the
+    invalid bytes are marked and removed, and so is the noncharacter itself.
     """
-    parked = F.replace(text, F.lit(REPLACEMENT), F.lit(STAND_IN))
-    cleaned = F.replace(F.make_valid_utf8(parked), F.lit(REPLACEMENT), F.lit(""))
-    restored = F.replace(cleaned, F.lit(STAND_IN), F.lit(REPLACEMENT))
-    return F.when(F.is_valid_utf8(text), text).otherwise(restored)
+    escapes = [(STAND_IN, STAND_IN + "0"), (REPLACEMENT, STAND_IN + "1")]
+    clean = text
+    for char, escape in escapes:
+        clean = F.replace(clean, F.lit(char), F.lit(escape))
+    clean = F.replace(F.make_valid_utf8(clean), F.lit(REPLACEMENT), F.lit(""))
+    for char, escape in reversed(escapes):
+        clean = F.replace(clean, F.lit(escape), F.lit(char))
+    return F.when(F.is_valid_utf8(text), text).otherwise(clean)
 
 
 def starts_trace(line: Column) -> Column:

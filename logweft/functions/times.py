@@ -77,7 +77,7 @@ def parse_datetime_text(text: Column, end_of_day: bool = False) -> Column:
     return F.when(~shaped.startswith("0000"), shaped.try_cast("timestamp_ntz"))
 
 
-_DATE = re.compile(r"(\d{4})-?(\d{2})-?(\d{2})|(\d{4})-(\d{1,2})-(\d{1,2})")
+_DATE = re.compile(r"(\d{4})(\d{2})(\d{2})|(\d{4})-(\d{1,2})-(\d{1,2})")
 _WHOLE_DAY = re.compile(r"\d{4}-\d{2}-\d{2}|\d{8}")
 _CLOCK = re.compile(r"(\d{2})(\d{2})(\d{2})?|(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?")
 

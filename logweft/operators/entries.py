@@ -20,8 +20,8 @@ from logweft.operators.filters import Selection, header_selected
 from logweft.sources.logs import block_columns, log_name
 from logweft.staging import Staging
 
-# A block table of up to this many rows (about 100 bytes each) is broadcast.
-BROADCAST_BLOCKS = 1_000_000
+# A block table of up to this many bytes is broadcast; a row has this many beside its names.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 96
 # Bytes of lines that one task puts together, at most.
 TASK_BYTES = 512 << 20
 CHANGED = "the file blocks changed between two scans"
@@ -59,10 +59,11 @@ def staged_block_table(
     partitions is kept (``None``) unless a task would get too many bytes.
     """
     blocks = staging.write(block_table(scanned, layout), "blocks")
-    n_blocks, n_bytes = blocks.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    names = sum((F.octet_length(c) for c in block_columns(blocks) if c != "start"), F.lit(ROW_BYTES))
+    held, n_bytes = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in (names, F.col("n_bytes"))]).first()
     tasks = -(-n_bytes // TASK_BYTES)
     usual = int(staging.spark.conf.get("spark.sql.shuffle.partitions"))
-    table = F.broadcast(blocks) if n_blocks <= BROADCAST_BLOCKS else blocks
+    table = F.broadcast(blocks) if held <= BROADCAST_BYTES else blocks
     return table, (tasks if tasks > usual else None)
 
 

@@ -48,11 +48,11 @@ def filter_level(entries: DataFrame, levels: tuple[str, ...] | None) -> DataFram
     return entries.where(level_selected(F.col("level"), levels))
 
 
+def has_keyword(text: Column, keyword: str, ignore_case: bool = False) -> Column:
+    wanted = F.lit(keyword)
+    return F.contains(F.lower(text), F.lower(wanted)) if ignore_case else F.contains(text, wanted)
+
+
 def filter_keyword(entries: DataFrame, keyword: str | None, ignore_case: bool = False) -> DataFrame:
     """Entries whose message or continuation lines contain the keyword as written."""
-    if not keyword:
-        return entries
-    text, wanted = F.col("full_text"), F.lit(keyword)
-    if ignore_case:
-        text, wanted = F.lower(text), F.lower(wanted)
-    return entries.where(F.contains(text, wanted))
+    return entries.where(has_keyword(F.col("full_text"), keyword, ignore_case)) if keyword else entries

@@ -1,9 +1,9 @@
 """Entries that say the same, merged and counted.
 
 A group may hold a third of all entries. Counts and first/last values are
-aggregated before the shuffle, so they never meet as rows. Line numbers are
-gathered per bounded run of lines (a chunk); chunks are joined to one list for
-ordinary groups and stay separate records for groups above ``max_lines``.
+aggregated before the shuffle, so they never meet as rows. A group is always one
+row. Its line numbers are the rows of a child table, one per bounded run of lines
+of a file (a chunk), so no value grows with the group.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from logweft.sources.logs import LINES_PER_BLOCK, block_columns, log_name
 GROUP_KEY = ["level", "logger", "message", "message_body", "stacktrace"]
 GROUP_FIELDS = [
     "count",
-    "line_numbers",
     "timestamp",
     "last_timestamp",
     "level",
@@ -29,7 +28,8 @@ GROUP_FIELDS = [
     "stacktrace",
 ]
 CHUNK = ["batch", "chunk_file", "chunk_no"]
-MAX_LINES_PER_RECORD = 100_000
+# A share of all entries that few groups can hold: at most so many do.
+LARGE_GROUPS = 1_000
 
 
 def group_id() -> Column:
@@ -65,7 +65,7 @@ def level_summary(counts: DataFrame) -> DataFrame:
 
 
 def dedup_groups(identified: DataFrame) -> DataFrame:
-    """One row per group: count, first and last encounter, no line numbers."""
+    """One row per group: count, first and last encounter."""
     place = ["filename", "line_num"]
     first = F.min(F.struct(*place, "timestamp", "thread", *GROUP_KEY)).alias("first")
     last = F.max(F.struct(*place, "timestamp")).alias("last")
@@ -85,6 +85,7 @@ def dedup_groups(identified: DataFrame) -> DataFrame:
             "first.message_body",
             "first.stacktrace",
             F.col("first.line_num").alias("first_line"),
+            F.lit(0).alias("first_batch"),
         )
     )
 
@@ -102,56 +103,48 @@ def line_chunks(identified: DataFrame, batch: int = 0) -> DataFrame:
     )
 
 
-def line_records(chunks: DataFrame, max_lines: int = MAX_LINES_PER_RECORD) -> DataFrame:
-    """Line numbers in encounter order: one record per group up to ``max_lines``.
-
-    The chunks of larger groups are records of their own, so that no record
-    grows with the data. ``record`` orders the records of a group.
-    """
-    chunk = F.struct(*CHUNK)
-    whole_group = F.struct(
-        F.lit(0).alias("batch"), F.lit("").alias("chunk_file"), F.lit(-1).cast("bigint").alias("chunk_no")
-    )
-    large = (
-        chunks.groupBy("gid")
-        .agg(F.sum("n").alias("_n"))
-        .where(F.col("_n") > max_lines)
-        .select("gid", F.lit(True).alias("_large"))
-    )
-    return (
-        chunks.join(large, "gid", "left")
-        .groupBy("gid", F.when(F.col("_large"), chunk).otherwise(whole_group).alias("record"))
-        .agg(F.sort_array(F.collect_list(F.struct(*CHUNK, "lines"))).alias("_chunks"))
-        .select(
-            "gid",
-            "record",
-            F.flatten(F.transform("_chunks", lambda c: c["lines"])).alias("line_numbers"),
-        )
-    )
-
-
-def with_line_numbers(groups: DataFrame, records: DataFrame) -> DataFrame:
-    """Groups with all fields; a group above the record limit has several rows."""
-    return groups.join(records, "gid").select("gid", *GROUP_FIELDS, "first_line", "record")
-
-
-def merge_groups(*batches: DataFrame) -> DataFrame:
-    """Merge group tables of successive runs, earlier ones first."""
-    union = None
-    for number, groups in enumerate(batches):
-        numbered = groups.withColumn("batch", F.lit(number))
+def merge_groups(*batches: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Merge (groups, line chunks) of successive runs, earlier ones first."""
+    union, lines = None, None
+    for number, (groups, chunks) in enumerate(batches):
+        numbered = groups.withColumn("first_batch", F.lit(number))
+        chunks = chunks.withColumn("batch", F.lit(number))
         union = numbered if union is None else union.unionByName(numbered)
-    kept = [c for c in batches[0].columns if c not in ("gid", "count", "last_timestamp")]
-    return (
+        lines = chunks if lines is None else lines.unionByName(chunks)
+    columns = batches[0][0].columns
+    kept = [c for c in columns if c not in ("gid", "count", "last_timestamp", "first_batch")]
+    merged = (
         union.groupBy("gid")
         .agg(
             F.sum("count").alias("count"),
-            F.min(F.struct("batch", *kept)).alias("first"),
-            F.max(F.struct("batch", "last_timestamp")).alias("last"),
+            F.min(F.struct("first_batch", *kept)).alias("first"),
+            F.max(F.struct("first_batch", "last_timestamp")).alias("last"),
         )
-        .select("gid", "count", "last.last_timestamp", *[f"first.{name}" for name in kept])
-        .select(*batches[0].columns)
+        .select("gid", "count", "last.last_timestamp", "first.first_batch", *[f"first.{name}" for name in kept])
     )
+    return merged.select(*columns), lines
+
+
+def first_chunk() -> Column:
+    """Whether a chunk is the one that its group was met first in."""
+    return (
+        (F.col("batch") == F.col("first_batch"))
+        & (F.col("chunk_file") == F.col("filename"))
+        & (F.col("chunk_no") == F.floor(F.col("first_line") / LINES_PER_BLOCK))
+    )
+
+
+def join_chunks(chunks: DataFrame, groups: DataFrame) -> DataFrame:
+    """Chunks with what ``groups`` (gid, count, ...) say about their group.
+
+    Groups that hold a thousandth of all entries or more are at most a thousand rows, and
+    are broadcast. So the chunks of a hot group stay where they are, and none of the others
+    is large.
+    """
+    total = groups.agg(F.coalesce(F.sum("count"), F.lit(0))).scalar()
+    large = F.broadcast(groups.where(F.col("count") * LARGE_GROUPS >= total))
+    rest = chunks.join(large.select("gid"), "gid", "left_anti")
+    return chunks.join(large, "gid").unionByName(rest.join(groups, "gid"))
 
 
 def totals(counts: DataFrame, groups: DataFrame) -> DataFrame:

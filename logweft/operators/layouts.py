@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from logweft.functions.layout import UnsupportedLayoutError, compile_layout
+from logweft.sources.logs import sample_lines
 
 
 def _regex_or_none(pattern: str) -> str | None:
@@ -23,18 +24,19 @@ def layout_regex(patterns: pd.Series) -> pd.Series:
     return patterns.map(_regex_or_none)
 
 
-def score_patterns(candidates: DataFrame, samples: DataFrame) -> DataFrame:
-    """Sample lines each candidate matches. ``samples`` holds few lines by definition.
+def score_patterns(candidates: DataFrame, lines: DataFrame, limit: int = 50) -> DataFrame:
+    """Lines each candidate matches among the first ``limit`` of ``lines``.
 
-    Configurations repeat patterns, so every distinct pattern is tried once.
+    Configurations repeat patterns, so every distinct pattern is tried once. ``candidates``
+    is read twice and should be staged.
     """
-    lines = samples.agg(F.collect_list(F.concat("value", F.lit("\n"))).alias("lines"))
+    sampled = sample_lines(lines, limit).agg(F.collect_list(F.concat("value", F.lit("\n"))).alias("lines"))
     matching = F.filter("lines", lambda line: F.rlike(line, F.col("regex")))
     tried = (
         candidates.select("pattern")
         .distinct()
         .withColumn("regex", layout_regex("pattern"))
-        .withColumn("lines", lines.scalar())
+        .withColumn("lines", sampled.scalar())
         .select(
             "pattern",
             F.when(F.col("regex").isNull(), 0).otherwise(F.size(matching)).cast("bigint").alias("matches"),

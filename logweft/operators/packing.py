@@ -5,8 +5,10 @@ It is computed without a sequential pass over the rows. Rows are cut into chunks
 of bounded length. For one chunk, how full the current part is on entry decides
 where the first cut falls, and from there on the chunk alone decides the rest:
 a chunk is a step function from the state on entry to the state on exit. The
-functions are computed in parallel, chained chunk by chunk (few rows each), and
-the rows of each chunk are then packed in parallel from their known entry state.
+functions are computed in parallel and composed in a tree, ``FAN_IN`` neighbours
+at a time. A composed function has no more steps than rows fit in one part, since
+the first cut comes before more. From the root the entry states go down again, and
+the rows of each chunk are packed in parallel from theirs.
 
 State: ``used`` bytes (header and rows so far) and ``rows`` in the current part.
 """
@@ -19,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweft.operators.numbering import running_before
+from logweft.staging import Staging
 
 CHUNK_ROWS = 1 << 21
-_STEP_SCHEMA = (
-    "unit string, chunk long, step int, skip_rows long, skip_bytes long, "
-    "exit_used long, exit_rows long, cuts long"
-)
-_ENTRY_SCHEMA = "unit string, chunk long, used long, rows long, part_no long"
+FAN_IN = 32
+_STEPS = ["skip_rows", "skip_bytes", "exit_used", "exit_rows", "cuts"]
+_STEP_SCHEMA = "unit string, node long, step int, opening long, " + ", ".join(f"{c} long" for c in _STEPS)
+_ENTRY_SCHEMA = "unit string, node long, used long, rows long, part_no long"
 _PACKED_SCHEMA = "unit string, pos long, part_no long, idx long"
 
 
@@ -78,61 +80,116 @@ class _Packer:
         fresh = np.array([self.opening])
         last = int(self.first_cut(fresh, np.array([0]), np.array([1]))[0])
         cut = np.arange(min(last, self.n - 1) + 1)
-        start, cuts = cut.copy(), np.ones_like(cut)
-        while True:
-            following = self.next_part(start)
-            inside = following < self.n
-            if not inside.any():
-                break
-            start = np.where(inside, following, start)
-            cuts = cuts + inside
-        changed = np.ones(len(cut), dtype=bool)
-        changed[1:] = (start[1:] != start[:-1]) | (cuts[1:] != cuts[:-1])
-        cut, start, cuts = cut[changed], start[changed], cuts[changed]
-        return pd.DataFrame(
+        # Where the part that starts at a row is followed by another, jump there, then twice as far.
+        row = np.arange(self.n)
+        following = self.next_part(row)
+        inside = following < self.n
+        start, cuts = np.where(inside, following, row), inside.astype(np.int64)
+        while (start[start] != start).any():
+            cuts = cuts + cuts[start]
+            start = start[start]
+        table = pd.DataFrame(
             {
-                "skip_rows": np.append(cut, self.n),
-                "skip_bytes": np.append(self.before[cut], self.before[self.n]),
-                "exit_used": np.append(self.opening + self.before[self.n] - self.before[start], -1),
-                "exit_rows": np.append(self.n - start, -1),
-                "cuts": np.append(cuts, 0),
+                "skip_rows": cut,
+                "skip_bytes": self.before[cut],
+                "exit_used": self.opening + self.before[self.n] - self.before[start[cut]],
+                "exit_rows": self.n - start[cut],
+                "cuts": cuts[cut] + 1,
             }
         )
+        whole = pd.DataFrame([[self.n, self.before[self.n], -1, -1, 0]], columns=_STEPS)
+        return _shortened(pd.concat([table, whole], ignore_index=True), self.opening, self.limit, self.numbered)
 
     def pack(self, used: int, rows: int, part_no: int) -> tuple[np.ndarray, np.ndarray]:
         """Part number and index in the part of every row, from the entry state."""
-        starts = [0 if rows == 0 else int(self._one_cut(used, rows))]
-        while starts[-1] < self.n:
-            starts.append(int(self.next_part(np.array([starts[-1]]))[0]))
-        starts = np.array(starts[:-1], dtype=np.int64)
+        start = 0 if rows == 0 else int(self.first_cut(np.array([used]), np.array([rows]), np.array([0]))[0])
+        starts, following = [], self.next_part(np.arange(self.n)).tolist()
+        while start < self.n:
+            starts.append(start)
+            start = following[start]
+        starts = np.array(starts, dtype=np.int64)
         row = np.arange(self.n)
         nth = np.searchsorted(starts, row, side="right")
         own_start = np.where(nth > 0, starts[np.maximum(nth - 1, 0)] if len(starts) else 0, -rows)
         return part_no + nth, row - own_start + 1
 
-    def _one_cut(self, used: int, rows: int) -> int:
-        return self.first_cut(np.array([used]), np.array([rows]), np.array([0]))[0]
-
-
-def _chain(steps: pd.DataFrame, opening: int, limit: int, numbered: bool) -> pd.DataFrame:
-    """Follow the step functions of one unit's chunks from the empty first part."""
-    used, rows, part_no, entries = opening, 0, 0, []
-    for chunk, table in steps.sort_values(["chunk", "step"]).groupby("chunk", sort=True):
-        entries.append((chunk, used, rows, part_no))
-        skip_rows = table["skip_rows"].to_numpy()
-        filled = used + table["skip_bytes"].to_numpy()
-        if numbered:
-            filled = filled + _digits(rows + skip_rows)
-        # A first cut at or after a step needs the rows before that step to fit.
-        reached = (filled <= limit) | (skip_rows == 0)
-        at = 0 if rows == 0 else int(np.flatnonzero(reached)[-1])
-        step = table.iloc[at]
-        if step["cuts"] == 0:
-            used, rows = used + int(step["skip_bytes"]), rows + int(step["skip_rows"])
-        else:
-            used, rows = int(step["exit_used"]), int(step["exit_rows"])
-            part_no += int(step["cuts"])
-    return pd.DataFrame(entries, columns=["chunk", "used", "rows", "part_no"])
+
+def _shortened(table: pd.DataFrame, opening: int, limit: int, numbered: bool) -> pd.DataFrame:
+    """Without steps that no state reaches, and without those that lead to the exit of the one before."""
+    filled = opening + table["skip_bytes"].to_numpy()
+    if numbered:
+        filled = filled + _digits(table["skip_rows"].to_numpy())
+    table = table[(filled <= limit) | (table["skip_rows"] == 0)]
+    exits = table[["exit_used", "exit_rows", "cuts"]].to_numpy()
+    changed = np.ones(len(table), dtype=bool)
+    changed[1:] = (exits[1:] != exits[:-1]).any(axis=1)
+    return table[changed].reset_index(drop=True)
+
+
+class _Steps:
+    """A step function over states (arrays of ``used`` and ``rows``)."""
+
+    def __init__(self, table: pd.DataFrame, limit: int, numbered: bool):
+        self.columns = [table[name].to_numpy() for name in _STEPS]
+        self.limit, self.numbered = limit, numbered
+
+    def apply(self, used: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Exit states, and how many parts begin."""
+        skip_rows, skip_bytes, exit_used, exit_rows, cuts = self.columns
+        # The last step whose rows before it still fit; the first needs none.
+        low, high = np.zeros(len(used), np.int64), np.full(len(used), len(cuts) - 1)
+        while (low < high).any():
+            middle = (low + high + 1) // 2
+            filled = used + skip_bytes[middle]
+            if self.numbered:
+                filled = filled + _digits(rows + skip_rows[middle])
+            fits = (filled <= self.limit) & (rows > 0)
+            low, high = np.where(fits, middle, low), np.where(fits, high, middle - 1)
+        whole = cuts[low] == 0
+        used = np.where(whole, used + skip_bytes[low], exit_used[low])
+        return used, np.where(whole, rows + skip_rows[low], exit_rows[low]), cuts[low]
+
+
+def _composed(first: pd.DataFrame, second: pd.DataFrame, opening: int, limit: int, numbered: bool) -> pd.DataFrame:
+    """The step function of two neighbours; ``second`` must follow a chunk with rows."""
+    cut = first[first["cuts"] > 0].copy()
+    used, rows, cuts = _Steps(second, limit, numbered).apply(cut["exit_used"].to_numpy(), cut["exit_rows"].to_numpy())
+    cut["exit_used"], cut["exit_rows"], cut["cuts"] = used, rows, cut["cuts"].to_numpy() + cuts
+    whole = first[first["cuts"] == 0]
+    if len(whole):  # no cut in the first: the cuts of the second come after all its rows
+        shifted = second.copy()
+        shifted["skip_rows"] += int(whole["skip_rows"].iloc[0])
+        shifted["skip_bytes"] += int(whole["skip_bytes"].iloc[0])
+        cut = pd.concat([cut, shifted], ignore_index=True)
+    return _shortened(cut, opening, limit, numbered)
+
+
+def _tables(steps: pd.DataFrame) -> list[tuple[int, pd.DataFrame]]:
+    """The step functions of neighbours in order."""
+    ordered = steps.sort_values(["node", "step"])
+    return [(int(node), table[_STEPS]) for node, table in ordered.groupby("node", sort=True)]
+
+
+def _joined(steps: pd.DataFrame, limit: int, numbered: bool) -> pd.DataFrame:
+    """The step functions of up to ``FAN_IN`` neighbours as one."""
+    opening = int(steps["opening"].iloc[0])
+    (first, table), *more = _tables(steps)
+    for _, following in more:
+        table = _composed(table, following, opening, limit, numbered)
+    return table.assign(
+        unit=steps["unit"].iloc[0], node=first // FAN_IN, step=np.arange(len(table)), opening=opening
+    )
+
+
+def _walked(steps: pd.DataFrame, limit: int, numbered: bool) -> pd.DataFrame:
+    """The entry states of neighbours, from the state on entry to the first of them."""
+    used, rows, part_no = (int(steps[name].iloc[0]) for name in ("used", "rows", "part_no"))
+    entries = []
+    for node, table in _tables(steps):
+        entries.append((node, used, rows, part_no))
+        after = _Steps(table, limit, numbered).apply(np.array([used]), np.array([rows]))
+        used, rows, part_no = int(after[0][0]), int(after[1][0]), part_no + int(after[2][0])
+    return pd.DataFrame(entries, columns=["node", "used", "rows", "part_no"]).assign(unit=steps["unit"].iloc[0])
 
 
 def _all_fit(sizes: DataFrame, limit: int, separator: int, numbered: bool) -> bool:
@@ -144,7 +201,12 @@ def _all_fit(sizes: DataFrame, limit: int, separator: int, numbered: bool) -> bo
 
 
 def pack_parts(
-    sizes: DataFrame, limit: int, separator: int = 0, numbered: bool = False, chunk_rows: int = CHUNK_ROWS
+    staging: Staging,
+    sizes: DataFrame,
+    limit: int,
+    separator: int = 0,
+    numbered: bool = False,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Part number and index in the part for every report row.
 
@@ -165,8 +227,9 @@ def pack_parts(
         "pos",
         (F.col("size") + separator).alias("size"),
         (F.col("opening") - separator).alias("opening"),
-        F.floor(F.col("rank") / chunk_rows).alias("chunk"),
+        F.floor(F.col("rank") / chunk_rows).alias("node"),
     )
+    ranked = staging.write(ranked, "ranked")
 
     def packer(rows: pd.DataFrame) -> _Packer:
         return _Packer(rows["size"].to_numpy(), int(rows["opening"].iloc[0]), limit, numbered)
@@ -174,14 +237,10 @@ def pack_parts(
     def steps_of(rows: pd.DataFrame) -> pd.DataFrame:
         table = packer(rows.sort_values("pos")).steps()
         return table.assign(
-            unit=rows["unit"].iloc[0], chunk=rows["chunk"].iloc[0], step=np.arange(len(table)),
+            unit=rows["unit"].iloc[0], node=rows["node"].iloc[0], step=np.arange(len(table)),
             opening=rows["opening"].iloc[0],
         )
 
-    def chain(steps: pd.DataFrame) -> pd.DataFrame:
-        entries = _chain(steps, int(steps["opening"].iloc[0]), limit, numbered)
-        return entries.assign(unit=steps["unit"].iloc[0])
-
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos")
         entry = rows.iloc[0]
@@ -190,14 +249,25 @@ def pack_parts(
             {"unit": rows["unit"], "pos": rows["pos"], "part_no": part_no, "idx": idx}
         )
 
-    entries = (
-        ranked.groupBy("unit", "chunk")
-        .applyInPandas(steps_of, _STEP_SCHEMA + ", opening long")
-        .groupBy("unit")
-        .applyInPandas(chain, _ENTRY_SCHEMA)
-    )
+    parent = F.floor(F.col("node") / FAN_IN).alias("parent")
+    levels = [staging.write(ranked.groupBy("unit", "node").applyInPandas(steps_of, _STEP_SCHEMA), "steps")]
+    last = ranked.agg(F.max("node")).first()[0]
+    while last >= FAN_IN:
+        last //= FAN_IN
+        joined = levels[-1].groupBy("unit", parent).applyInPandas(
+            lambda steps: _joined(steps, limit, numbered), _STEP_SCHEMA
+        )
+        levels.append(staging.write(joined, "steps"))
+    roots = ranked.groupBy("unit").agg(F.min("opening").alias("used"))
+    entries = roots.select("unit", F.lit(0).cast("bigint").alias("parent"), "used", F.lit(0).cast("bigint").alias("rows"),
+                           F.lit(0).cast("bigint").alias("part_no"))
+    for steps in reversed(levels):
+        known = steps.withColumn("parent", parent).join(entries, ["unit", "parent"])
+        entries = known.groupBy("unit", "parent").applyInPandas(lambda rows: _walked(rows, limit, numbered), _ENTRY_SCHEMA)
+        entries = staging.write(entries, "entries").withColumnRenamed("node", "parent")
+    entries = entries.withColumnRenamed("parent", "node")
     return (
-        ranked.join(entries, ["unit", "chunk"])
-        .groupBy("unit", "chunk")
+        ranked.join(entries, ["unit", "node"])
+        .groupBy("unit", "node")
         .applyInPandas(pack, _PACKED_SCHEMA)
     )

@@ -1,8 +1,10 @@
 """Reports as rows of text: CSV, JSON or Markdown, split by size and level.
 
-Rendering, packing into parts and writing all work on rows. A report file
-``report_ERROR_part001.csv`` is written as the folder
-``file=report_ERROR_part001.csv``; its part files in name order are its content.
+Rendering, packing into parts and writing all work on rows. A group is one item of
+a report, but its line numbers may be many, so its text is written as pieces: what
+comes before the numbers, the numbers of each chunk, what comes after. A report file
+``report_ERROR_part001.csv`` is the folder ``file=report_ERROR_part001.csv``; its part
+files in name order are its content.
 """
 
 from __future__ import annotations
@@ -13,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweft.functions.text import rstrip, safe_file_part, strip
-from logweft.operators.groups import GROUP_FIELDS, report_order
+from logweft.operators.groups import CHUNK, GROUP_FIELDS, first_chunk, join_chunks, report_order
 from logweft.operators.packing import CHUNK_ROWS, pack_parts
+from logweft.operators.pieces import write_pieces
 from logweft.staging import Staging
 
 # Sizes, and the words and layout of the reports.
@@ -45,7 +48,6 @@ MD_BODY_TITLE = "#### 延伸訊息:"
 MD_TRACE_TITLE = "#### 內容/堆疊追蹤 (含原始行號):"
 MD_NO_MATCH = "無符合條件的記錄"
 ONE_TASK_BYTES = 1 << 30  # a report file up to this size is written by one task
-REPORT_KEY = ["gid", "record"]
 LINE_END = {"csv": "\r\n", "json": "\n", "md": "\n"}
 JSON_ESCAPES = {"\\": "\\\\", '"': '\\"', "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
 
@@ -65,11 +67,16 @@ class ReportOptions:
         return self.suffix or f".{self.fmt}"
 
 
+#: What stands between two line numbers.
+NUMBER_SEPARATOR = {"csv": ", ", "json": ",\n" + " " * 16, "md": ", "}
+
+
 # --- one group as text ---------------------------------------------------------------
 
 
-def _numbers(separator: str) -> Column:
-    return F.array_join(F.col("line_numbers").cast("array<string>"), separator)
+def chunk_text(fmt: str) -> Column:
+    """The line numbers of one chunk."""
+    return F.array_join(F.col("lines").cast("array<string>"), NUMBER_SEPARATOR[fmt])
 
 
 def _csv_field(text: Column) -> Column:
@@ -77,15 +84,16 @@ def _csv_field(text: Column) -> Column:
     return F.when(text.rlike('[",\r\n]'), quoted).otherwise(text)
 
 
-def csv_text() -> Column:
+def csv_text() -> tuple[Column, Column]:
     fields = F.array(
-        F.col("count").cast("string"),
-        _numbers(", "),
-        *[F.col(name) for name in GROUP_FIELDS[2:9]],
+        *[F.col(name) for name in GROUP_FIELDS[1:8]],
         strip(F.col("message_body")),
         strip(F.col("stacktrace")),
     )
-    return F.array_join(F.transform(fields, _csv_field), ",")
+    # Several numbers hold commas and are quoted.
+    quote = F.when(F.col("count") > 1, '"').otherwise("")
+    before = F.concat(F.col("count").cast("string"), F.lit(","), quote)
+    return before, F.concat(quote, F.lit(","), F.array_join(F.transform(fields, _csv_field), ","))
 
 
 def _json_string(text: Column) -> Column:
@@ -98,24 +106,19 @@ def _json_string(text: Column) -> Column:
     return F.concat(F.lit('"'), escaped, F.lit('"'))
 
 
-def json_text() -> Column:
+def json_text() -> tuple[Column, Column]:
     """A group as an indented JSON object inside the results list."""
-    names = GROUP_FIELDS[2:]
+    names = GROUP_FIELDS[1:]
     values = F.transform(F.array(*[F.col(name) for name in names]), _json_string)
     pad, inner = " " * 12, " " * 16
-    members = [
-        F.concat(F.lit(f'{pad}"count": '), F.col("count").cast("string")),
-        F.concat(
-            F.lit(f'{pad}"line_numbers": [\n{inner}'), _numbers(f",\n{inner}"), F.lit(f"\n{pad}]")
-        ),
-        *[F.concat(F.lit(f'{pad}"{name}": '), F.get(values, F.lit(i))) for i, name in enumerate(names)],
-    ]
-    body = F.concat(F.lit("        {\n"), F.concat_ws(",\n", *members), F.lit("\n        }"))
-    # Unicode line ends inside a text start a new indented line, too.
-    return F.regexp_replace(body, "[\\x{85}\\x{2028}\\x{2029}]", "\n        ")
-
-
-def md_text(index: Column) -> Column:
+    before = F.concat(
+        F.lit(f'        {{\n{pad}"count": '), F.col("count").cast("string"), F.lit(f',\n{pad}"line_numbers": [\n{inner}')
+    )
+    members = [F.concat(F.lit(f'{pad}"{name}": '), F.get(values, F.lit(i))) for i, name in enumerate(names)]
+    return before, F.concat(F.lit(f"\n{pad}],\n"), F.concat_ws(",\n", *members), F.lit("\n        }"))
+
+
+def md_text(index: Column) -> tuple[Column, Column]:
     def code(title: str, text: Column) -> Column:
         return F.concat(F.lit(f"{title}: `"), text, F.lit("`"))
 
@@ -129,10 +132,10 @@ def md_text(index: Column) -> Column:
         F.concat_ws(f"` {MD_TIME_RANGE_TO} `", F.col("timestamp"), F.col("last_timestamp")),
     )
     body, trace = F.col("message_body"), F.col("stacktrace")
-    return F.concat_ws(
+    title = F.concat(F.lit("### "), index, F.lit(". ["), F.col("level"), F.lit("] "), F.col("message"))
+    after = F.concat_ws(
         "\n",
-        F.concat(F.lit("### "), index, F.lit(". ["), F.col("level"), F.lit("] "), F.col("message")),
-        code(MD_LINES, _numbers(", ")),
+        F.lit("`"),
         F.when(F.col("count") > 1, span).otherwise(once),
         code(MD_THREAD, F.col("thread")),
         code(MD_LOGGER, F.col("logger")),
@@ -141,18 +144,33 @@ def md_text(index: Column) -> Column:
         F.when(trace != "", block(MD_TRACE_TITLE, "java", strip(trace))),
         F.lit("\n---"),
     )
+    return F.concat(title, F.lit(f"\n{MD_LINES}: `")), after
 
 
-def row_text(fmt: str, index: Column) -> Column:
-    """One group as the text between two line ends of the report."""
+def item_text(fmt: str, index: Column) -> tuple[Column, Column]:
+    """What a report says of a group before and after its line numbers, without the line end."""
     return {"csv": csv_text, "json": json_text}[fmt]() if fmt != "md" else md_text(index)
 
 
+def numbers_size(chunks: DataFrame, fmt: str) -> DataFrame:
+    """Bytes of all line numbers of every group: ``gid, numbers``."""
+    between = len(NUMBER_SEPARATOR[fmt])
+    size = F.sum(F.octet_length(chunk_text(fmt)) + between) - between
+    return chunks.groupBy("gid").agg(size.cast("bigint").alias("numbers"))
+
+
 def rendered_size(text: Column, fmt: str) -> Column:
     """UTF-8 bytes of a block; every CSV block counts a byte order mark."""
     return F.octet_length(text) + (CSV_BLOCK_EXTRA if fmt == "csv" else 0)
 
 
+def item_size(fmt: str, index: Column) -> Column:
+    """UTF-8 bytes of a group's block with ``numbers`` bytes of line numbers, line end included."""
+    before, after = item_text(fmt, index)
+    line_end = 0 if fmt == "json" else len(LINE_END[fmt])
+    return rendered_size(F.concat(before, after), fmt) + F.col("numbers") + line_end
+
+
 # --- headers and footers -------------------------------------------------------------
 
 
@@ -211,35 +229,33 @@ def report_units(counts: DataFrame, options: ReportOptions, by_level: bool) -> D
 # --- the report --------------------------------------------------------------------
 
 
-def report_sizes(records: DataFrame, options: ReportOptions, by_level: bool) -> DataFrame:
+def report_sizes(groups: DataFrame, chunks: DataFrame, options: ReportOptions, by_level: bool) -> DataFrame:
     """What places a group in a report: its sort columns and rendered size, not its text."""
-    fmt = options.fmt
-    line_end = 0 if fmt == "json" else len(LINE_END[fmt])
-    size = rendered_size(row_text(fmt, F.lit("")), fmt) + line_end
-    return records.select(
+    return groups.join(numbers_size(chunks, options.fmt), "gid").select(
         (F.col("level") if by_level else F.lit("")).alias("unit"),
-        *REPORT_KEY,
+        "gid",
         "level",
         "timestamp",
         "filename",
         "first_line",
-        size.cast("bigint").alias("size"),
+        item_size(options.fmt, F.lit("")).cast("bigint").alias("size"),
     )
 
 
 def report_positions(sizes: DataFrame, options: ReportOptions) -> DataFrame:
     """The sizes in report order. To be staged: ``pos`` holds the task that wrote a row."""
-    ordered = sizes.orderBy("unit", *report_order(options.sort_by), "record")
-    return ordered.select("unit", F.monotonically_increasing_id().alias("pos"), *REPORT_KEY, "size")
+    ordered = sizes.orderBy("unit", *report_order(options.sort_by))
+    return ordered.select("unit", F.monotonically_increasing_id().alias("pos"), "gid", "size")
 
 
-def assign_parts(sizes: DataFrame, units: DataFrame, options: ReportOptions) -> DataFrame:
+def assign_parts(staging: Staging, sizes: DataFrame, units: DataFrame, options: ReportOptions) -> DataFrame:
     """The part every group belongs to, and its index in that part."""
     fmt = options.fmt
     separator = JSON_SEPARATOR if fmt == "json" else 0
-    measured = sizes.join(units.select("unit", "opening"), "unit").drop(*REPORT_KEY)
-    parts = pack_parts(measured, options.max_bytes, separator, fmt == "md", options.chunk_rows)
-    return sizes.join(parts, ["unit", "pos"]).select("unit", "part_no", "idx", *REPORT_KEY)
+    # One row per level.
+    measured = sizes.join(F.broadcast(units.select("unit", "opening")), "unit").drop("gid")
+    parts = pack_parts(staging, measured, options.max_bytes, separator, fmt == "md", options.chunk_rows)
+    return sizes.join(parts, ["unit", "pos"]).select("unit", "part_no", "idx", "gid")
 
 
 def report_files(placed: DataFrame, units: DataFrame, options: ReportOptions) -> DataFrame:
@@ -318,101 +334,109 @@ def summary_lines(
             F.lit(f"\r\n{CSV_SPLIT_TITLE}\r\n{CSV_SPLIT_HEADER}"),
         )
         line, foot = _csv_field(name), None
-    lines = all_counts(counts, fmt).select(F.lit(0).alias("section"), F.lit(0).alias("pos"), head.alias("text"))
-    lines = lines.unionByName(
-        listed.select(F.lit(1).alias("section"), F.col("ordinal").alias("pos"), line.alias("text"))
-    )
+    file = F.lit(f"{options.stem}_summary{options.extension}")
+    lines = all_counts(counts, fmt).select(*_line(options, file, 0, F.lit(0), head))
+    lines = lines.unionByName(listed.select(*_line(options, file, 1, F.col("ordinal"), line)))
     if foot:
-        end = counts.sparkSession.range(1).select(
-            F.lit(2).alias("section"), F.lit(0).alias("pos"), F.lit(foot).alias("text")
-        )
-        lines = lines.unionByName(end)
-    return lines.withColumn("file", F.lit(f"{options.stem}_summary{options.extension}"))
+        lines = lines.unionByName(counts.sparkSession.range(1).select(*_line(options, file, 2, F.lit(0), F.lit(foot))))
+    return lines
+
+
+def _line(options: ReportOptions, file: Column, section: int, pos: Column, text: Column) -> list[Column]:
+    """A whole line of a report file as a piece."""
+    text = F.concat(text, F.lit(LINE_END[options.fmt]))
+    if options.fmt == "csv" and section == 0:
+        text = F.concat(F.lit(BOM), text)
+    return _piece(file, section, pos, text, F.lit(0))
 
 
-def report_lines(
-    records: DataFrame, placed: DataFrame, files: DataFrame, options: ReportOptions
+def _piece(file: Column, section: int, pos: Column, text: Column, kind: Column, chunk: Column | None = None) -> list[Column]:
+    place = chunk if chunk is not None else F.lit(None).cast("struct<batch:int,chunk_file:string,chunk_no:bigint>")
+    return [
+        file.alias("file"), F.lit(section).alias("section"), pos.cast("bigint").alias("pos"),
+        F.struct(kind.alias("kind"), place.alias("chunk")).alias("piece"), text.alias("text"),
+    ]
+
+
+def report_pieces(
+    groups: DataFrame, chunks: DataFrame, placed: DataFrame, files: DataFrame, options: ReportOptions
 ) -> DataFrame:
-    """Every report file as rows of text: its header, its groups, its end."""
+    """Every report file as pieces of text: its header, its groups, its end.
+
+    The texts in the order of ``file, section, pos, piece`` are the files' contents.
+    """
     fmt = options.fmt
-    text = row_text(fmt, F.col("idx").cast("string"))
+    before, after = item_text(fmt, F.col("idx").cast("string"))
     if fmt == "json":
-        text = F.concat(text, F.when(F.col("idx") < F.col("n_rows"), ",").otherwise(""))
+        after = F.concat(after, F.when(F.col("idx") < F.col("n_rows"), ",").otherwise(""))
+    after = F.concat(after, F.lit(LINE_END[fmt]))
     named = placed.join(files.select("unit", "part_no", "file", "n_rows"), ["unit", "part_no"])
-    rows = records.join(named, REPORT_KEY).select(
-        "file", F.lit(1).alias("section"), F.col("idx").alias("pos"), text.alias("text")
+    items = groups.join(named.drop("unit", "part_no"), "gid")
+    both = F.explode(F.array(F.struct(F.lit(0).alias("kind"), before.alias("text")), F.struct(F.lit(2).alias("kind"), after.alias("text"))))
+    rows = items.select(F.col("file"), "idx", both.alias("part"))
+    pieces = rows.select(*_piece(F.col("file"), 1, F.col("idx"), F.col("part.text"), F.col("part.kind")))
+    where = groups.select("gid", "count", "filename", "first_line", "first_batch").join(named.select("gid", "file", "idx"), "gid")
+    numbers = F.concat(F.when(first_chunk(), "").otherwise(NUMBER_SEPARATOR[fmt]), chunk_text(fmt))
+    pieces = pieces.unionByName(
+        join_chunks(chunks, where).select(*_piece(F.col("file"), 1, F.col("idx"), numbers, F.lit(1), F.struct(*CHUNK)))
     )
-    heads = files.select("file", F.lit(0).alias("section"), F.lit(0).alias("pos"), F.col("head").alias("text"))
-    lines = heads.unionByName(rows)
+    pieces = pieces.unionByName(files.select(*_line(options, F.col("file"), 0, F.lit(0), F.col("head"))))
     if fmt == "json":
         end = F.when(F.col("n_rows") == 0, "\n    ]\n}").otherwise("    ]\n}")
-        ends = files.select("file", F.lit(2).alias("section"), F.lit(0).alias("pos"), end.alias("text"))
-        lines = lines.unionByName(ends)
+        pieces = pieces.unionByName(files.select(*_line(options, F.col("file"), 2, F.lit(0), end)))
     if fmt == "md":
-        nothing = files.where("n_rows = 0").select(
-            "file", F.lit(1).alias("section"), F.lit(0).alias("pos"), F.lit(MD_NO_MATCH).alias("text")
-        )
-        lines = lines.unionByName(nothing)
-    return lines
-
-
-def write_lines(lines: DataFrame, folder: str, options: ReportOptions) -> None:
-    """Write report lines in order: a file by one task, or by several if it may be large."""
-    text = F.col("text")
-    if options.fmt == "csv":
-        text = F.when(F.col("section") == 0, F.concat(F.lit(BOM), text)).otherwise(text)
-    order = ["file", "section", "pos"]
-    if options.max_bytes <= ONE_TASK_BYTES:
-        placed = lines.repartition("file")
-    else:
-        placed = lines.repartitionByRange(*order)
-    (
-        placed.sortWithinPartitions(*order)
-        .select("file", text.alias("value"))
-        .write.partitionBy("file")
-        .option("lineSep", LINE_END[options.fmt])
-        .mode("append")
-        .text(folder)
-    )
+        nothing = files.where("n_rows = 0").select(*_line(options, F.col("file"), 1, F.lit(0), F.lit(MD_NO_MATCH)))
+        pieces = pieces.unionByName(nothing)
+    return pieces
 
 
 @dataclass(frozen=True)
 class Report:
     """A report before it is written; all tables are staged."""
 
-    lines: DataFrame
+    pieces: DataFrame
     manifest: DataFrame
 
 
 def build_report(
-    staging: Staging, records: DataFrame, counts: DataFrame, options: ReportOptions, folder: str = ""
+    staging: Staging,
+    groups: DataFrame,
+    chunks: DataFrame,
+    counts: DataFrame,
+    options: ReportOptions,
+    folder: str = "",
 ) -> Report:
-    """All lines of all files of a report, and the list of the files.
+    """All pieces of all files of a report, and the list of the files.
 
-    ``records`` are groups with line numbers (``groups.with_line_numbers``),
-    ``counts`` comes from ``groups.level_counts``; both are read more than once
-    and should be staged. Only sizes are sorted and packed; the texts move to
+    ``groups`` come from ``groups.dedup_groups`` and ``chunks`` from ``groups.line_chunks``,
+    or both from ``groups.merge_groups``; ``counts`` from ``groups.level_counts``. They are read
+    more than once and should be staged. Only sizes are sorted and packed; the texts move to
     their file when they are written, and not before.
     """
     by_level = options.split_by_level and counts.where("n > 0").count() > 1
     units = report_units(counts, options, by_level)
     # Staged before sorting, since finding the ranges of a sort reads its input twice.
-    sizes = staging.write(report_sizes(records, options, by_level), f"sizes-{options.fmt}")
+    sizes = staging.write(report_sizes(groups, chunks, options, by_level), f"sizes-{options.fmt}")
     sizes = staging.write(report_positions(sizes, options), f"positions-{options.fmt}")
-    placed = staging.write(assign_parts(sizes, units, options), f"placed-{options.fmt}")
+    placed = staging.write(assign_parts(staging, sizes, units, options), f"placed-{options.fmt}")
     files = staging.write(report_files(placed, units, options), f"files-{options.fmt}")
     with_summary = by_level or files.count() > 1
     manifest = output_manifest(files, options, with_summary)
-    lines = report_lines(records, placed, files, options)
+    pieces = report_pieces(groups, chunks, placed, files, options)
     if with_summary:
-        lines = lines.unionByName(summary_lines(counts, manifest, options, folder))
-    return Report(lines, manifest)
+        pieces = pieces.unionByName(summary_lines(counts, manifest, options, folder))
+    return Report(pieces, manifest)
 
 
 def write_report(
-    staging: Staging, records: DataFrame, counts: DataFrame, folder: str, options: ReportOptions
+    staging: Staging,
+    groups: DataFrame,
+    chunks: DataFrame,
+    counts: DataFrame,
+    folder: str,
+    options: ReportOptions,
 ) -> DataFrame:
-    """Write a report and return the list of its files."""
-    report = build_report(staging, records, counts, options, folder)
-    write_lines(report.lines, folder, options)
+    """Write a report and return the list of its files; files of the same names are replaced."""
+    report = build_report(staging, groups, chunks, counts, options, folder)
+    write_pieces(report.pieces, folder, options.max_bytes <= ONE_TASK_BYTES)
     return staging.write(report.manifest, f"manifest-{options.fmt}")

@@ -16,7 +16,13 @@ from logweft.operators import groups as G
 from logweft.operators import layouts, summaries
 from logweft.operators.filters import Selection, filter_keyword
 from logweft.operators.reports import MAX_PART_BYTES, ReportOptions, write_report
-from logweft.sources.configs import discover_configs, load_candidates, read_config
+from logweft.sources.configs import (
+    broken_configs,
+    dedup_candidates,
+    discover_configs,
+    extract_candidates,
+    read_config,
+)
 from logweft.sources.logs import sample_log_dir, scan_log_dir
 from logweft.staging import Staging
 
@@ -33,7 +39,10 @@ class AnalysisOptions:
     layout: str | None = None
     sort_by: str = "time"
     levels: tuple[str, ...] | None = None
-    max_lines: int = G.MAX_LINES_PER_RECORD
+
+    def __post_init__(self):
+        if self.sort_by not in ("time", "level"):
+            raise ValueError(f"sort_by is time or level, not {self.sort_by}")
 
     def selection(self, spark: SparkSession) -> Selection:
         return Selection(
@@ -56,9 +65,16 @@ class RunOptions(AnalysisOptions):
     output_path: str = "report.csv"
     fmt: str = "csv"
     levels: tuple[str, ...] | None = DEFAULT_LEVELS
-    max_bytes: int = MAX_PART_BYTES
+    max_bytes: int | None = None
     split_by_level: bool = False
 
+    def __post_init__(self):
+        super().__post_init__()
+        if self.fmt.lower() not in ("csv", "json", "md"):
+            raise ValueError(f"fmt is csv, json or md, not {self.fmt}")
+        if self.max_bytes is not None and self.max_bytes <= 0:
+            raise ValueError("max_bytes is a positive number of bytes, or None for the usual one")
+
     @property
     def folder(self) -> str:
         return os.path.dirname(self.output_path) or "."
@@ -66,7 +82,7 @@ class RunOptions(AnalysisOptions):
     def report(self) -> ReportOptions:
         stem, suffix = os.path.splitext(os.path.basename(self.output_path))
         return ReportOptions(
-            self.fmt.lower(), stem, suffix, self.max_bytes, self.split_by_level, self.sort_by
+            self.fmt.lower(), stem, suffix, self.max_bytes or MAX_PART_BYTES, self.split_by_level, self.sort_by
         )
 
 
@@ -80,14 +96,9 @@ class Analysis:
     chunks: DataFrame
     options: AnalysisOptions
 
-    def records(self) -> DataFrame:
-        """Groups with line numbers; see ``groups.line_records`` for very large ones."""
-        records = G.line_records(self.chunks, self.options.max_lines)
-        return G.with_line_numbers(self.groups, records)
-
-    def sorted_records(self) -> DataFrame:
-        order = [*G.report_order(self.options.sort_by), "record"]
-        return self.records().orderBy(*order).select(*G.GROUP_FIELDS)
+    def sorted_groups(self) -> DataFrame:
+        """The groups in report order; ``chunks`` has their line numbers by ``gid``."""
+        return G.sort_groups(self.groups, self.options.sort_by).select("gid", *G.GROUP_FIELDS)
 
     def totals(self) -> DataFrame:
         return G.totals(self.counts, self.groups)
@@ -138,11 +149,28 @@ def analyze(staging: Staging, options: AnalysisOptions) -> Analysis:
     return Analysis(entries, options=options, **staged)
 
 
-def detect_layout(spark: SparkSession, log_dir: str, config: str | None = None) -> DataFrame:
-    """The best candidate of one configuration, or of all beside the logs."""
+def merge(staging: Staging, *analyses: Analysis) -> tuple[DataFrame, DataFrame]:
+    """The groups and line numbers of successive analyses as those of one, earlier ones first."""
+    merged, chunks = G.merge_groups(*[(a.groups, a.chunks) for a in analyses])
+    staged = staging.write_all(merged=merged, chunks=chunks)
+    return staged["merged"], staged["chunks"]
+
+
+def detect_layout(staging: Staging, log_dir: str, config: str | None = None) -> DataFrame:
+    """The best candidate of one configuration, or of all beside the logs.
+
+    Configurations that are no XML are left out, and so is one without a pattern; if
+    ``config`` names such a one, that is an error.
+    """
+    spark = staging.spark
     configs = read_config(spark, config) if config else discover_configs(spark, log_dir)
-    samples = sample_log_dir(spark, log_dir)
-    return layouts.best_pattern(layouts.score_patterns(load_candidates(configs), samples))
+    found = staging.write(extract_candidates(configs), "candidates")
+    candidates = dedup_candidates(found)
+    if config and candidates.isEmpty():
+        broken = broken_configs(found).first()
+        raise ValueError(f"{config}: {broken['error'] if broken else 'no layout pattern'}")
+    scored = layouts.score_patterns(candidates, sample_log_dir(spark, log_dir))
+    return layouts.best_pattern(staging.write(scored, "scores"))
 
 
 def run(staging: Staging, options: RunOptions) -> RunResult:
@@ -151,6 +179,7 @@ def run(staging: Staging, options: RunOptions) -> RunResult:
     total = analysis.totals().first()
     if total["matched_groups"] == 0:
         raise ValueError("no log entry fits: check the directory, the keyword and the data")
-    records = staging.write(analysis.records(), "records")
-    files = write_report(staging, records, analysis.counts, options.folder, options.report())
+    files = write_report(
+        staging, analysis.groups, analysis.chunks, analysis.counts, options.folder, options.report()
+    )
     return RunResult(options, analysis, files, *total)

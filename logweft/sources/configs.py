@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 # The names of configuration files.
 CONFIG_NAME = r"(?i)\Alogback.*\.xml\z"
 CONFIG_GLOB = "[Ll][Oo][Gg][Bb][Aa][Cc][Kk]*.[Xx][Mm][Ll]"
-CANDIDATE_SCHEMA = "config string, ordinal int, name string, pattern string, source string"
+CANDIDATE_SCHEMA = "config string, ordinal int, name string, pattern string, source string, error string"
+CANDIDATE = ["config", "ordinal", "name", "pattern", "source"]
 
 
 def is_config_name(name: Column) -> Column:
@@ -72,25 +73,37 @@ def _patterns(xml: bytes) -> Iterator[tuple[str, str, str]]:
         yield found[place]
 
 
+def _rows(config: str, xml: bytes) -> list[tuple]:
+    try:
+        return [(config, ordinal, *found, None) for ordinal, found in enumerate(_patterns(xml))]
+    except ET.ParseError as error:
+        return [(config, -1, None, None, None, str(error))]
+
+
 def extract_candidates(configs: DataFrame) -> DataFrame:
-    """Layout candidates of configuration files in document order, repeats included."""
+    """Layout candidates of configuration files in document order, repeats included.
+
+    A file that is no XML gives one row with its ``error`` and no pattern.
+    """
 
     def extract(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
-                (config, ordinal, *candidate)
-                for config, xml in zip(batch["config"], batch["xml"])
-                for ordinal, candidate in enumerate(_patterns(xml))
-            ]
-            yield pd.DataFrame(rows, columns=["config", "ordinal", "name", "pattern", "source"])
+            rows = [row for config, xml in zip(batch["config"], batch["xml"]) for row in _rows(config, xml)]
+            yield pd.DataFrame(rows, columns=[*CANDIDATE, "error"])
 
     return configs.select("config", "xml").mapInPandas(extract, CANDIDATE_SCHEMA)
 
 
+def broken_configs(candidates: DataFrame) -> DataFrame:
+    """The files that could not be read: ``config, error``."""
+    return candidates.where(F.col("error").isNotNull()).select("config", "error")
+
+
 def dedup_candidates(candidates: DataFrame) -> DataFrame:
     """The first candidate of every distinct pattern of a configuration."""
     same = Window.partitionBy("config", "pattern").orderBy("ordinal")
-    return candidates.withColumn("_nth", F.row_number().over(same)).where("_nth = 1").drop("_nth")
+    found = candidates.where(F.col("pattern").isNotNull()).select(*CANDIDATE)
+    return found.withColumn("_nth", F.row_number().over(same)).where("_nth = 1").drop("_nth")
 
 
 def load_candidates(configs: DataFrame) -> DataFrame:

@@ -29,8 +29,12 @@ def scan_log_dir(spark: SparkSession, directory: str) -> DataFrame:
     A sub-directory whose name ends in ``.log`` is one log written by Spark in
     several part files; ``filename=app.log`` counts as ``app.log``. ``path`` and
     ``start`` name the block a line was read from, ``pos`` orders the lines of a
-    block.
+    block. Spark reads no files whose names start with ``.`` or ``_``, so such a log is
+    an error that names it.
     """
+    hidden = hidden_logs(spark, directory)
+    if hidden:
+        raise ValueError(f"rename these logs, Spark does not read them: {', '.join(hidden)}")
     try:
         text = spark.read.text(f"{_no_glob(directory.rstrip('/'))}/*.log")
     except AnalysisException as error:
@@ -41,6 +45,14 @@ def scan_log_dir(spark: SparkSession, directory: str) -> DataFrame:
     return _scanned(text)
 
 
+def hidden_logs(spark: SparkSession, directory: str) -> list[str]:
+    """Names of logs in a directory that Spark's readers leave out, twenty at most."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{_no_glob(directory.rstrip('/'))}/[._]*.log")
+    found = path.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(status.getPath().getName() for status in found)[:20]
+
+
 def _no_glob(path: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
@@ -82,19 +94,25 @@ def sample_log_dir(spark: SparkSession, directory: str, limit: int = 50) -> Data
     """``sample_lines`` of a directory, reading no more logs than it needs.
 
     The first log nearly always has enough lines. If not, twice as many logs are
-    read, and so on.
+    read, and so on; the driver holds the names of those only.
     """
-    logs: dict[str, list[str]] = {}
-    for uri in scan_log_dir(spark, directory).inputFiles():
-        path = unquote(uri)
-        folder, _, name = path.rpartition("/")
-        log = name if name.endswith(".log") else folder.rpartition("/")[2].rpartition("=")[2]
-        logs.setdefault(log, []).append(_no_glob(path))
-    schema, names, taken = "value string", sorted(logs), 1
-    while names:
-        some = [path for name in names[:taken] for path in logs[name]]
-        rows = sample_lines(_scanned(spark.read.text(some)), limit).select("value").collect()
-        if len(rows) == limit or taken >= len(names):
+    schema, path = "filename string, value string", F.col("_metadata.file_path")
+    try:
+        files = spark.read.format("binaryFile").load(f"{_no_glob(directory.rstrip('/'))}/*.log")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    whole = F.substring_index(path, "/", -1).endswith(".log")
+    log = F.when(whole, path).otherwise(F.regexp_replace(path, "/[^/]*$", ""))
+    logs = files.select(log_name(path).alias("filename"), log.alias("log")).distinct().orderBy("filename", "log")
+    taken = 1
+    while True:
+        some = [unquote(row["log"]) for row in logs.limit(taken + 1).collect()]
+        rows = []
+        if some:
+            scanned = _scanned(spark.read.text([_no_glob(name) for name in some[:taken]]))
+            rows = sample_lines(scanned, limit).select("filename", "value").collect()
+        if len(rows) == limit or len(some) <= taken:
             return spark.createDataFrame(rows, schema)
         taken *= 2
-    return spark.createDataFrame([], schema)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import tempfile
 import uuid
 
 from pyspark import InheritableThread
@@ -13,13 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="logweft-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
-    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir, or name a folder that all executors share")
+    return folder.rstrip("/")
 
 
 class Staging:
@@ -29,9 +24,9 @@ class Staging:
     survives the loss of the executors that wrote it.
     """
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
-        self.folder = f"{shared_folder(spark)}/logweft-{uuid.uuid4().hex}"
+        self.folder = f"{folder or shared_folder(spark)}/logweft-{uuid.uuid4().hex}"
         self._number = itertools.count(1)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -61,6 +56,17 @@ class Staging:
         return self
 
     def __exit__(self, *_) -> None:
+        path, system = self._place()
+        system.delete(path, True)
+
+    def keep_until_exit(self) -> Staging:
+        """Without a ``with`` block: the tables go when the application ends."""
+        path, system = self._place()
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        return self
+
+    def _place(self):
         context = self.spark.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        return path, path.getFileSystem(context._jsc.hadoopConfiguration())

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from logweft import AnalysisOptions, analyze
+from logweft import Analysis, AnalysisOptions, analyze, merge
 from logweft.operators import groups as G
 from logweft.operators import summaries
 
@@ -18,11 +18,16 @@ def test_same_entries_merge_over_files(staging, logs):
         }
     )
     analysis = analyze(staging, AnalysisOptions(folder))
-    assert [tuple(r) for r in analysis.sorted_records().collect()] == [
-        (1, [3], "2024-05-01 10:00:04.000", "2024-05-01 10:00:04.000", "INFO", "t", "a.B", "a.log", "other", "", ""),
-        (3, [1, 4, 1], "2024-05-01 10:00:05.000", "2024-05-01 10:00:01.000", "INFO", "t1", "a.B", "a.log", "same", "", ""),
-        (1, [2], "2024-05-01 10:00:09.000", "2024-05-01 10:00:09.000", "ERROR", "t", "a.B", "b.log", "x", "", ""),
+    assert [tuple(r)[1:] for r in analysis.sorted_groups().collect()] == [
+        (1, "2024-05-01 10:00:04.000", "2024-05-01 10:00:04.000", "INFO", "t", "a.B", "a.log", "other", "", ""),
+        (3, "2024-05-01 10:00:05.000", "2024-05-01 10:00:01.000", "INFO", "t1", "a.B", "a.log", "same", "", ""),
+        (1, "2024-05-01 10:00:09.000", "2024-05-01 10:00:09.000", "ERROR", "t", "a.B", "b.log", "x", "", ""),
     ]
+    messages = analysis.groups.select("gid", "message")
+    lines = analysis.chunks.join(messages, "gid").orderBy("message", "chunk_file").collect()
+    assert [(r["message"], r["chunk_file"], r["lines"]) for r in lines] == [
+        ("other", "a.log", [3]), ("same", "a.log", [1, 4]), ("same", "b.log", [1]), ("x", "b.log", [2]),
+    ]
     assert tuple(analysis.totals().first()) == (5, 3, 5)
     assert [tuple(r) for r in G.level_summary(analysis.counts).collect()] == [("ERROR", 1), ("INFO", 4)]
 
@@ -30,7 +35,7 @@ def test_same_entries_merge_over_files(staging, logs):
 def test_equal_traces_on_other_lines_stay_apart(staging, logs):
     trace = line(1, "ERROR", "boom") + "a.BException: no\n"
     analysis = analyze(staging, AnalysisOptions(logs({"a.log": trace * 2})))
-    assert [r["stacktrace"] for r in analysis.sorted_records().collect()] == ["2: a.BException: no", "4: a.BException: no"]
+    assert [r["stacktrace"] for r in analysis.sorted_groups().collect()] == ["2: a.BException: no", "4: a.BException: no"]
 
 
 def test_fields_are_not_confused_in_the_key(spark):
@@ -45,7 +50,7 @@ def test_level_order(staging, logs):
     levels = ["DEBUG", "error", "INFO", "WARNING", "ERROR", "WARN", "ERROR"]
     folder = logs({"a.log": "".join(line(i, level, str(i)) for i, level in enumerate(levels))})
     analysis = analyze(staging, AnalysisOptions(folder, sort_by="level"))
-    assert [r["level"] for r in analysis.sorted_records().collect()] == [
+    assert [r["level"] for r in analysis.sorted_groups().collect()] == [
         "ERROR", "ERROR", "WARNING", "WARN", "INFO", "DEBUG", "error",
     ]
 
@@ -57,12 +62,9 @@ def test_levels_option(staging, logs):
     assert analyze(staging, AnalysisOptions(folder, levels=())).groups.count() == 0
 
 
-@pytest.mark.parametrize("max_lines", [10, 1000])
-def test_large_group_keeps_every_line_number(spark, max_lines, monkeypatch):
-    """One group holds a third of all entries; its numbers come in bounded records."""
-    monkeypatch.setattr(G, "LINES_PER_BLOCK", 64)
-    n = 900
-    entries = spark.range(n).select(
+def many_entries(spark, n):
+    """One group holds a third of all entries, over two files."""
+    return spark.range(n).select(
         F.concat(F.lit("f"), (F.col("id") % 2).cast("string")).alias("filename"),
         (F.floor(F.col("id") / 2) + 1).alias("line_num"),
         F.col("id").cast("string").alias("timestamp"),
@@ -70,33 +72,54 @@ def test_large_group_keeps_every_line_number(spark, max_lines, monkeypatch):
         *[F.lit(name).alias(name) for name in ("level", "logger", "message_body", "stacktrace")],
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("m"), F.col("id") % 150)).alias("message"),
     )
-    identified = G.with_group_id(entries)
-    records = G.with_line_numbers(
-        G.dedup_groups(identified), G.line_records(G.line_chunks(identified), max_lines)
-    ).collect()
-    hot = sorted((r for r in records if r["message"] == "hot"), key=lambda r: tuple(r["record"]))
-    joined = [x for r in hot for x in r["line_numbers"]]
-    expected = [i // 2 + 1 for f in (0, 1) for i in range(n) if i % 2 == f and i % 3 == 0]
-    assert joined == expected
-    assert {r["count"] for r in hot} == {n // 3}
-    assert (len(hot) > 1) == (max_lines < n // 3)
-    assert all(len(r["line_numbers"]) <= 64 for r in hot) or max_lines >= n // 3
-    rest = [r for r in records if r["message"] != "hot"]
-    assert len(rest) == 100 and all(len(r["line_numbers"]) == r["count"] == 6 for r in rest)
+
+
+@pytest.mark.parametrize("chunk", [2, 64, 65_536])
+def test_a_group_is_one_row_whatever_its_size(spark, chunk, monkeypatch):
+    monkeypatch.setattr(G, "LINES_PER_BLOCK", chunk)
+    n = 900
+    identified = G.with_group_id(many_entries(spark, n))
+    groups, chunks = G.dedup_groups(identified), G.line_chunks(identified)
+    assert groups.count() == 101
+    hot = groups.where("message = 'hot'")
+    assert [r["count"] for r in hot.collect()] == [n // 3]
+    rows = chunks.join(hot.select("gid"), "gid").orderBy("batch", "chunk_file", "chunk_no").collect()
+    assert [x for r in rows for x in r["lines"]] == [i // 2 + 1 for f in (0, 1) for i in range(n) if i % 2 == f and i % 3 == 0]
+    assert all(len(r["lines"]) == r["n"] <= chunk for r in rows)
+
+
+@pytest.mark.parametrize("share", [1, 1_000])
+def test_chunks_of_large_groups_are_joined_apart(spark, share, monkeypatch):
+    monkeypatch.setattr(G, "LARGE_GROUPS", share)
+    monkeypatch.setattr(G, "LINES_PER_BLOCK", 64)
+    identified = G.with_group_id(many_entries(spark, 900))
+    groups, chunks = G.dedup_groups(identified), G.line_chunks(identified)
+    joined = G.join_chunks(chunks, groups.select("gid", "count", "filename", "first_line", "first_batch"))
+    assert joined.count() == chunks.count()
+    assert joined.where(G.first_chunk()).count() == groups.count()
+
+
+def test_a_group_in_many_small_logs_is_one_row(staging, logs):
+    analysis = analyze(staging, AnalysisOptions(logs({f"{i:03d}.log": line(1) for i in range(60)})))
+    assert [(r["count"], r["filename"]) for r in analysis.groups.collect()] == [(60, "000.log")]
+    assert analysis.chunks.count() == 60
 
 
 def test_merge_of_two_runs(staging, logs):
     first = analyze(staging, AnalysisOptions(logs({"a.log": line(1) + line(2) + line(3, message="once")})))
-    g1, c1 = first.groups, first.chunks
     entries = first.entries.withColumn("filename", F.lit("0.log")).withColumn("timestamp", F.lit("later"))
     later = entries.where("message = 'same'")
-    merged = G.merge_groups(g1, G.dedup_groups(later))
-    records = G.line_records(c1.unionByName(G.line_chunks(later, 1)))
-    got = {r["message"]: r for r in G.with_line_numbers(merged, records).collect()}
+    later = Analysis(later, first.counts, G.dedup_groups(later), G.line_chunks(later), first.options)
+    groups, chunks = merge(staging, first, later)
+    got = {r["message"]: r for r in groups.collect()}
     same = got["same"]
-    assert (same["count"], same["line_numbers"]) == (4, [1, 2, 1, 2])
+    assert (same["count"], same["first_batch"]) == (4, 0)
     assert (same["timestamp"], same["last_timestamp"], same["filename"]) == ("2024-05-01 10:00:01.000", "later", "a.log")
     assert got["once"]["count"] == 1
+    lines = chunks.where(F.col("gid") == F.lit(same["gid"])).orderBy("batch", "chunk_file", "chunk_no").collect()
+    assert [(r["batch"], r["lines"]) for r in lines] == [(0, [1, 2]), (1, [1, 2])]
+    again, _ = G.merge_groups((groups, chunks))
+    assert again.columns == groups.columns
 
 
 def test_dashboard(spark):

@@ -7,13 +7,13 @@ CASES = [
     (None, "2024-03-01 08:00:00.123 [main] INFO  app.Main - up", ("2024-03-01 08:00:00.123", "main", "INFO", "app.Main", "up")),
     (DEFAULT_LAYOUT, "2024-03-01 08:00:00.123 [w-1] WARN  app.Db - slow", ("2024-03-01 08:00:00.123", "w-1", "WARN", "app.Db", "slow")),
     (
-        "%d %-5level [%thread] %logger{36} %file:%line - %msg%n",
-        "2024-03-01 08:00:00,500 ERROR [w-1] app.Db Db.java:77 - broken",
+        "%d %6p [%t] %c{40} %file#%L - %m%n",
+        "2024-03-01 08:00:00,500 ERROR [w-1] app.Db Db.java#77 - broken",
         ("2024-03-01 08:00:00,500", "w-1", "ERROR", "app.Db", "broken"),
     ),
     (
-        "%d %-5level [%thread] %logger{0}: %msg%n",
-        "2024-03-01 08:00:00,500 INFO  [w-1] Db: ready: yes",
+        "%date %5le (%t) %lo{2}: %message%n",
+        "2024-03-01 08:00:00,500 INFO  (w-1) Db: ready: yes",
         ("2024-03-01 08:00:00,500", "w-1", "INFO", "Db", "ready: yes"),
     ),
     (
@@ -22,8 +22,8 @@ CASES = [
         ("2024-03-01 08:00:00.001", "pool 1", "WARN", "app.Job", "later"),
     ),
     (
-        "[%d] [%-5level] [%thread] %logger.%method(%line) - %msg%n",
-        "[2024-03-01 08:00:00] [INFO ] [main] app.web.Page.show(12) - done",
+        "<%d> <%p> <%t> %c.%M:%L - %m",
+        "<2024-03-01 08:00:00> <INFO> <main> app.web.Page.show:12 - done",
         ("2024-03-01 08:00:00", "main", "INFO", "app.web.Page", "done"),
     ),
     (
@@ -36,6 +36,7 @@ CASES = [
         "2024-03-01 08:00:00 [t] info l.Long u1 mk - text here",
         ("2024-03-01 08:00:00", "t", "info", "l.Long", "text here"),
     ),
+    ("%d [%t] %p %.-10logger - %m%", "2024-03-01 08:00:00 [t] INFO app.Db - m%", ("2024-03-01 08:00:00", "t", "INFO", "app.Db", "m")),
     ("%d [%t] %p %class %pid - %m", "2024-03-01 08:00:00 [t] INFO a.C 77 - m", ("2024-03-01 08:00:00", "t", "INFO", "a.C", "m")),
     (None, "2024-03-01 08:00:00 [a\x01b] INFO c - \x01", ("2024-03-01 08:00:00", "a\x01b", "INFO", "c", "\x01")),
     (None, "2024-03-01 08:00:00 [] INFO  - ", ("2024-03-01 08:00:00", "", "INFO", "", "")),

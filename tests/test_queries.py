@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from checks.oracle import ORACLE
+from checks.queries import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
@@ -23,15 +25,16 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", entry.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, duck, name):
-    df = entry.queries()[name](spark, SF_DIR)
+    df = QUERIES[name](spark, SF_DIR)
     columns = sorted(df.columns)
     got = sorted((tuple(row[c] for c in columns) for row in df.collect()), key=repr)
-    result = duck.execute(entry.oracle_sql()[name])
+    result = duck.execute(ORACLE[name])
     names = [column[0] for column in result.description]
     assert sorted(names) == columns
     expected = [tuple(row[names.index(c)] for c in columns) for row in result.fetchall()]

@@ -8,7 +8,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from logweft.operators import groups as G
 from logweft.operators import reports as R
+from logweft.operators.pieces import write_pieces
 
 COLUMNS = (
     "count long, line_numbers array<long>, timestamp string, last_timestamp string, level string, "
@@ -22,15 +24,16 @@ GROUPS = [
 ]
 
 
-def records(spark, groups):
+def tables(spark, groups):
+    """Groups and their line numbers."""
     df = spark.createDataFrame(groups, COLUMNS)
-    return df.withColumns(
-        {
-            "gid": F.encode(F.concat("timestamp", "level", "message"), "utf-8"),
-            "record": F.struct(F.lit(0).alias("batch"), F.lit("").alias("chunk_file"), F.lit(-1).alias("chunk_no")),
-            "first_line": F.get("line_numbers", F.lit(0)),
-        }
-    )
+    gid = F.encode(F.concat("timestamp", "level", "message"), "utf-8").alias("gid")
+    first = F.get("line_numbers", F.lit(0)).alias("first_line")
+    rows = df.select(gid, *[n for n in NAMES if n != "line_numbers"], first, F.lit(0).alias("first_batch"))
+    each = df.select(gid, "filename", F.explode("line_numbers").alias("line"))
+    chunks = each.groupBy("gid", F.lit(0).alias("batch"), F.col("filename").alias("chunk_file"),
+                          F.floor(F.col("line") / G.LINES_PER_BLOCK).alias("chunk_no"))
+    return rows, chunks.agg(F.count("*").alias("n"), F.sort_array(F.collect_list("line")).alias("lines"))
 
 
 def counts(spark, groups):
@@ -46,8 +49,8 @@ def counts(spark, groups):
 def write(spark, staging, folder, groups, **options):
     """Write a report and read its files back: name -> bytes, plus the list of files."""
     options = R.ReportOptions(**options)
-    df, n = staging.write(records(spark, groups), "records"), counts(spark, groups)
-    files = R.write_report(staging, df, n, str(folder), options).orderBy("ordinal").collect()
+    rows, chunks = (staging.write(t, "input") for t in tables(spark, groups))
+    files = R.write_report(staging, rows, chunks, counts(spark, groups), str(folder), options).orderBy("ordinal").collect()
     content = {}
     for name in sorted(os.listdir(folder)):
         if name.startswith("file="):
@@ -83,6 +86,35 @@ def csv_head(groups):
     return head + csv_rows([["--- 詳細日誌內容 (已合併重複項) ---"], [*titles, "堆疊追蹤 (含行號)"]])
 
 
+@pytest.mark.parametrize("fmt", ["csv", "json", "md"])
+def test_chunks_of_line_numbers_do_not_show(spark, staging, tmp_path, fmt, monkeypatch):
+    groups = [(*g[:1], list(range(1, 40)), *g[2:]) if i == 0 else g for i, g in enumerate(GROUPS)]
+    whole, _ = write(spark, staging, tmp_path / "a", groups, fmt=fmt, max_bytes=700)
+    monkeypatch.setattr(G, "LINES_PER_BLOCK", 2)
+    pieces, _ = write(spark, staging, tmp_path / "b", groups, fmt=fmt, max_bytes=700)
+    assert {n: t for n, t in whole.items() if "summary" not in n} == {n: t for n, t in pieces.items() if "summary" not in n}
+    assert len(whole) > 2
+
+
+@pytest.mark.parametrize("options", [{}, {"split_by_level": True}, {"max_bytes": 900}, {"max_bytes": R.ONE_TASK_BYTES * 2}])
+@pytest.mark.parametrize("fmt", ["csv", "json", "md"])
+def test_a_rerun_replaces_the_report(spark, staging, tmp_path, fmt, options):
+    first = write(spark, staging, tmp_path, GROUPS, fmt=fmt, **options)
+    assert write(spark, staging, tmp_path, GROUPS, fmt=fmt, **options) == first
+    assert not [name for name in os.listdir(tmp_path) if not name.startswith("file=")]
+
+
+def test_a_failed_run_leaves_the_report(spark, staging, tmp_path):
+    first, _ = write(spark, staging, tmp_path, GROUPS)
+    pieces = spark.createDataFrame([("report.csv", 0, 0, 0, "x")], "file string, section int, pos long, piece int, text string")
+    failing = pieces.withColumn("text", F.raise_error(F.lit("stop")).cast("string"))
+    with pytest.raises(Exception, match="stop"):
+        write_pieces(failing, str(tmp_path), True)
+    parts = sorted((tmp_path / "file=report.csv").glob("part-*"))
+    assert b"".join(p.read_bytes() for p in parts) == first["report.csv"]
+    assert os.listdir(tmp_path) == ["file=report.csv"]
+
+
 def test_csv(spark, staging, tmp_path):
     content, files = write(spark, staging, tmp_path, GROUPS, fmt="csv")
     assert files == ["report.csv"]
@@ -93,7 +125,7 @@ def test_csv(spark, staging, tmp_path):
 
 def json_item(group):
     text = json.dumps(dict(zip(NAMES, group)), indent=4, ensure_ascii=False)
-    return "\n".join(" " * 8 + line for line in text.splitlines())
+    return "\n".join(" " * 8 + line for line in text.split("\n"))
 
 
 def json_head(groups):

@@ -5,18 +5,19 @@ import pytest
 from logweft import AnalysisOptions, RunOptions, Staging, analyze, detect_layout, run
 from logweft.operators import layouts
 from logweft.sources import configs, logs
+from logweft.sources.logs import sample_log_dir, scan_log_dir
 from logweft.staging import shared_folder
 
 CONFIG = """<?xml version="1.0" encoding="UTF-8"?>
 <configuration xmlns="http://example.org/ns">
-  <property name="CONSOLE_PATTERN" value=" %d [%thread] %-5level %logger - %msg%n "/>
+  <property name="CONSOLE_PATTERN" value=" %d [%t] %6p %c - %m%n "/>
   <property name="log.pattern" value="none"/>
   <property name="DIR" value="%tmp"/>
   <property value="%x" />
   <appender name="OUTER"><appender name="INNER"><encoder>
-    <Pattern><![CDATA[%d %-5level [%thread] %logger{0}: %msg%n]]><!-- c --> </Pattern>
+    <Pattern><![CDATA[%d %p [%t] %c{1}: %m%n]]><!-- c --> </Pattern>
   </encoder></appender></appender>
-  <appender name="SAME"><layout><pattern>%d [%thread] %-5level %logger - %msg%n</pattern></layout></appender>
+  <appender name="SAME"><layout><pattern>%d [%t] %6p %c - %m%n</pattern></layout></appender>
   <x:pattern xmlns:x="http://example.org/x">%d %clr(%m)</x:pattern>
   <pattern>plain</pattern>
 </configuration>
@@ -28,20 +29,20 @@ def test_candidates(spark, logs):
     folder = logs({"LOGBACK-test.Xml": CONFIG, "other.xml": CONFIG, "logback.txt": CONFIG})
     found = configs.load_candidates(configs.discover_configs(spark, folder)).orderBy("ordinal").collect()
     assert [(r["config"], r["name"], r["pattern"], r["source"]) for r in found] == [
-        ("LOGBACK-test.Xml", "CONSOLE_PATTERN", "%d [%thread] %-5level %logger - %msg%n", "property"),
-        ("LOGBACK-test.Xml", "OUTER Pattern", "%d %-5level [%thread] %logger{0}: %msg%n", "encoder"),
+        ("LOGBACK-test.Xml", "CONSOLE_PATTERN", "%d [%t] %6p %c - %m%n", "property"),
+        ("LOGBACK-test.Xml", "OUTER Pattern", "%d %p [%t] %c{1}: %m%n", "encoder"),
         ("LOGBACK-test.Xml", "Pattern", "%d %clr(%m)", "encoder"),
     ]
 
 
-def test_best_layout(spark, logs):
+def test_best_layout(spark, staging, logs):
     folder = logs({"logback-a.xml": CONFIG, "logback-b.xml": CONFIG, "a.log": LINES + "tail\n" * 30})
-    best = detect_layout(spark, folder).first()
+    best = detect_layout(staging, folder).first()
     assert (best["config"], best["name"], best["matches"], best["checked"]) == ("logback-a.xml", "OUTER Pattern", 40, 50)
     assert best["score"] == 0.8
-    one = detect_layout(spark, folder, os.path.join(folder, "logback-b.xml")).first()
+    one = detect_layout(staging, folder, os.path.join(folder, "logback-b.xml")).first()
     assert one["config"] == "logback-b.xml"
-    assert detect_layout(spark, folder, os.path.join(folder, "logback-b.xml")).count() == 1
+    assert detect_layout(staging, folder, os.path.join(folder, "logback-b.xml")).count() == 1
 
 
 def test_scores_without_lines(spark, tmp_path):
@@ -55,8 +56,8 @@ def test_scores_without_lines(spark, tmp_path):
 
 def test_custom_layout(staging, logs):
     folder = logs({"a.log": LINES})
-    options = AnalysisOptions(folder, layout="%d %-5level [%thread] %logger{0}: %msg%n")
-    first = analyze(staging, options).sorted_records().first()
+    options = AnalysisOptions(folder, layout="%d %p [%t] %c{1}: %m%n")
+    first = analyze(staging, options).sorted_groups().first()
     assert (first["timestamp"], first["logger"], first["message"]) == ("2024-05-01 10:00:00,000", "Db", "m0")
 
 
@@ -77,6 +78,44 @@ def test_run_that_finds_nothing(staging, logs, tmp_path):
         run(staging, RunOptions(folder, output_path=str(tmp_path / "none.csv")))
 
 
+def test_a_broken_configuration_is_named_and_others_count(staging, logs):
+    folder = logs({"logback-a.xml": CONFIG[:300], "logback-b.xml": CONFIG, "logback-c.xml": "<a/>", "a.log": LINES})
+    assert detect_layout(staging, folder).first()["config"] == "logback-b.xml"
+    found = configs.extract_candidates(configs.discover_configs(staging.spark, folder))
+    assert [r["config"] for r in configs.broken_configs(found).collect()] == ["logback-a.xml"]
+    for name, message in (("logback-a.xml", "logback-a.xml: "), ("logback-c.xml", "no layout pattern")):
+        with pytest.raises(ValueError, match=message):
+            detect_layout(staging, folder, os.path.join(folder, name))
+
+
+def test_hidden_logs_are_an_error(spark, logs):
+    folder = logs({"a.log": "x\n", "_c.log": "y\n", ".d.log": "z\n"})
+    with pytest.raises(ValueError, match=r"\.d\.log, _c\.log"):
+        scan_log_dir(spark, folder)
+
+
+def test_sample_of_several_logs(spark, logs):
+    folder = logs({"b.log": "b1\n\nb2\n", "a.log": "a1\n", "c.log": "c\n" * 60, "empty.log": ""})
+    rows = sample_log_dir(spark, folder, 4).collect()
+    assert [(r["filename"], r["value"]) for r in rows] == [("a.log", "a1"), ("b.log", "b1"), ("b.log", "b2"), ("c.log", "c")]
+    assert sample_log_dir(spark, folder).count() == 50
+    assert sample_log_dir(spark, logs({}) + "/none").count() == 0
+
+
+@pytest.mark.parametrize("wrong", [{"fmt": "xml"}, {"sort_by": "name"}, {"max_bytes": 0}])
+def test_options_are_checked_before_any_job(wrong):
+    with pytest.raises(ValueError):
+        RunOptions("logs", **wrong)
+
+
+def test_usual_part_size():
+    assert RunOptions("logs").report().max_bytes == RunOptions("logs", max_bytes=None).report().max_bytes == 50 * 1024 * 1024
+
+
+def test_staging_needs_a_folder(spark, tmp_path):
+    assert Staging(spark, str(tmp_path)).folder.startswith(str(tmp_path))
+
+
 def test_staging_folder_is_shared_and_removed(spark):
     with Staging(spark) as staging:
         staging.write(spark.range(3), "numbers")

@@ -20,7 +20,7 @@ SHAPES = {
     "20240229 1530": datetime(2024, 2, 29, 15, 30),
     "2024-02-29 153059": datetime(2024, 2, 29, 15, 30, 59),
 }
-NOT_TIMES = ["2023-02-29", "2024-2-9", "2024-02-29T10:00", "2024-02-29 25:00", "10:00", "2024022915", "x"]
+NOT_TIMES = ["2023-02-29", "2024-2-9", "2024-02-29T10:00", "2024-02-29 25:00", "10:00", "2024022915", "x", "2024-0105", "202401-05", "2024-0105 10:00"]
 
 
 @pytest.mark.parametrize("written, moment", SHAPES.items())
@@ -50,7 +50,7 @@ def test_range_of_four_fields():
         datetime(2024, 1, 1, 8, 30),
         datetime(2024, 1, 2, 23, 59, 59),
     )
-    for wrong in (("", "10:00"), ("", "", "", "10:00"), ("2024-01-02", "", "2024-01-01"), ("2024-13-01",)):
+    for wrong in (("", "10:00"), ("", "", "", "10:00"), ("2024-01-02", "", "2024-01-01"), ("2024-13-01",), ("2024-0105",), ("202401-05", "10:00")):
         with pytest.raises(ValueError):
             times.parse_range(*wrong)
 
@@ -111,6 +111,8 @@ def test_level_bar(spark, n, peak, cells):
         (b"plain", "plain"),
         (b"a\xffb\xc3\xa9\xe2\x82", "abé"),
         ("mark � kept".encode(), "mark � kept"),
+        ("\ufdd0".encode() + b"\xffA", "\ufdd0A"),
+        ("\ufdd00\ufdd01�".encode() + b"\xff\xef\xb7", "\ufdd00\ufdd01�"),
         ("mark � kept ".encode() + b"\xfe.", "mark � kept ."),
     ],
 )
