@@ -11,8 +11,11 @@ A window is 35 consecutive words; a word goes if a window over it occurs anywher
    ones are joined to passages, an automaton is compiled from the passages, and it is run
    over the shard's stretches to find every occurrence.
 
-Anchors in more texts than ``HOT`` are confirmed and located window by window by a digest,
+Anchors in more texts than ``HOT`` are confirmed and located by digests of their windows,
 with sums made before the shuffle, so no task meets all the texts of a very common phrase.
+All windows of a stretch are tried as one first, then eight in a row at the same places
+before the anchor, then four, two and each; what occurs more than once is not taken apart
+to be located, so a passage of many documents is found in a few rows of each.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from logweft.llm.words import SPACE, flat, hashes, lists, shingles, slices, span
 WINDOW, ANCHOR = 35, 8
 #: Stretches of one anchor beyond which its windows are counted by digest.
 HOT = 4096
+#: Windows of the pieces that a stretch of a hot anchor is taken apart to, one after the other.
+PIECES = (8, 4, 2, 1)
 #: Bytes of distinct stretches compiled into one automaton.
 SHARD_BYTES = 1 << 19
 
@@ -48,7 +53,7 @@ def _id() -> Column:
 
 
 def anchors_of(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, size: int = ANCHOR):
-    """For all rows: anchor hashes, first windows, numbers of windows, and the number of anchors of each row."""
+    """For all rows: anchor hashes, first windows, numbers of windows, the anchors' places, and the number of anchors of each row."""
     starts, ends, first = spans(data, offsets, SPACE)
     grams = shingles(hashes(data, starts, ends), size)
     # The least hash of each window; the place below the hash tells ties apart, leftmost first.
@@ -72,6 +77,7 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, size
         grams[chosen[at]].view(np.int64),
         own[at].astype(np.int32),
         np.diff(np.append(at, len(chosen))).astype(np.int32),
+        (chosen[at] - first[:-1][row[at]]).astype(np.int32),
         np.bincount(row[at], minlength=len(words)),
     )
 
@@ -79,39 +85,40 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, size
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, end, data, offsets in slices(batch.column("text")):
-            found, begin, count, counts = anchors_of(data, offsets)
+            found, begin, count, place, counts = anchors_of(data, offsets)
             part = batch.slice(first, end - first)
-            columns = [lists(found, counts, pa.int64()), lists(begin, counts, pa.int32()), lists(count, counts, pa.int32())]
-            rows = pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=["key", "id", "hash", "begin", "count"])
+            columns = [lists(found, counts, pa.int64()), *(lists(c, counts, pa.int32()) for c in (begin, count, place))]
+            names = ["key", "id", "hash", "begin", "count", "place"]
+            rows = pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=names)
             yield rows.filter(pa.array(counts > 0))
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """One row per distinct text with a window: number, key, id of a document, copies, hash, begin, count."""
+    """One row per distinct text with a window: number, key, id of a document, copies, and its anchors as lists."""
     texts = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(text_key().alias("key"), _id().alias("id"), texts.alias("text"))
-    rows = rows.mapInArrow(_anchored, "key binary, id string, hash array<bigint>, begin array<int>, count array<int>")
-    lists_ = F.first(F.struct("hash", "begin", "count"))
+    rows = rows.mapInArrow(_anchored, "key binary, id string, hash array<bigint>, begin array<int>, count array<int>, place array<int>")
+    lists_ = F.first(F.struct("hash", "begin", "count", "place"))
     rows = rows.groupBy("key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), lists_.alias("all"))
     return rows.select(F.monotonically_increasing_id().alias("number"), "key", "id", "copies", "all.*")
 
 
 def stretches(docs: DataFrame, anchored: DataFrame, hot: int = HOT) -> DataFrame:
-    """Texts with a recurring anchor: key, copies, text, hits (begin, count, hash, hot)."""
-    each = anchored.select("number", "copies", F.explode(F.arrays_zip("hash", "begin", "count")).alias("a"))
+    """Texts with a recurring anchor: key, copies, text, hits (begin, count, place, hash, hot)."""
+    each = anchored.select("number", "copies", F.explode(F.arrays_zip("hash", "begin", "count", "place")).alias("a"))
     each = each.select("number", "copies", "a.*")
     recurring = each.groupBy("hash").agg(F.sum("copies").alias("times"), F.count(F.lit(1)).alias("texts"))
     recurring = recurring.where("times > 1").select("hash", (F.col("texts") > hot).alias("hot"))
     hits = each.drop("copies").join(recurring, "hash")
-    hits = hits.groupBy("number").agg(F.collect_list(F.struct("begin", "count", "hash", "hot")).alias("hits"))
+    hits = hits.groupBy("number").agg(F.collect_list(F.struct("begin", "count", "place", "hash", "hot")).alias("hits"))
     hits = hits.join(anchored.select("number", "key", "id", "copies"), "number").drop("number")
     texts = docs.select(text_key().alias("key"), _id().alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return texts.join(hits, ["key", "id"]).select("key", "copies", "text", "hits")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of words, one row per (text, anchor); windows by digest where the anchor is hot."""
-    names = ["hash", "key", "begin", "copies", "stretch", "digest"]
+    """Stretches of words, one row per text and stretch, with all the places it begins in the text;
+    digests of its windows instead of the stretch where the anchor is hot."""
     for batch in batches:
         data, offsets = flat(batch.column("text"))
         raw = data.tobytes()
@@ -120,22 +127,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, copies, hits = (batch.column(n).to_pylist() for n in ("key", "copies", "hits"))
         for i in range(batch.num_rows):
             line, at = _line(raw[offsets[i] : offsets[i + 1]].split())
+            places: dict[tuple, list[int]] = {}
             for hit in hits[i]:
                 first, last = hit["begin"], hit["begin"] + hit["count"]
-                if hit["hot"]:
-                    for w in range(first, last):
-                        text = line[at[w] : at[w + WINDOW] - 1]
-                        found.append((hit["hash"], keys[i], w, copies[i], None, hashlib.md5(text).digest()))
-                        size += 80
-                else:
-                    text = line[at[first] : at[last + WINDOW - 1] - 1]
-                    found.append((hit["hash"], keys[i], first, copies[i], text, None))
-                    size += len(text)
+                text = line[at[first] : at[last + WINDOW - 1] - 1]
+                places.setdefault((hit["hash"], text, hit["place"] - first, hit["count"], hit["hot"]), []).append(first)
+            for (hash_, text, lead, count, hot), begins in places.items():
+                windows = None
+                if hot:
+                    w = begins[0]
+                    windows = [hashlib.md5(line[at[j] : at[j + WINDOW] - 1]).digest() for j in range(w, w + count)]
+                found.append((hash_, keys[i], begins, copies[i], lead, None if hot else text, windows))
+                size += 4 * len(begins) + (80 * count if hot else len(text))
             if size > 1 << 22:
-                yield _rows(found, names)
+                yield _rows(found)
                 found, size = [], 0
         if found:
-            yield _rows(found, names)
+            yield _rows(found)
 
 
 def _line(words: list[bytes]) -> tuple[bytes, list[int]]:
@@ -144,9 +152,16 @@ def _line(words: list[bytes]) -> tuple[bytes, list[int]]:
     return b" ".join(words), np.concatenate([[0], np.cumsum(lengths)]).tolist()
 
 
-def _rows(found: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
+_CUT = pa.schema([
+    ("hash", pa.int64()), ("key", pa.binary()), ("begins", pa.list_(pa.int32())), ("copies", pa.int64()),
+    ("lead", pa.int32()), ("stretch", pa.binary()), ("windows", pa.list_(pa.binary())),
+])
+_MARKS = pa.schema([("key", pa.binary()), ("ranges", pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))])
+
+
+def _rows(found: list[tuple], schema: pa.Schema = _CUT) -> pa.RecordBatch:
+    columns = zip(*found, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def passages(counted: dict[bytes, int]) -> tuple[set[bytes], int]:
@@ -193,26 +208,24 @@ def located(counted: dict[bytes, int]) -> dict[bytes, list[tuple[int, int]]]:
 
 
 def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (hash, key, begin, copies, stretch) in order of hash to marks (key, first, end)."""
+    """Rows (hash, key, begins, copies, stretch) in order of hash to marks (key, ranges)."""
     last, size = None, 0
     counted: Counter[bytes] = Counter()
-    places: dict[bytes, list[tuple[bytes, int]]] = {}
+    places: dict[bytes, list[tuple[bytes, list[int]]]] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
-        marks = [
-            (key, begin + first, begin + end)
-            for text, covered in located(counted).items()
-            for key, begin in places[text]
-            for first, end in covered
-        ]
-        for at in range(0, len(marks), 100_000):
-            columns = zip(*marks[at : at + 100_000], strict=True)
-            kinds = (pa.binary(), pa.int32(), pa.int32())
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "first", "end"])
+        marks: list[tuple] = []
+        for text, covered in located(counted).items():
+            for key, begins in places[text]:
+                marks.append((key, [(b + first, b + end) for b in begins for first, end in covered]))
+            if len(marks) > 50_000:
+                yield _rows(marks, _MARKS)
+                marks = []
+        if marks:
+            yield _rows(marks, _MARKS)
 
     for batch in batches:
-        for hash_, key, begin, copies, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for hash_, key, begins, copies, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if size > SHARD_BYTES and hash_ != last:
                 yield from flush()
                 size = 0
@@ -221,8 +234,8 @@ def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if text not in counted:
                 size += len(text)
             size += 32
-            counted[text] += copies
-            places.setdefault(text, []).append((key, begin))
+            counted[text] += copies * len(begins)
+            places.setdefault(text, []).append((key, begins))
     yield from flush()
 
 
@@ -230,22 +243,62 @@ def marks(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(key, ranges): the word ranges to remove from each distinct text that has some, by text digest."""
     anchored = written(anchors(docs))
     found = stretches(docs, anchored, hot)
-    kinds = "hash long, key binary, begin int, copies long, stretch binary, digest binary"
+    kinds = "hash long, key binary, begins array<int>, copies long, lead int, stretch binary, windows array<binary>"
     cut = written(found.mapInArrow(_cut, kinds))
     release(anchored)
-    usual = cut.where("stretch is not null").select("hash", "key", "begin", "copies", "stretch")
+    usual = cut.where("stretch is not null").select("hash", "key", "begins", "copies", "stretch")
     usual = usual.repartition("hash").sortWithinPartitions("hash")
-    result = usual.mapInArrow(_sharded, "key binary, first int, end int")
-    common = cut.where("digest is not null")
+    result = usual.mapInArrow(_sharded, "key binary, ranges array<struct<first:int,end:int>>")
+    common = cut.where("windows is not null")
     if not common.isEmpty():
-        recurring = common.groupBy("digest").agg(F.sum("copies").alias("times")).where("times > 1").select("digest")
-        windows = common.join(recurring, "digest").select("key", F.col("begin").alias("first"), (F.col("begin") + WINDOW).alias("end"))
-        result = result.union(windows)
-    result = written(result.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("first", "end"))).alias("ranges")))
+        result = result.union(_by_digest(common))
+    result = written(result.groupBy("key").agg(F.sort_array(F.flatten(F.collect_list("ranges"))).alias("ranges")))
     release(cut)
     return result
 
 
+def _by_digest(stretches_: DataFrame) -> DataFrame:
+    """Marks (key, ranges) of the recurring windows of stretches (key, begins, lead, copies, windows)."""
+    times = (F.col("copies") * F.size("begins")).alias("times")
+    rows = stretches_.select("key", "begins", "lead", "windows", times, F.lit(True).alias("open"))
+    out = None
+    for pieces in (0, *PIECES):
+        # What recurs is marked and taken apart once more for the count alone, what does not is still open.
+        rows = written(_taken_apart(rows, pieces))
+        one = F.min(F.struct("key", "begins", "lead", "windows")).alias("one")
+        each = rows.groupBy("digest").agg(F.sum("times").alias("n"), F.max("open").alias("open"), one)
+        each = written(each.select("digest", "n", "open", "one.*"))
+        found = rows.where("open").select("digest", "key", "begins", F.size("windows").alias("size"))
+        found = found.join(each.where("n > 1").select("digest"), "digest")
+        end = F.col("size") + WINDOW - 1
+        ranges = F.transform("begins", lambda b: F.struct(b.alias("first"), (b + end).alias("end")))
+        found = found.select("key", ranges.alias("ranges"))
+        out = found if out is None else out.union(found)
+        still = (F.col("open") & (F.col("n") == 1)).alias("open")
+        rows = each.select("key", "begins", "lead", "windows", F.col("n").alias("times"), still)
+    return out
+
+
+def _taken_apart(rows: DataFrame, piece: int) -> DataFrame:
+    """Rows cut into pieces of so many windows (0: as they are), with a digest of each.
+
+    ``lead`` is the distance of the anchor's place from the first window.
+    """
+    size = F.size("windows")
+    starts = F.sequence(F.lit(0), size - 1)
+    if piece:
+        starts = F.filter(starts, lambda i: (i == 0) | (F.pmod(F.col("lead") - i, F.lit(piece)) == piece - 1))
+    else:
+        starts = F.array(F.lit(0))
+    parts = rows.withColumn("starts", starts).select("*", F.posexplode("starts").alias("nth", "at"))
+    after = F.coalesce(F.get("starts", F.col("nth") + 1), size)
+    parts = parts.withColumn("windows", F.slice("windows", F.col("at") + 1, after - F.col("at")))
+    digest = F.md5(F.array_join(F.transform("windows", lambda w: F.hex(w)), "").cast("binary"))
+    begins = F.transform("begins", lambda b: b + F.col("at"))
+    lead = (F.col("lead") - F.col("at")).alias("lead")
+    return parts.select("key", begins.alias("begins"), lead, "windows", "times", "open", digest.alias("digest"))
+
+
 def _kept(words: list[bytes], ranges: list[dict] | None) -> list[bytes]:
     if not ranges:
         return words
@@ -256,9 +309,9 @@ def _kept(words: list[bytes], ranges: list[dict] | None) -> list[bytes]:
 
 
 def with_marks(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """``docs`` with the column ``ranges`` of ``marks`` added; null where nothing is removed."""
-    found = marks(docs, hot).withColumnRenamed("key", "__key")
-    rows = docs.drop("ranges").withColumn("__key", text_key())
+    """``docs`` with the ranges of ``marks`` as ``__ranges``; null where nothing is removed."""
+    found = marks(docs, hot).withColumnsRenamed({"key": "__key", "ranges": "__ranges"})
+    rows = docs.withColumn("__key", text_key())
     return rows.join(found, "__key", "left").drop("__key")
 
 
@@ -275,7 +328,7 @@ def report(docs: DataFrame, hot: int = HOT) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, ranges in zip(batch.column("text"), batch.column("ranges").to_pylist(), strict=True):
+            for text, ranges in zip(batch.column("text"), batch.column("__ranges").to_pylist(), strict=True):
                 words = text.as_buffer().to_pybytes().split()
                 kept = _kept(words, ranges)
                 out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
@@ -297,7 +350,7 @@ def cleaned(docs: DataFrame, hot: int = HOT) -> DataFrame:
     for field in schema.fields:
         field.nullable = True
     place = docs.columns.index("text")
-    rows = rows.select(*docs.columns, "ranges")
+    rows = rows.select(*docs.columns, "__ranges")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
