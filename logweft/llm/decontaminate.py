@@ -91,14 +91,15 @@ def _places(text: bytes, hits: list[int]) -> list[dict]:
     return [{"start": int(a), "end": int(b)} for a, b in both]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """All columns of ``docs`` and a struct ``found``: n_words, hit_words, items, spans.
+def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shard_bytes: int = SHARD_BYTES,
+         name: str = "found") -> DataFrame:
+    """All columns of ``docs`` and a struct ``found``, or as named: n_words, hit_words, items, spans.
 
     ``hit_words`` are the word numbers inside any occurrence, ``items`` the ids whose windows
     occur, ``spans`` code point ranges in the text. A null or empty text has no words. Items
     without an id or without words have no windows; equal windows of several items count for
-    each. An empty benchmark finds nothing. Columns of ``docs`` may have any names but ``found``,
-    which is replaced. A pass holds ``shard_bytes`` of windows; further passes read the written
+    each. An empty benchmark finds nothing. A column of ``docs`` with that
+    name is replaced. A pass holds ``shard_bytes`` of windows; further passes read the written
     result of the one before.
     """
     table = windows(benchmark, size)
@@ -107,7 +108,7 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shard_bytes:
     total = table.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_bytes))
     shard = F.pmod(F.xxhash64("window"), F.lit(shards))
-    found = docs.drop("found").withColumn("found", F.lit(None).cast(f"struct<{_struct()}>"))
+    found = docs.drop(name).withColumn(name, F.lit(None).cast(f"struct<{_struct()}>"))
     for number in range(shards):
         rows = [(bytes(r.window), list(r.items)) for r in table.where(shard == number).select("window", "items").collect()]
         found = _pass(found if number == 0 else written(found), rows)
@@ -142,7 +143,7 @@ def _pass(docs: DataFrame, rows: list[tuple[bytes, list[int]]]) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that contain a window of the benchmark."""
-    return find(docs, benchmark).where(F.size("found.hit_words") == 0).drop("found")
+    return find(docs, benchmark, name="__found").where(F.size("__found.hit_words") == 0).drop("__found")
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -218,13 +218,14 @@ def predict(docs: DataFrame, network: Network | None, lang: str = "lang_pred", s
     nothing to learn from. Else ``score`` is the mean probability of the predicted language over
     all bytes. Only the text is an input; equal texts get equal results.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(network)
+    plain = network and (network.languages, network.inputs, network.states, network.out, network.bias)
+    shared = docs.sparkSession.sparkContext.broadcast(plain)
     texts = F.col("text").cast("string")
     lettered = F.coalesce(texts.rlike(r"\p{L}"), F.lit(False))
     rows = docs.drop(lang, score).withColumn(lang, F.when(lettered, texts)).withColumn(score, F.lit(0.0))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = shared.value and Network(*shared.value)
         names = np.array([*own.languages, UNKNOWN], object) if own else None
         for batch in batches:
             column = batch.column(batch.num_columns - 2)

@@ -177,11 +177,11 @@ def score(docs: DataFrame, model: Machine | None, threshold: float = THRESHOLD)
     A null text is scored as an empty one, by the statistics alone. Without a model every score
     is 0.5. Only the text is an input of the score; further columns are dropped.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model and (model.bias, model.weight, model.factors))
     rows = docs.select("doc_id", held_out().alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = shared.value and Machine(*shared.value)
         for batch in batches:
             found = [own.score(*features(*piece[2:])) if own else np.full(len(piece[3]) - 1, 0.5) for piece in slices(batch.column(2))]
             values = np.concatenate(found) if found else np.zeros(0)

@@ -220,11 +220,13 @@ def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     """
     rows = prepared(pages, rules)
     trees, known, rate = train(rows.where(F.col("said").isNotNull()), sample)
-    model = pages.sparkSession.sparkContext.broadcast((trees, known, rate))
+    plain = trees and (trees.cuts, trees.prior, trees.column, trees.cut, trees.value)
+    model = pages.sparkSession.sparkContext.broadcast((plain, known, rate))
     kept = ["page_id", "host", "path", "rule", "said"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table, share = model.value
+        plain, table, share = model.value
+        own = plain and Trees(*plain)
         for batch in batches:
             buckets = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in _GROUPS]).reshape(-1, len(_GROUPS))
             x = np.column_stack([features(batch.column("url"), batch.column("path")), _rates(table, buckets, share)])
