@@ -6,7 +6,7 @@ import re
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from logweft.functions.text import is_blank, lenient_utf8
@@ -91,10 +91,11 @@ def sample_lines(lines: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def sample_log_dir(spark: SparkSession, directory: str, limit: int = 50) -> DataFrame:
-    """``sample_lines`` of a directory, reading no more logs than it needs.
+    """``sample_lines`` of a directory, reading no more of it than it needs.
 
-    The first log nearly always has enough lines. If not, twice as many logs are
-    read, and so on; the driver holds the names of those only.
+    The first block of the first log nearly always has enough lines, and a task that has
+    found them stops. If not, the first log is read, then twice as many logs, and so on; the
+    driver holds the names of those only.
     """
     schema, path = "filename string, value string", F.col("_metadata.file_path")
     try:
@@ -105,14 +106,22 @@ def sample_log_dir(spark: SparkSession, directory: str, limit: int = 50) -> Data
         return spark.createDataFrame([], schema)
     whole = F.substring_index(path, "/", -1).endswith(".log")
     log = F.when(whole, path).otherwise(F.regexp_replace(path, "/[^/]*$", ""))
-    logs = files.select(log_name(path).alias("filename"), log.alias("log")).distinct().orderBy("filename", "log")
+    files = files.select(log_name(path).alias("filename"), log.alias("log"), path.alias("path"))
+    logs = files.groupBy("filename", "log").agg(F.min("path").alias("head")).orderBy("filename", "log")
     taken = 1
     while True:
-        some = [unquote(row["log"]) for row in logs.limit(taken + 1).collect()]
-        rows = []
-        if some:
-            scanned = _scanned(spark.read.text([_no_glob(name) for name in some[:taken]]))
+        some = logs.limit(taken + 1).collect()
+        rows = _head(spark, unquote(some[0]["head"]), limit) if some and taken == 1 else []
+        if some and len(rows) < limit:
+            scanned = _scanned(spark.read.text([_no_glob(unquote(row["log"])) for row in some[:taken]]))
             rows = sample_lines(scanned, limit).select("filename", "value").collect()
         if len(rows) == limit or len(some) <= taken:
             return spark.createDataFrame(rows, schema)
         taken *= 2
+
+
+def _head(spark: SparkSession, file: str, limit: int) -> list[Row]:
+    """The first non-blank lines of the first block of a file: only one task has such rows, in order."""
+    scanned = _scanned(spark.read.text(_no_glob(file))).where((F.col("start") == 0) & ~is_blank(F.col("value")))
+    rows = scanned.select(log_name(F.col("path")).alias("filename"), "pos", "value").limit(limit).collect()
+    return [Row(filename=row["filename"], value=row["value"]) for row in sorted(rows, key=lambda row: row["pos"])]

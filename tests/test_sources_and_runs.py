@@ -102,6 +102,27 @@ def test_sample_of_several_logs(spark, logs):
     assert sample_log_dir(spark, logs({}) + "/none").count() == 0
 
 
+def test_sample_of_a_log_in_several_blocks(spark, logs, tmp_path):
+    text = "".join(f"{i} {'x' * 500}\n\n" for i in range(400))
+    folder = logs({"a b.log": text, "c.log": "c\n"})
+    (tmp_path / "logs" / "0.log").mkdir()
+    for part in (1, 2):
+        (tmp_path / "logs" / "0.log" / f"part-{part}").write_text(f"first {part}\n" * 30)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        rows = sample_log_dir(spark, folder, 30).collect()
+        assert [(r["filename"], r["value"]) for r in rows] == [("0.log", "first 1")] * 30
+        rows = sample_log_dir(spark, folder, 50).collect()
+        assert [r["value"] for r in rows] == ["first 1"] * 30 + ["first 2"] * 20
+        for part in (1, 2):
+            (tmp_path / "logs" / "0.log" / f"part-{part}").write_text("\n")
+        (tmp_path / "logs" / "0.log").rename(tmp_path / "logs" / "z.log")
+        rows = sample_log_dir(spark, folder).collect()
+        assert [(r["filename"], r["value"].split()[0]) for r in rows] == [("a b.log", str(i)) for i in range(50)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 @pytest.mark.parametrize("wrong", [{"fmt": "xml"}, {"sort_by": "name"}, {"max_bytes": 0}])
 def test_options_are_checked_before_any_job(wrong):
     with pytest.raises(ValueError):
