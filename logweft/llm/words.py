@@ -87,7 +87,7 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     total = np.zeros(len(words), np.uint64)
     factor = np.uint64(1)
     for shift in range(size):
-        total[: len(words) - shift] += words[shift:] * factor
+        total[: max(len(words) - shift, 0)] += words[shift:] * factor
         factor = np.uint64((int(factor) * 0xC2B2AE3D27D4EB4F) % (1 << 64))
     return mix(total)
 

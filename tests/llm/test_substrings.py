@@ -46,6 +46,16 @@ def test_against_brute_force(tangled, hot):
     assert sorted(got, key=str) == sorted(expected, key=str)
 
 
+@pytest.mark.parametrize("many", [2, 3, 6])
+def test_short_texts_alone_in_a_slice(spark, many):
+    text = words(30, many)
+    expected = (1, many, 0, hashlib.sha256(text.encode()).hexdigest())
+    assert [tuple(r) for r in S.report(frame(spark, [(1, text, "en", "a")])).collect()] == [expected]
+    docs = frame(spark, [(1, text, "en", "a"), (2, "long " * 300_000, "en", "a")]).coalesce(1)
+    found = sorted(tuple(r)[:3] for r in S.report(docs).collect())
+    assert found == [expected[:3], (2, 300_000, 300_000)]
+
+
 def test_small_automata_find_the_same(tangled, monkeypatch):
     monkeypatch.setattr(S, "SHARD_BYTES", 100)
     expected = S.located({t: 2 for t in [words(1, 60).encode()]})

@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -36,3 +37,13 @@ def test_slices_take_each_row_once_and_a_long_one_alone():
 def test_shingles_depend_on_order():
     a = W.shingles(np.array([1, 2, 3, 4, 5], np.uint64), 5)[0]
     assert a != W.shingles(np.array([2, 1, 3, 4, 5], np.uint64), 5)[0]
+
+
+@pytest.mark.parametrize("size", [5, 8])
+@pytest.mark.parametrize("many", range(10))
+def test_fewer_words_than_a_shingle(many, size):
+    words = np.arange(1, many + 1, dtype=np.uint64)
+    got = W.shingles(words, size)
+    assert len(got) == many
+    # The last runs are those of the words with zeros behind them.
+    assert got.tolist() == W.shingles(np.append(words, np.zeros(size, np.uint64)), size)[:many].tolist()
