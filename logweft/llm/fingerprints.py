@@ -3,7 +3,8 @@
 A sketch keeps every shingle hash below a fixed fraction of the hash range. So the sketch
 of two documents together is the union of theirs, and containment can be estimated
 between a page and a book. The smallest hash is always kept, so no text with words has an
-empty sketch.
+empty sketch. A text of which nothing else is kept says nothing about its containment in a
+larger one, so documents with few shingles are compared by all of them.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 SHINGLE = 5
 #: One hash in so many is kept.
 SCALE = 8
+#: Documents of so many distinct shingles at most are compared by all of them.
+EXACT = 512
 #: Documents in one bucket of the order by id, and buckets at most (beyond it they grow).
 BUCKET_ROWS, MOST_BUCKETS = 1024, 16_384
 
@@ -24,23 +27,33 @@ def sketch(text: Column, scale: int = SCALE, size: int = SHINGLE) -> Column:
     Words are cut at white space; a text of fewer than five words has one shingle, a null or blank one
     none. Hashes count upwards from the least bigint.
     """
-    words = F.transform(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""), lambda w: F.xxhash64(w))
-    return F.when(text.isNull(), F.array().cast("array<bigint>")).otherwise(_retained(words, scale, size))
+    return F.when(text.isNull(), F.array().cast("array<bigint>")).otherwise(_let(_hashes(text, size), lambda all_: _cut(all_, scale)))
+
 
+def _limit(scale: int) -> Column:
+    return F.lit(-(1 << 63) + (1 << 64) // scale)
 
-def _retained(words: Column, scale: int, size: int) -> Column:
-    limit = -(1 << 63) + (1 << 64) // scale
+
+def _hashes(text: Column, size: int = SHINGLE) -> Column:
+    """Hashes of all shingles of a text, equal ones as often as they occur."""
+    words = F.transform(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""), lambda w: F.xxhash64(w))
 
     def shingled(w: Column) -> Column:
         many = F.greatest(F.size(w) - (size - 1), F.least(F.size(w), F.lit(1)))
         return F.transform(F.slice(w, 1, many), lambda _, i: F.xxhash64(*[F.get(w, i + k) for k in range(size)]))
 
-    def cut(all_: Column) -> Column:
-        least = F.array_compact(F.array(F.array_min(all_)))
-        return F.array_sort(F.array_union(F.filter(all_, lambda h: h < F.lit(limit)), least))
-
     # Each step takes the one before as the single element of an array, so that it is computed once.
-    return _let(_let(words, shingled), cut)
+    return _let(words, shingled)
+
+
+def _cut(all_: Column, scale: int) -> Column:
+    least = F.array_compact(F.array(F.array_min(all_)))
+    return F.array_sort(F.array_union(F.filter(all_, lambda h: h < _limit(scale)), least))
+
+
+def _few(all_: Column, scale: int) -> Column:
+    """The distinct hashes if they are few or all beyond the limit, else null."""
+    return _let(F.array_distinct(all_), lambda own: F.when((F.size(own) <= EXACT) | (F.array_min(all_) >= _limit(scale)), own))
 
 
 def _let(value: Column, use) -> Column:
@@ -49,15 +62,25 @@ def _let(value: Column, use) -> Column:
 
 def merged(left: Column, right: Column, scale: int = SCALE) -> Column:
     """Sketch of the two documents' shingles together."""
-    limit = -(1 << 63) + (1 << 64) // scale
     both = F.array_sort(F.array_union(left, right))
-    return F.filter(both, lambda h, i: (h < F.lit(limit)) | (i == 0))
+    return F.filter(both, lambda h, i: (h < _limit(scale)) | (i == 0))
+
 
+def containment(own: Column, other: Column, scale: int = SCALE) -> Column:
+    """Estimated share of one document's shingles that the other has: 1 for two empty sketches, 0 for one.
 
-def containment(own: Column, other: Column) -> Column:
-    """Estimated share of one document's shingles that the other has: 1 for two empty sketches, 0 for one."""
+    Null if the sketches cannot tell: the one keeps only a hash beyond the limit, and the other's least is below it.
+    """
     share = F.size(F.array_intersect(own, other)) / F.size(own)
-    return F.when(F.size(own) > 0, share).otherwise((F.size(other) == 0).cast("double"))
+    unknown = (F.array_min(own) >= _limit(scale)) & (F.array_min(other) < F.array_min(own))
+    some = F.when(F.coalesce(unknown, F.lit(False)), F.lit(None)).otherwise(share)
+    return F.when(F.size(own) > 0, some).otherwise((F.size(other) == 0).cast("double"))
+
+
+def _likeness(few: Column, text: Column, estimate: Column) -> Column:
+    """Share of the document's ``few`` shingles that the text has; the estimate if these are null or none."""
+    found = _let(_hashes(text), lambda all_: F.size(F.array_intersect(few, all_)))
+    return F.when(F.size(few) > 0, found / F.size(few)).otherwise(estimate)
 
 
 def as_text(own: Column) -> Column:
@@ -107,13 +130,15 @@ def compare(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     all, of the next document by falling doc_id; the first follows the last. Null texts are
     empty. Documents with equal ids follow each other in the order of their texts, null ids come
     last; a single document follows itself. ``near_edited`` and ``near_next`` are the containment
-    of the document's sketch in the other's. Returns doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next; other columns are dropped, an empty table gives
-    no rows.
+    of the document in the other text: exact for a document of ``EXACT`` distinct shingles or fewer
+    and for one without a hash below the limit, else that of its sketch in the other's. Returns
+    doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; other
+    columns are dropped, an empty table gives no rows.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = bucketed(rows).repartition("bucket")
-    rows = rows.withColumn("own", sketch(F.col("text"), scale))
+    rows = rows.withColumn("both", _let(_hashes(F.col("text")), lambda all_: F.struct(_cut(all_, scale).alias("own"), _few(all_, scale).alias("few"))))
+    rows = rows.select("*", "both.own", "both.few").drop("both")
     order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "text")
     following = F.lead(F.struct("text", "own")).over(order)
     first = F.first(F.struct("text", "own")).over(order)  # without any id there is one bucket and no ghost
@@ -129,6 +154,6 @@ def compare(docs: DataFrame, scale: int = SCALE) -> DataFrame:
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("own")).alias("fingerprint"),
         as_text(F.col("edited_own")).alias("edited_fingerprint"),
-        containment(F.col("own"), F.col("edited_own")).alias("near_edited"),
-        containment(F.col("own"), F.col("following.own")).alias("near_next"),
+        _likeness(F.col("few"), F.col("edited"), containment(F.col("own"), F.col("edited_own"), scale)).alias("near_edited"),
+        _likeness(F.col("few"), F.col("following.text"), containment(F.col("own"), F.col("following.own"), scale)).alias("near_next"),
     )

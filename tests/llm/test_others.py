@@ -143,6 +143,34 @@ def test_containment_estimates(spark):
     assert abs(share - 0.5) < 0.03
 
 
+def test_short_texts_in_long_ones(spark):
+    """A document that the next one holds whole has likeness 1, however few hashes its sketch keeps."""
+    rows = []
+    for i in range(60):
+        short = words(i, 3 + i % 20, 9000)
+        rows += [(2 * i + 1, short, "en", "a"), (2 * i, f"{words(i + 500, 400, 9000)} {short} {words(i + 700, 40, 9000)}", "en", "a")]
+    rows = [(d, t, lang, s) for d, t, lang, s in rows if d % 2 == 0 or len(t.split()) >= 5]
+    got = {r.doc_id: r for r in P.compare(frame(spark, rows)).collect()}
+    texts = {r[0]: r[1] for r in rows}
+    inside = [d for d in texts if d % 2]
+    assert len(inside) > 40 and all(got[d].near_next == 1 for d in inside)
+
+    def all_of(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))}
+
+    for d, n, text in edited([r[:2] for r in rows]):
+        own = all_of(texts[d])
+        assert got[d].near_edited == pytest.approx(len(own & all_of(text)) / len(own))
+
+
+def test_a_sketch_of_one_hash_beyond_the_limit_tells_nothing(spark):
+    limit = -(1 << 63) + (1 << 64) // P.SCALE
+    rows = spark.createDataFrame([([limit + 5], [limit - 9]), ([limit + 5], [limit + 5]), ([limit + 5], [limit + 7]), ([limit - 9], [limit - 9])],
+                                 "a array<bigint>, b array<bigint>")
+    assert [r[0] for r in rows.select(P.containment(F.col("a"), F.col("b"))).collect()] == [None, 1, 0, 1]
+
+
 # --- token counts ----------------------------------------------------------------------
 
 
