@@ -7,20 +7,27 @@ byte of a text; a document's probabilities are the means over its positions. Gat
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweft.llm.words import slices
 
 #: Units of each direction, bytes of a segment (states start anew there), segments worked on at once.
 UNITS, SEGMENT, BLOCK = 8, 64, 2048
-#: Labelled documents the network is fitted on at most, the first in md5 order, and segments of each.
-SAMPLE, SEGMENTS = 4000, 2
+#: Labelled documents the network is fitted on, dealt evenly to the languages, and documents of each at least; the
+#: first of a language in md5 order. Languages with fewer documents give all of them.
+SAMPLE, LEAST_DOCS = 4000, 250
+#: Pieces of ``SEGMENT`` characters taken of a document, spread over it; more, up to the second number, where
+#: the language has fewer documents than its part.
+SEGMENTS, MOST_SEGMENTS = 2, 64
+#: Leading hexadecimal digits of the md5 key by which documents of a language are counted.
+DIGITS = 3
 EPOCHS, RATE, BATCH = 10, 0.02, 256
 #: Documents with a lower score are rejected by ``accepted``.
 LEAST_SCORE = 0.3
@@ -190,19 +197,65 @@ def held_out(share: int = 4, rest: int = 2):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(share)) == rest
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """A network from at most ``sample`` documents with a language outside of the held-out fold; None without any."""
+def _lettered(docs: DataFrame) -> DataFrame:
+    """lang, text and md5 key of the documents that may be learned from."""
     texts = F.col("text").cast("string")
     rows = docs.where(F.col("lang").isNotNull() & ~held_out() & texts.rlike(r"\p{L}"))
     key = F.md5(F.concat_ws(" ", F.col("doc_id").cast("string"), F.lit("language")).cast("binary"))
-    # Only a stretch that holds the segments leaves a document; where it lies depends on the document's hash.
-    size = F.lit(SEGMENT * SEGMENTS)
-    start = F.pmod(F.xxhash64("doc_id", F.char_length(texts)), F.greatest(F.char_length(texts) - size, F.lit(1)))
-    rows = rows.select(F.col("lang").cast("string").alias("lang"), F.substring(texts, (start + 1).cast("int"), size).alias("text"),
-                       key.alias("key")).orderBy("key", "lang", "text").limit(sample).toArrow()
-    if not rows.num_rows:
+    return rows.select(F.col("lang").cast("string").alias("lang"), texts.alias("text"), key.alias("key"))
+
+
+def learned_from(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], DataFrame | None]:
+    """All languages that documents outside of the held-out fold have, and pieces (lang, text, key, i) of some of each."""
+    rows = _lettered(docs)
+    digits = F.substring("key", 1, DIGITS)
+    counted = rows.groupBy("lang", digits.alias("digits")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    counted = counted.sort_by([("lang", "ascending"), ("digits", "ascending")]).to_pylist()
+    languages = sorted({r["lang"] for r in counted})
+    if not languages:
+        return [], None
+    most = max(sample // len(languages), LEAST_DOCS)
+    # The digits up to which a language has enough documents; where it has fewer, each gives more pieces.
+    last, sizes = {}, dict.fromkeys(languages, 0)
+    for r in counted:
+        if sizes[r["lang"]] < most:
+            last[r["lang"]] = r["digits"]
+        sizes[r["lang"]] += r["n"]
+    wanted = {lang: min(max(-(-SEGMENTS * most // n), SEGMENTS), MOST_SEGMENTS) for lang, n in sizes.items()}
+    rows = rows.where(digits <= _looked_up(last, "string")).select("lang", "key", _pieces(_looked_up(wanted, "int")).alias("pieces"))
+    order = Window.partitionBy("lang").orderBy("key", "pieces")
+    rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    return languages, rows.select("lang", "key", F.posexplode("pieces").alias("i", "text"))
+
+
+def _looked_up(values: dict, kind: str):
+    return F.try_element_at(F.from_json(F.lit(json.dumps(values)), f"map<string, {kind}>"), F.col("lang"))
+
+
+def _pieces(wanted):
+    """Pieces of ``SEGMENT`` characters, one from each of so many equal parts of the text; where in its part depends on the document's hash."""
+    size = F.char_length("text").cast("long")
+    number = F.least(wanted, F.ceil(size / SEGMENT)).cast("int")
+
+    def piece(i):
+        low, high = (F.floor(size * (i + k) / number) for k in (0, 1))
+        slack = F.greatest(high - low - SEGMENT, F.lit(0)) + 1
+        # A part of a short text is shorter than a piece.
+        length = F.least(high - low, F.lit(SEGMENT)).cast("int")
+        return F.substring(F.col("text"), (low + F.pmod(F.xxhash64("key", size, i), slack) + 1).cast("int"), length)
+
+    return F.transform(F.sequence(F.lit(0), number - 1), piece)
+
+
+def train(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
+    """A network of all languages of the documents outside of the held-out fold; None without any.
+
+    Learned from ``sample`` documents in even parts, or ``LEAST_DOCS`` of each language if that is more.
+    """
+    languages, pieces = learned_from(docs, sample)
+    if not languages:
         return None
-    languages = sorted(set(rows["lang"].to_pylist()))
+    rows = pieces.toArrow().combine_chunks().sort_by([(name, "ascending") for name in ("key", "lang", "text", "i")])
     number = {name: i for i, name in enumerate(languages)}
     labels = np.array([number[name] for name in rows["lang"].to_pylist()])
     parts = [(codes, np.repeat(labels[first:end], counts)) for first, end, data, offsets in slices(rows["text"].combine_chunks())

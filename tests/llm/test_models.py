@@ -119,6 +119,39 @@ def test_held_out_languages(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_a_rare_language_is_learned(spark):
+    """Every labelled language is learned from pieces of whole texts, however many documents the others have."""
+    most = spark.range(6000).selectExpr("id doc_id", "repeat(concat('the house ', id, ' and '), 8) text", "if(id % 5 = 0, 'fr', 'en') lang")
+    texts = [(10_000 + i, " ".join(f"słowo{i}x{j} żółć" for j in range(400)), "pl") for i in range(3)]
+    rare = spark.createDataFrame([r for r in texts], "doc_id long, text string, lang string").where(~L.held_out())
+    assert 0 < rare.count() <= 3
+    languages, pieces = L.learned_from(most.unionByName(rare))
+    assert languages == ["en", "fr", "pl"]
+    assert L.train(most.unionByName(rare), 20).languages == languages
+    got = pieces.collect()
+    learned = {lang: {r.key for r in got if r.lang == lang} for lang in languages}
+    assert len(learned["pl"]) == rare.count() and 600 < len(learned["fr"]) <= 1333 and len(learned["en"]) == 1333
+    # Pieces of a text come from all over it.
+    for d in rare.collect():
+        own = [r.text for r in got if r.lang == "pl" and r.text in d.text]
+        assert len(own) >= L.MOST_SEGMENTS and all(len(t) <= L.SEGMENT for t in own)
+        assert all(any(k * len(d.text) // 8 <= d.text.index(t) < (k + 1) * len(d.text) // 8 for t in own) for k in range(8))
+
+
+def test_languages_of_equal_keys(spark):
+    """Documents without an id have one key and still give each language its part."""
+    docs = spark.range(900).selectExpr("cast(null as long) doc_id", "concat('a text ', id) text", "if(id < 300, 'x', 'y\\'\"') lang")
+    languages, pieces = L.learned_from(docs, 400)
+    got = pieces.groupBy("lang").count().collect()
+    assert languages == ["x", "y'\""] and {r["lang"]: r["count"] for r in got} == {"x": 250, "y'\"": 250}
+    short = spark.createDataFrame([(1, "ab", "x"), (4, "c" * 100, "x")], "doc_id long, text string, lang string")
+    _, pieces = L.learned_from(short)
+    whole = {}
+    for r in sorted(pieces.collect(), key=lambda r: r.i):
+        whole[r.key] = whole.get(r.key, "") + r.text
+    assert set(whole.values()) <= {"ab", "c" * 100}
+
+
 def test_odd_texts(spark, messy, nothing):
     rows = [(1, "1234 !!", "en", "a"), (2, "\x00é", None, "a"), (3, "中文" * 5000, None, "a")]
     docs = messy.unionByName(frame(spark, rows))
