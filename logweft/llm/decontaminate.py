@@ -32,7 +32,7 @@ def normal_words(text: bytes) -> list[bytes]:
 
 
 def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(window, items): each distinct window with the sorted ids of its items."""
+    """(window, items): each distinct window with the sorted ids of its items; one of items without an id has none."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,7 +46,7 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
             )
 
     pairs = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    pairs = pairs.mapInArrow(cut, "window binary, item_id long").where("item_id is not null")
+    pairs = pairs.mapInArrow(cut, "window binary, item_id long")
     return pairs.groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
 
 
@@ -97,8 +97,8 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shard_bytes:
 
     ``hit_words`` are the word numbers inside any occurrence, ``items`` the ids whose windows
     occur, ``spans`` code point ranges in the text. A null or empty text has no words. Items
-    without an id or without words have no windows; equal windows of several items count for
-    each. An empty benchmark finds nothing. A column of ``docs`` with that
+    without words have no windows, those without an id are found but not in ``items``; equal
+    windows of several items count for each. An empty benchmark finds nothing. A column of ``docs`` with that
     name is replaced. A pass holds ``shard_bytes`` of windows; further passes read the written
     result of the one before.
     """
@@ -147,7 +147,11 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document: counts of words, hit words and items, and a digest of the items."""
+    """One row per document: counts of words, hit words and items, and a digest of the items.
+
+    Only items with an id count, as in the SQL of the query.
+    """
+    benchmark = benchmark.where("item_id is not null")
     ids = F.array_sort(F.transform("found.items", lambda x: x.cast("string")))
     return find(docs.select("doc_id", "text"), benchmark).select(
         "doc_id",

@@ -62,3 +62,14 @@ def test_clean_keeps_the_rest(messy, benchmark, nothing):
     assert 0 < kept.count() == sum(not r[5] for r in rows) < len(rows)
     assert D.digest(nothing, benchmark[0]).count() == 0
     assert D.digest(messy, benchmark[0].limit(0)).where("contaminated").count() == 0
+
+
+def test_items_without_an_id(spark):
+    """Their copies are found and go; the digest counts items with an id, as its SQL does."""
+    lone = words(77, 30, 5000)
+    table = spark.createDataFrame([(None, lone), (1, words(78, 30, 5000))], "item_id long, text string")
+    docs = frame(spark, [(1, "a " + lone + " b", "en", "a"), (2, "c d e", "en", "a")])
+    found = {r.doc_id: r.found for r in D.find(docs, table).collect()}
+    assert (len(found[1].hit_words), found[1]["items"], len(found[1].spans)) == (30, [], 1)
+    assert [r.doc_id for r in D.clean(docs, table).collect()] == [2]
+    assert not any(r.contaminated for r in D.digest(docs, table).collect())
