@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from logweft.llm import quality_rules
+
 _DECONTAMINATE = r"""
 WITH folded AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -146,4 +148,5 @@ ORACLE = {
     "op5_substring_dedup": _SUBSTRINGS,
     "op7_fixity": _FIXITY,
     "op10_mixing": _MIXING,
+    "op11_quality_rules": quality_rules.sql(),
 }

@@ -14,6 +14,7 @@ from logweft.llm import (
     mixing,
     neardup,
     quality,
+    quality_rules,
     substrings,
     token_counts,
     url_filter,
@@ -68,6 +69,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.curriculum(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,5 +86,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language,
         op9_near_dedup,
         op10_mixing,
+        op11_quality_rules,
     )
 }
