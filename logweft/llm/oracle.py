@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logweft.llm import quality_rules
+from logweft.llm import quality_rules, source_divergence
 
 _DECONTAMINATE = r"""
 WITH folded AS (
@@ -149,4 +149,5 @@ ORACLE = {
     "op7_fixity": _FIXITY,
     "op10_mixing": _MIXING,
     "op11_quality_rules": quality_rules.sql(),
+    "op13_source_divergence": source_divergence.SQL,
 }

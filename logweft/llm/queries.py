@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from logweft.llm import (
     decontaminate,
+    embedding_whitening,
     fingerprints,
     fixity,
     language,
@@ -15,6 +16,7 @@ from logweft.llm import (
     neardup,
     quality,
     quality_rules,
+    source_divergence,
     substrings,
     token_counts,
     url_filter,
@@ -73,6 +75,14 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -87,5 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_near_dedup,
         op10_mixing,
         op11_quality_rules,
+        op12_embedding_whitening,
+        op13_source_divergence,
     )
 }
