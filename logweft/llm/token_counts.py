@@ -8,6 +8,7 @@ section's end is counted there as crossing. Text outside all sections is reporte
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,6 +22,8 @@ from logweft.llm.words import flat
 
 #: Fixed value: how the vocabulary's byte pairs were cut before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What ``\s`` of the pattern means, in runs of more characters than the encoder's stack should see.
+_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _RESULT = "n_chars long, n_tokens long, outside long, sections array<struct<name:string,start:int,end:int,tokens:int,crossing:int>>"
 
@@ -36,9 +39,21 @@ def encoder(ranks: bytes) -> tuple[tiktoken.Encoding, np.ndarray]:
 
 
 def token_ends(text: str, coding: tuple[tiktoken.Encoding, np.ndarray]) -> np.ndarray:
-    """The byte offsets at which the tokens of a text end."""
+    """The byte offsets at which the tokens of a text end.
+
+    The pattern makes one piece of a run of white space: all of it at the end of the text, else
+    all but its last character, which may belong to what follows. Long runs are cut out as such
+    pieces here, since the pattern's look ahead takes stack for every character of a run.
+    """
     own, lengths = coding
-    return np.cumsum(lengths[np.array(own.encode_ordinary(text), np.int64)])
+    tokens, at = [], 0
+    for run in _LONG_RUN.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        tokens += own.encode_ordinary(text[at : run.start()])
+        tokens += own._encode_single_piece(text[run.start() : end])
+        at = end
+    tokens += own.encode_ordinary(text[at:])
+    return np.cumsum(lengths[np.array(tokens, np.int64)])
 
 
 def allocate(ends: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -64,7 +79,8 @@ def attribute(docs: DataFrame, fields: tuple[str, ...] = ("source", "lang"), voc
     tokens between sections count as ``outside`` if they start there. Returns doc_id, n_chars and
     n_tokens of the record, outside, and the sections in order: name, start and end (code points of the
     record), tokens, crossing. An empty line is a section of no tokens. Extra columns are dropped;
-    repeated rows are counted alike; an empty table gives no rows.
+    repeated rows are counted alike; an empty table gives no rows. Runs of one kind of character may be
+    of any length.
     """
     with open(vocabulary, "rb") as file:
         ranks = docs.sparkSession.sparkContext.broadcast(file.read())
