@@ -2,9 +2,9 @@
 
 A sketch keeps every shingle hash below a fixed fraction of the hash range. So the sketch
 of two documents together is the union of theirs, and containment can be estimated
-between a page and a book. The smallest hash is always kept, so no text with words has an
-empty sketch. A text of which nothing else is kept says nothing about its containment in a
-larger one, so documents with few shingles are compared by all of them.
+between a page and a book. A text of few shingles keeps all of them; a sketch with a hash
+beyond the limit is a whole one. Two whole sketches are compared by all hashes, others by
+those below the limit, so the likeness of two texts follows from their sketches alone.
 """
 
 from __future__ import annotations
@@ -13,16 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-#: One hash in so many is kept.
-SCALE = 8
-#: Documents of so many distinct shingles at most are compared by all of them.
-EXACT = 512
+#: One hash in so many is kept, and all of a text of so few distinct shingles.
+SCALE, FEW = 2, 64
 #: Documents in one bucket of the order by id, and buckets at most (beyond it they grow).
 BUCKET_ROWS, MOST_BUCKETS = 1024, 16_384
 
 
 def sketch(text: Column, scale: int = SCALE, size: int = SHINGLE) -> Column:
-    """Sorted distinct hashes (array<bigint>) of a text's shingles, those below ``2^64 / scale``.
+    """Sorted distinct hashes (array<bigint>) of a text's shingles: those below ``2^64 / scale``, or all if they are few.
 
     Words are cut at white space; a text of fewer than five words has one shingle, a null or blank one
     none. Hashes count upwards from the least bigint.
@@ -47,13 +45,15 @@ def _hashes(text: Column, size: int = SHINGLE) -> Column:
 
 
 def _cut(all_: Column, scale: int) -> Column:
-    least = F.array_compact(F.array(F.array_min(all_)))
-    return F.array_sort(F.array_union(F.filter(all_, lambda h: h < _limit(scale)), least))
+    return F.array_sort(_let(F.array_distinct(all_), lambda own: F.when(F.size(own) <= FEW, own).otherwise(_below(own, scale))))
 
 
-def _few(all_: Column, scale: int) -> Column:
-    """The distinct hashes if they are few or all beyond the limit, else null."""
-    return _let(F.array_distinct(all_), lambda own: F.when((F.size(own) <= EXACT) | (F.array_min(all_) >= _limit(scale)), own))
+def _below(own: Column, scale: int) -> Column:
+    return F.filter(own, lambda h: h < _limit(scale))
+
+
+def _whole(own: Column, scale: int) -> Column:
+    return F.exists(own, lambda h: h >= _limit(scale))
 
 
 def _let(value: Column, use) -> Column:
@@ -61,26 +61,24 @@ def _let(value: Column, use) -> Column:
 
 
 def merged(left: Column, right: Column, scale: int = SCALE) -> Column:
-    """Sketch of the two documents' shingles together."""
+    """Sketch of the two documents' shingles together: whole if both are, else cut at the limit."""
     both = F.array_sort(F.array_union(left, right))
-    return F.filter(both, lambda h, i: (h < _limit(scale)) | (i == 0))
+    return F.when(_whole(left, scale) & _whole(right, scale), both).otherwise(_below(both, scale))
 
 
 def containment(own: Column, other: Column, scale: int = SCALE) -> Column:
-    """Estimated share of one document's shingles that the other has: 1 for two empty sketches, 0 for one.
+    """Share of one document's shingles that the other has: 1 for two empty sketches, 0 for one.
 
-    Null if the sketches cannot tell: the one keeps only a hash beyond the limit, and the other's least is below it.
+    Exact for two whole sketches, else estimated below the limit. With n shingles the estimate's
+    deviation is about ``sqrt(p (1 - p) (scale - 1) / n)``. A whole sketch without a hash below
+    the limit shares nothing with a cut one that could be seen: 0.
     """
-    share = F.size(F.array_intersect(own, other)) / F.size(own)
-    unknown = (F.array_min(own) >= _limit(scale)) & (F.array_min(other) < F.array_min(own))
-    some = F.when(F.coalesce(unknown, F.lit(False)), F.lit(None)).otherwise(share)
-    return F.when(F.size(own) > 0, some).otherwise((F.size(other) == 0).cast("double"))
 
+    def share(mine: Column) -> Column:
+        return F.when(F.size(mine) > 0, F.size(F.array_intersect(mine, other)) / F.size(mine)).otherwise(((F.size(own) == 0) & (F.size(other) == 0)).cast("double"))
 
-def _likeness(few: Column, text: Column, estimate: Column) -> Column:
-    """Share of the document's ``few`` shingles that the text has; the estimate if these are null or none."""
-    found = _let(_hashes(text), lambda all_: F.size(F.array_intersect(few, all_)))
-    return F.when(F.size(few) > 0, found / F.size(few)).otherwise(estimate)
+    exact = _whole(own, scale) & _whole(other, scale)
+    return _let(F.when(exact, own).otherwise(_below(own, scale)), share)
 
 
 def as_text(own: Column) -> Column:
@@ -130,15 +128,13 @@ def compare(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     all, of the next document by falling doc_id; the first follows the last. Null texts are
     empty. Documents with equal ids follow each other in the order of their texts, null ids come
     last; a single document follows itself. ``near_edited`` and ``near_next`` are the containment
-    of the document in the other text: exact for a document of ``EXACT`` distinct shingles or fewer
-    and for one without a hash below the limit, else that of its sketch in the other's. Returns
+    of the document's sketch in that of the other text, and follow from the two sketches alone. Returns
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; other
     columns are dropped, an empty table gives no rows.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = bucketed(rows).repartition("bucket")
-    rows = rows.withColumn("both", _let(_hashes(F.col("text")), lambda all_: F.struct(_cut(all_, scale).alias("own"), _few(all_, scale).alias("few"))))
-    rows = rows.select("*", "both.own", "both.few").drop("both")
+    rows = rows.withColumn("own", sketch(F.col("text"), scale))
     order = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "text")
     following = F.lead(F.struct("text", "own")).over(order)
     first = F.first(F.struct("text", "own")).over(order)  # without any id there is one bucket and no ghost
@@ -154,6 +150,6 @@ def compare(docs: DataFrame, scale: int = SCALE) -> DataFrame:
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_text(F.col("own")).alias("fingerprint"),
         as_text(F.col("edited_own")).alias("edited_fingerprint"),
-        _likeness(F.col("few"), F.col("edited"), containment(F.col("own"), F.col("edited_own"), scale)).alias("near_edited"),
-        _likeness(F.col("few"), F.col("following.text"), containment(F.col("own"), F.col("following.own"), scale)).alias("near_next"),
+        containment(F.col("own"), F.col("edited_own"), scale).alias("near_edited"),
+        containment(F.col("own"), F.col("following.own"), scale).alias("near_next"),
     )
