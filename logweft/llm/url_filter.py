@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logweft.llm.stage import written
 from logweft.llm.words import slices
 
 #: (host, path, verdict): a rule fits its host and all subdomains if the path starts with its own.
@@ -27,8 +28,6 @@ RULES = (
 )
 #: Labelled urls the trees are fitted on at most, the first in md5 order.
 SAMPLE = 20_000
-#: Buckets of each suffix statistic; the table is the same size for any corpus.
-BUCKETS = 4096
 #: A row to learn from is described by the statistics of the other folds.
 FOLDS = 5
 TREES, DEPTH, RATE, BINS, LEAST = 40, 4, 0.2, 32, 5
@@ -59,13 +58,12 @@ def judged(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def groups(host: Column, path: Column) -> dict[str, Column]:
-    """Buckets of the host's last part, its last two parts, and the first part of the path."""
-    keys = {
+    """The host's last part, its last two parts, and the first part of the path."""
+    return {
         "top": F.substring_index(host, ".", -1),
         "site": F.substring_index(host, ".", -2),
-        "head": F.substring_index(F.substring(path, 2, 1 << 20), "/", 1),
+        "head": F.substring_index(F.substring(path, F.lit(2), F.length(path)), "/", 1),
     }
-    return {name: F.pmod(F.xxhash64(F.lit(name), key), F.lit(BUCKETS)).cast("int") for name, key in keys.items()}
 
 
 def features(urls: pa.Array, paths: pa.Array) -> np.ndarray:
@@ -160,26 +158,34 @@ def _gain(g: np.ndarray, h: np.ndarray) -> np.ndarray:
     return g * g / (h + 1)
 
 
-def _known(labelled: DataFrame) -> np.ndarray:
-    """Urls and blocked urls by kind of group, bucket and fold, over all labelled urls."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(name).alias("bucket")) for i, name in enumerate(_GROUPS)]))
-    counted = labelled.select("blocked", "fold", pairs.alias("g")).groupBy("g.kind", "g.bucket", "fold")
-    counted = counted.agg(F.count(F.lit(1)).alias("n"), F.sum("blocked").alias("b"))
-    known = np.zeros((len(_GROUPS), BUCKETS, FOLDS, 2))
-    for row in counted.collect():  # at most one row per bucket and fold
-        known[row["kind"], row["bucket"], row["fold"]] = row["n"], row["b"]
-    return known
+def statistics(labelled: DataFrame) -> dict[str, DataFrame]:
+    """Of each kind of group a table with a row for each suffix: labelled and blocked urls by fold, as arrays."""
 
+    def by_fold(name: str, value: Column) -> Column:
+        return F.array(*[F.sum(F.when(F.col("fold") == i, value).otherwise(0)) for i in range(FOLDS)]).alias(name)
+
+    return {
+        name: written(labelled.groupBy(name).agg(by_fold(f"{name}_n", F.lit(1)), by_fold(f"{name}_b", F.col("blocked"))))
+        for name in _GROUPS
+    }
 
-def _rates(known: np.ndarray, buckets: np.ndarray, rate: float, fold: np.ndarray | None = None) -> np.ndarray:
-    """Smoothed share of blocked urls in a row's groups; for a row to learn from, without its own fold."""
-    out = []
-    for i in range(len(_GROUPS)):
-        counts = known[i].sum(1)[buckets[:, i]]
-        if fold is not None:
-            counts = counts - known[i, buckets[:, i], fold]
-        out.append((counts[:, 1] + SMOOTH * rate) / (counts[:, 0] + SMOOTH))
-    return np.column_stack(out)
+
+def with_rates(rows: DataFrame, known: dict[str, DataFrame], rate: float, learned: bool = False) -> DataFrame:
+    """``rows`` with the smoothed share of blocked urls in each of their groups; without a row's own fold if it is learned from.
+
+    A suffix that no labelled url has gives the share of all. Joins on a hot suffix can be split,
+    as the other side has one row for it.
+    """
+    for name, table in known.items():
+        rows = rows.join(table, name, "left")
+        counts = []
+        for part in ("n", "b"):
+            own = F.coalesce(F.col(f"{name}_{part}"), F.array_repeat(F.lit(0).cast("long"), FOLDS))
+            total = F.aggregate(own, F.lit(0).cast("long"), lambda x, y: x + y)
+            counts.append(total - F.get(own, F.col("fold")) if learned else total)
+        share = (counts[1] + SMOOTH * rate) / (counts[0] + SMOOTH)
+        rows = rows.withColumn(f"{name}_rate", share).drop(f"{name}_n", f"{name}_b")
+    return rows
 
 
 def prepared(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -191,23 +197,29 @@ def prepared(pages: DataFrame, rules=RULES) -> DataFrame:
     return rows.withColumn("blocked", (F.col("said") == "block").cast("int"))
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[Trees | None, np.ndarray, float]:
-    """Trees, statistics by bucket and share of blocked urls, from rows of ``prepared`` with a verdict.
+def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[Trees | None, dict[str, DataFrame], float]:
+    """Trees, statistics by suffix and share of blocked urls, from rows of ``prepared`` with a verdict.
 
     The statistics cover all labelled rows; the trees are fitted on at most ``sample`` of them.
     Without both verdicts among them there are no trees.
     """
-    known = _known(labelled)
-    total, blocked = known[0].sum((0, 1))
-    if not total or blocked in (0, total):
-        return None, known, float(blocked / total) if total else 0.0
-    rate = float(blocked / total)
+    known = statistics(labelled)
+    total, blocked = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
+    rate = float(blocked / total) if total else 0.0
+    if blocked in (0, total):
+        return None, known, rate
     rows = labelled.select("url", "path", "blocked", "fold", *_GROUPS, F.md5("url").alias("place"))
-    rows = rows.orderBy("place", "url").limit(sample).drop("place").toArrow()
-    buckets = np.column_stack([rows[name].to_numpy() for name in _GROUPS])
-    y = rows["blocked"].to_numpy().astype(float)
-    x = features(rows["url"].combine_chunks(), rows["path"].combine_chunks())
-    return fit(np.column_stack([x, _rates(known, buckets, rate, rows["fold"].to_numpy())]), y), known, rate
+    rows = with_rates(rows.orderBy("place", "url").limit(sample), known, rate, True).toArrow().combine_chunks()
+    rows = rows.sort_by([("place", "ascending"), ("url", "ascending")])
+    return fit(described(rows), rows["blocked"].to_numpy().astype(float)), known, rate
+
+
+def described(rows) -> np.ndarray:
+    """Features of Arrow rows that ``with_rates`` gave."""
+    columns = [rows.column(name) for name in ("url", "path")]
+    own = features(*[c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns])
+    rates = [np.asarray(rows.column(f"{name}_rate")) for name in _GROUPS]
+    return np.column_stack([own, *rates])
 
 
 def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
@@ -221,19 +233,18 @@ def judge(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     rows = prepared(pages, rules)
     trees, known, rate = train(rows.where(F.col("said").isNotNull()), sample)
     plain = trees and (trees.cuts, trees.prior, trees.column, trees.cut, trees.value)
-    model = pages.sparkSession.sparkContext.broadcast((plain, known, rate))
+    model = pages.sparkSession.sparkContext.broadcast((plain, rate))
     kept = ["page_id", "host", "path", "rule", "said"]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain, table, share = model.value
+        plain, share = model.value
         own = plain and Trees(*plain)
         for batch in batches:
-            buckets = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in _GROUPS]).reshape(-1, len(_GROUPS))
-            x = np.column_stack([features(batch.column("url"), batch.column("path")), _rates(table, buckets, share)])
-            score = own.score(x) if own else np.full(len(x), share)
+            score = own.score(described(batch)) if own else np.full(batch.num_rows, share)
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(score)], names=[*kept, "score"])
 
     kind = rows.schema["page_id"].dataType.simpleString()
-    out = rows.drop("blocked", "fold").mapInArrow(scored, f"page_id {kind}, host string, path string, rule string, said string, score double")
+    rows = with_rates(rows.drop("blocked"), known, rate).select(*kept, "url", *[f"{name}_rate" for name in _GROUPS])
+    out = rows.mapInArrow(scored, f"page_id {kind}, host string, path string, rule string, said string, score double")
     method = F.when(F.col("score") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), "score")
