@@ -35,7 +35,7 @@ from logweft.llm.words import ranges
 LEAST_DOCS, SMOOTH, TOP = 30, 5, 50
 SCALE = 1_000_000_000
 #: Postings of a shard of terms; cells of the accumulators of a task, beyond which rows are split.
-SHARD_POSTINGS, LEAST_SHARDS, CELLS = 1 << 18, 64, 1 << 21
+SHARD_POSTINGS, LEAST_SHARDS, CELLS = 1 << 18, 8, 1 << 21
 #: Distinct terms that a task holds before it passes their counts on; bytes of text worked on at once.
 HELD, PIECE = 500_000, 1 << 20
 
