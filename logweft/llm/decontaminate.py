@@ -1,8 +1,10 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the normalised benchmark.
 
 A window is ten consecutive words of a benchmark item, or the whole item if it has
-fewer. Every document is scanned once for all windows; places are given as words and
-as code point offsets in the original text.
+fewer. Every document is read once: hashes of its runs of words say which windows may occur in
+a batch of texts, and the automaton of these windows finds where they do. So no automaton grows with
+the benchmark, and texts without a candidate are not scanned. Places are given as words and as code point
+offsets in the original text.
 """
 
 from __future__ import annotations
@@ -15,14 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweft.llm.stage import written
-from logweft.llm.words import PUNCTUATION, flat, spans
+from logweft.llm.stage import unused
+from logweft.llm.words import PUNCTUATION, flat, hashes, ranges, shingles, slices, spans
 
 WINDOW = 10
-#: Bytes of windows in one automaton; a larger benchmark is scanned for in several passes.
-SHARD_BYTES = 4 << 20
+#: Bytes of benchmark texts that are broadcast at once; a larger benchmark takes further steps in the same pass.
+SHARD_BYTES = 64 << 20
 
 _FOLD = bytes(32 if PUNCTUATION[b | 32 if 65 <= b <= 90 else b] else b | 32 if 65 <= b <= 90 else b for b in range(256))
+_BLANK = np.arange(256) == 32
 _FOUND = "n_words long, hit_words array<int>, items array<bigint>, spans array<struct<start:int,end:int>>"
 
 
@@ -31,31 +34,59 @@ def normal_words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(window, items): each distinct window with the sorted ids of its items; one of items without an id has none."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[tuple[bytes, int]] = []
-            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = normal_words((text or "").encode())
-                found += [(b" ".join(words[i : i + size]), item) for i in range(max(1, len(words) - size + 1)) if words]
-            names = ["window", "item_id"]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w for w, _ in found], pa.binary()), pa.array([i for _, i in found], pa.int64())], names
-            )
-
-    pairs = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    pairs = pairs.mapInArrow(cut, "window binary, item_id long")
-    return pairs.groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-
-
-def _automaton(rows: list[tuple[bytes, list[int]]]) -> ahocorasick.Automaton:
-    machine = ahocorasick.Automaton()
-    for window, items in rows:
-        machine.add_word(f" {window.decode('latin-1')} ", (window.count(b" ") + 1, tuple(items)))
-    machine.make_automaton()
-    return machine
+class Windows:
+    """The windows of benchmark items, by the hashes of their words."""
+
+    def __init__(self, items: list[tuple[int | None, bytes]], size: int):
+        self.ids = [i for i, _ in items]
+        texts = [b" ".join(normal_words(text)) for _, text in items]
+        self.text = b" ".join(texts)
+        lengths = np.array([len(t) for t in texts], np.int64)
+        begins = np.cumsum(lengths + 1) - lengths - 1
+        data = np.frombuffer(self.text, np.uint8)
+        self.starts, self.ends, _ = spans(data, np.array([0, len(data)]), _BLANK)
+        first = np.searchsorted(self.starts, np.append(begins, len(data) + 1))
+        counts = np.diff(first)
+        own = hashes(data, self.starts, self.ends) if len(data) else np.zeros(0, np.uint64)
+        #: By length of windows: sorted hashes, and the item and the first word of each.
+        self.known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted(set(np.minimum(counts[counts > 0], size).tolist())):
+            some = np.flatnonzero(counts == n if n < size else counts >= n)
+            many = counts[some] - n + 1
+            word, item = ranges(first[:-1][some], many), np.repeat(some, many)
+            grams = shingles(own, n)[word]
+            order = np.argsort(grams, kind="stable")
+            self.known[n] = grams[order], item[order], word[order]
+
+    def candidates(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+        """Rows, given by the hashes of their words, that may hold windows, and the hashes of these by length."""
+        rows, found = np.zeros(len(first) - 1, bool), {}
+        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        left = first[1:][row] - np.arange(len(words))
+        for n, (known, _, _) in self.known.items():
+            grams = shingles(words, n)
+            at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+            hit = (known[at] == grams) & (left >= n)
+            rows[row[hit]] = True
+            found[n] = np.unique(grams[hit])
+        return rows, found
+
+    def automaton(self, found: dict[int, np.ndarray]) -> ahocorasick.Automaton:
+        """Of the windows with these hashes: their number of words and their items' ids."""
+        windows: dict[bytes, tuple[int, set[int]]] = {}
+        for n, grams in found.items():
+            known, item, word = self.known[n]
+            low, high = np.searchsorted(known, grams), np.searchsorted(known, grams, side="right")
+            for at in ranges(low, high - low).tolist():
+                text = self.text[self.starts[word[at]] : self.ends[word[at] + n - 1]]
+                ids = windows.setdefault(text, (n, set()))[1]
+                if self.ids[item[at]] is not None:
+                    ids.add(self.ids[item[at]])
+        machine = ahocorasick.Automaton()
+        for text, (n, ids) in windows.items():
+            machine.add_word(f" {text.decode('latin-1')} ", (n, tuple(ids)))
+        machine.make_automaton()
+        return machine
 
 
 def _code_points(text: bytes, places: np.ndarray) -> np.ndarray:
@@ -65,9 +96,8 @@ def _code_points(text: bytes, places: np.ndarray) -> np.ndarray:
     return leads[places]
 
 
-def _scan(text: bytes, machine: ahocorasick.Automaton, hits: set[int], items: set[int]) -> int:
-    words = normal_words(text)
-    line = b" " + b" ".join(words) + b" "
+def _scan(text: bytes, machine: ahocorasick.Automaton, hits: set[int], items: set[int]) -> None:
+    line = b" " + b" ".join(normal_words(text)) + b" "
     blanks = None
     for end, (length, ids) in machine.iter(line.decode("latin-1")):
         if blanks is None:
@@ -75,7 +105,6 @@ def _scan(text: bytes, machine: ahocorasick.Automaton, hits: set[int], items: se
         last = int(np.searchsorted(blanks, end)) - 1
         hits.update(range(last - length + 1, last + 1))
         items.update(ids)
-    return len(words)
 
 
 def _places(text: bytes, hits: list[int]) -> list[dict]:
@@ -99,19 +128,17 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shard_bytes:
     occur, ``spans`` code point ranges in the text. A null or empty text has no words. Items
     without words have no windows, those without an id are found but not in ``items``; equal
     windows of several items count for each. An empty benchmark finds nothing. A column of ``docs`` with that
-    name is replaced. A pass holds ``shard_bytes`` of windows; further passes read the written
-    result of the one before.
+    name is replaced. ``shard_bytes`` of benchmark texts are broadcast at once; of a larger benchmark
+    each shard is one more step over the same rows, and nothing is written between.
     """
-    table = windows(benchmark, size)
-    weight = F.length("window") + 8 * F.size("items")
-    table = written(table.withColumn("bytes", weight))
-    total = table.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    texts = benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-total // shard_bytes))
-    shard = F.pmod(F.xxhash64("window"), F.lit(shards))
+    shard = F.pmod(F.xxhash64("text"), F.lit(shards))
     found = docs.drop(name).withColumn(name, F.lit(None).cast(f"struct<{_struct()}>"))
     for number in range(shards):
-        rows = [(bytes(r.window), list(r.items)) for r in table.where(shard == number).select("window", "items").collect()]
-        found = _pass(found if number == 0 else written(found), rows)
+        items = [(r.item_id, r.text.encode()) for r in texts.where(shard == number).collect()]
+        found = _step(found, items, size)
     return found
 
 
@@ -119,39 +146,50 @@ def _struct() -> str:
     return ",".join(part.strip().replace(" ", ":", 1) for part in _FOUND.split(", "))
 
 
-def _pass(docs: DataFrame, rows: list[tuple[bytes, list[int]]]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
+def _step(docs: DataFrame, items: list[tuple[int | None, bytes]], size: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)
     place = docs.columns.index("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _automaton(shared.value) if shared.value else None
+        windows = Windows(shared.value, size)
         for batch in batches:
-            data, offsets = flat(batch.column(place))
-            raw, out = data.tobytes(), []
-            for i, before in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                text = raw[offsets[i] : offsets[i + 1]]
-                hits = set(before["hit_words"]) if before else set()
-                items = set(before["items"]) if before else set()
-                count = _scan(text, machine, hits, items) if machine else len(normal_words(text))
-                words = sorted(hits)
-                out.append({"n_words": count, "hit_words": words, "items": sorted(items), "spans": _places(text, words)})
+            out = []
+            for first, end, data, offsets in slices(batch.column(place)):
+                out += _found(windows, data, offsets, batch.column(batch.num_columns - 1).slice(first, end - first).to_pylist())
             kind = batch.schema.field(batch.num_columns - 1).type
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, kind)], schema=batch.schema)
 
     return docs.mapInArrow(scan, docs.schema)
 
 
+def _found(windows: Windows, data: np.ndarray, offsets: np.ndarray, before: list[dict | None]) -> list[dict]:
+    """What is found in the texts of a slice, with what earlier steps found."""
+    raw = data.tobytes()
+    folded = np.frombuffer(raw.translate(_FOLD), np.uint8)
+    starts, ends, first = spans(folded, offsets, _BLANK)
+    rows, wanted = windows.candidates(hashes(folded, starts, ends) if len(starts) else np.zeros(0, np.uint64), first)
+    machine, out = windows.automaton(wanted) if rows.any() else None, []
+    for i, seen in enumerate(before):
+        hits, items = (set(seen["hit_words"]), set(seen["items"])) if seen else (set(), set())
+        text = raw[offsets[i] : offsets[i + 1]] if rows[i] or hits else b""
+        if rows[i]:
+            _scan(text, machine, hits, items)
+        words = sorted(hits)
+        out.append({"n_words": int(first[i + 1] - first[i]), "hit_words": words, "items": sorted(items), "spans": _places(text, words)})
+    return out
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that contain a window of the benchmark."""
-    return find(docs, benchmark, name="__found").where(F.size("__found.hit_words") == 0).drop("__found")
+    name = unused(docs, "__found")
+    return find(docs, benchmark, name=name).where(F.size(f"{name}.hit_words") == 0).drop(name)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: counts of words, hit words and items, and a digest of the items.
 
-    Only items with an id count, as in the SQL of the query.
+    Copies of items without an id count as hits; ``n_items`` and the digest have items with an id.
     """
-    benchmark = benchmark.where("item_id is not null")
     ids = F.array_sort(F.transform("found.items", lambda x: x.cast("string")))
     return find(docs.select("doc_id", "text"), benchmark).select(
         "doc_id",

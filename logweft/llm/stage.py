@@ -8,16 +8,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where that is unset on a local master."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where that is unset, an error, but on a local master a folder of our own, one for each application.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    context = spark.sparkContext
+    if not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="llm-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _own:
+        _own[context.applicationId] = tempfile.mkdtemp(prefix="llm-")
+    return _own[context.applicationId]
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -46,3 +53,11 @@ def release(*tables: DataFrame) -> None:
     for table in tables:
         place, system = _file_system(table.sparkSession, table.written_at)
         system.delete(place, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer if ``df`` has such a column."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
