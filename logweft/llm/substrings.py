@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweft.llm.stage import release, written
+from logweft.llm.skew import join_counted
+from logweft.llm.stage import release, unused, written
 from logweft.llm.words import SPACE, flat, hashes, lists, shingles, slices, spans
 
 #: Words of a window and of an anchor.
@@ -108,8 +109,9 @@ def stretches(docs: DataFrame, anchored: DataFrame, hot: int = HOT) -> DataFrame
     each = anchored.select("number", "copies", F.explode(F.arrays_zip("hash", "begin", "count", "place")).alias("a"))
     each = each.select("number", "copies", "a.*")
     recurring = each.groupBy("hash").agg(F.sum("copies").alias("times"), F.count(F.lit(1)).alias("texts"))
-    recurring = recurring.where("times > 1").select("hash", (F.col("texts") > hot).alias("hot"))
-    hits = each.drop("copies").join(recurring, "hash")
+    recurring = written(recurring.where("times > 1").select("hash", "texts", (F.col("texts") > hot).alias("hot")))
+    total = anchored.agg(F.coalesce(F.sum(F.size("hash")), F.lit(0))).first()[0]
+    hits = join_counted(each.drop("copies"), recurring, "hash", "texts", total)
     hits = hits.groupBy("number").agg(F.collect_list(F.struct("begin", "count", "place", "hash", "hot")).alias("hits"))
     hits = hits.join(anchored.select("number", "key", "id", "copies"), "number").drop("number")
     texts = docs.select(text_key().alias("key"), _id().alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -309,10 +311,10 @@ def _kept(words: list[bytes], ranges: list[dict] | None) -> list[bytes]:
 
 
 def with_marks(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """``docs`` with the ranges of ``marks`` as ``__ranges``; null where nothing is removed."""
-    found = marks(docs, hot).withColumnsRenamed({"key": "__key", "ranges": "__ranges"})
-    rows = docs.withColumn("__key", text_key())
-    return rows.join(found, "__key", "left").drop("__key")
+    """``docs`` and, as their last column, the ranges of ``marks``; null where nothing is removed."""
+    key, ranges = unused(docs, "__key"), unused(docs, "__ranges")
+    found = marks(docs, hot).withColumnsRenamed({"key": key, "ranges": ranges})
+    return docs.withColumn(key, text_key()).join(found, key, "left").drop(key)
 
 
 def report(docs: DataFrame, hot: int = HOT) -> DataFrame:
@@ -328,7 +330,7 @@ def report(docs: DataFrame, hot: int = HOT) -> DataFrame:
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, ranges in zip(batch.column("text"), batch.column("__ranges").to_pylist(), strict=True):
+            for text, ranges in zip(batch.column("text"), batch.column(2).to_pylist(), strict=True):
                 words = text.as_buffer().to_pybytes().split()
                 kept = _kept(words, ranges)
                 out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
@@ -350,8 +352,6 @@ def cleaned(docs: DataFrame, hot: int = HOT) -> DataFrame:
     for field in schema.fields:
         field.nullable = True
     place = docs.columns.index("text")
-    rows = rows.select(*docs.columns, "__ranges")
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ranges = batch.column(batch.num_columns - 1).to_pylist()
