@@ -17,6 +17,8 @@ from logweft.llm.stage import written
 RANGE_BYTES, FAN, LEVELS = 1 << 16, 16, 4
 #: Pages in one file of the archive that ``archive`` lays out.
 PAGES_PER_FILE = 256
+#: Where the parts of a digest begin that are summed up for records at one place: 64 digits in all.
+_PARTS = (1, 14, 27, 40, 53)
 
 
 def leaves(records: DataFrame) -> DataFrame:
@@ -97,11 +99,11 @@ def _differing(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 def _merged(rows: DataFrame) -> DataFrame:
     """One row per place. Several records at a place are summed up in parts, so that any number can meet there."""
-    parts = [F.sum(F.conv(F.substring("leaf", at, 15), 16, 10).cast("decimal(20,0)")).alias(f"p{at}") for at in (1, 16, 31, 46)]
+    parts = [F.sum(F.conv(F.substring("leaf", at, 13), 16, 10).cast("decimal(20,0)")).alias(f"p{at}") for at in _PARTS]
     merged = rows.groupBy("file", "offset").agg(
         F.sum("length").alias("length"), F.count(F.lit(1)).alias("n"), F.min("leaf").alias("leaf"), *parts
     )
-    joined = F.sha2(F.concat_ws(";", "n", "p1", "p16", "p31", "p46").cast("binary"), 256)
+    joined = F.sha2(F.concat_ws(";", "n", *[f"p{at}" for at in _PARTS]).cast("binary"), 256)
     return merged.select("file", "offset", "length", F.when(F.col("n") == 1, F.col("leaf")).otherwise(joined).alias("leaf"))
 
 

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweft.llm.stage import unused
 from logweft.llm.words import slices
 
 #: Units of each direction, bytes of a segment (states start anew there), segments worked on at once.
@@ -29,8 +30,8 @@ SEGMENTS, MOST_SEGMENTS = 2, 64
 #: Leading hexadecimal digits of the md5 key by which documents of a language are counted.
 DIGITS = 3
 EPOCHS, RATE, BATCH = 10, 0.02, 256
-#: Documents with a lower score are rejected by ``accepted``.
-LEAST_SCORE = 0.3
+#: Documents are rejected by ``accepted`` below this part of the way from an even guess to certainty.
+LEAST_SHARE = 0.3
 UNKNOWN = "und"
 
 
@@ -269,7 +270,7 @@ def predict(docs: DataFrame, network: Network | None, lang: str = "lang_pred", s
 
     A null text and one without a letter is ``und`` with score 0, as is every text if there was
     nothing to learn from. Else ``score`` is the mean probability of the predicted language over
-    all bytes. Only the text is an input; equal texts get equal results.
+    all bytes; NUL bytes count as padding. Only the text is an input; equal texts get equal results.
     """
     plain = network and (network.languages, network.inputs, network.states, network.out, network.bias)
     shared = docs.sparkSession.sparkContext.broadcast(plain)
@@ -304,9 +305,21 @@ def _nullable(rows: DataFrame):
 
 
 def accepted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` whose text is in a language that was learned, with a score of ``LEAST_SCORE`` or more."""
-    found = predict(docs, train(docs, sample), "__lang", "__score")
-    return found.where((F.col("__lang") != UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).drop("__lang", "__score")
+    """The rows of ``docs`` whose text is in a language that was learned, with a score of ``least_score`` or more.
+
+    Texts without letters go, and texts that the network takes for a mixture. With one language none is told apart.
+    """
+    network = train(docs, sample)
+    lang, score = unused(docs, "__lang"), unused(docs, "__score")
+    found = predict(docs, network, lang, score)
+    least = least_score(len(network.languages) if network else 1)
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).drop(lang, score)
+
+
+def least_score(languages: int) -> float:
+    """The score below which ``accepted`` rejects: ``LEAST_SHARE`` of the way from an even guess to certainty."""
+    even = 1 / max(languages, 1)
+    return even + LEAST_SHARE * (1 - even) if languages > 1 else 0.0
 
 
 def report(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logweft.llm.stage import written
+from logweft.llm.stage import unused, written
 
 Knots = Sequence[tuple[float, float]]
 
@@ -142,9 +142,9 @@ def curriculum(docs: DataFrame) -> DataFrame:
     return rows.orderBy(F.col("position").asc_nulls_last(), "doc_id", "size")
 
 
-def _row_key() -> Column:
+def _row_key(digest: str) -> Column:
     parts = [F.col(c).isNull().cast("string") for c in ("doc_id", "source")]
-    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "source", "__digest")]
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "source", digest)]
     return F.md5(F.concat_ws("|", *parts, *texts).cast("binary"))
 
 
@@ -157,12 +157,13 @@ def mixed(docs: DataFrame) -> DataFrame:
     added = ["taken", "position", "again"]
     rows = docs.drop(*added)
     digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
-    order = F.xxhash64(*[F.col(c) for c, kind in rows.dtypes if "map" not in kind])
-    rows = rows.withColumn("__order", order).withColumn("__digest", digest).withColumn("__key", _row_key())
-    number = Window.partitionBy("__key")
-    places = mix(docs).withColumnRenamed("digest", "__digest").withColumn("__key", _row_key())
-    places = places.withColumn("__n", F.row_number().over(number.orderBy(F.col("position").asc_nulls_last(), "taken")))
-    places = places.where("taken > 0").select("__key", "__n", *added)
-    rows = rows.withColumn("__n", F.row_number().over(number.orderBy("__order")))
-    kept = rows.join(places, ["__key", "__n"])
+    order = F.xxhash64(*[F.col(f"`{c}`") for c, kind in rows.dtypes if "map" not in kind])
+    first, text, key, n = (unused(docs, name) for name in ("__order", "__digest", "__key", "__n"))
+    rows = rows.withColumn(first, order).withColumn(text, digest).withColumn(key, _row_key(text))
+    number = Window.partitionBy(key)
+    places = mix(docs).withColumnRenamed("digest", text).withColumn(key, _row_key(text))
+    places = places.withColumn(n, F.row_number().over(number.orderBy(F.col("position").asc_nulls_last(), "taken")))
+    places = places.where("taken > 0").select(key, n, *added)
+    rows = rows.withColumn(n, F.row_number().over(number.orderBy(first)))
+    kept = rows.join(places, [key, n])
     return kept.select(*[c for c in docs.columns if c not in added], *added).orderBy("position", "doc_id")

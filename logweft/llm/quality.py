@@ -175,7 +175,8 @@ def score(docs: DataFrame, model: Machine | None, threshold: float = THRESHOLD)
     """doc_id, held_out, score and predicted for every document.
 
     A null text is scored as an empty one, by the statistics alone. Without a model every score
-    is 0.5. Only the text is an input of the score; further columns are dropped.
+    is 0.5. Only the text is an input of the score; further columns are dropped. Rows that repeat and
+    equal ids are scored each for itself, equal texts alike; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model and (model.bias, model.weight, model.factors))
     rows = docs.select("doc_id", held_out().alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

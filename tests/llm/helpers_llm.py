@@ -4,7 +4,8 @@ import random
 
 #: Names that operators use inside; documents may have columns of the same names.
 CLASHES = ["key", "number", "id", "hash", "bands", "root", "size", "target", "bucket", "ghost", "own", "place", "found",
-           "ranges", "score", "lang_pred", "taken", "position", "again", "digest", "held_out", "copies", "label"]
+           "ranges", "score", "lang_pred", "taken", "position", "again", "digest", "held_out", "copies", "label",
+           "__key", "__id", "__text", "__n", "__ranges", "__found", "__lang", "__score"]
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
 

@@ -58,8 +58,10 @@ def test_pipeline(spark, tmp_path):
 
     # Language: what is left was predicted to be a known language.
     whole = spark.read.parquet(f"{SF_DIR}/documents.parquet")
-    found = language.predict(whole, language.train(whole)).collect()
-    accepted = {r.doc_id for r in found if r.lang_pred != "und" and r.score >= language.LEAST_SCORE}
+    network = language.train(whole)
+    found = language.predict(whole, network).collect()
+    least = language.least_score(len(network.languages))
+    accepted = {r.doc_id for r in found if r.lang_pred != "und" and r.score >= least}
     assert {r.doc_id for r in spoken} == accepted and len(accepted) >= 0.97 * len(start)
     # Near copies: one of each class, the least id.
     rows = spark.createDataFrame([(r.doc_id, r.text) for r in spoken], "doc_id long, text string")

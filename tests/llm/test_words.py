@@ -3,7 +3,9 @@ import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from logweft.llm import skew
 from logweft.llm import words as W
 
 texts = st.lists(st.one_of(st.none(), st.text(alphabet="ab \t\nÉ中.9", max_size=20)), min_size=1, max_size=6)
@@ -47,3 +49,14 @@ def test_fewer_words_than_a_shingle(many, size):
     assert len(got) == many
     # The last runs are those of the words with zeros behind them.
     assert got.tolist() == W.shingles(np.append(words, np.zeros(size, np.uint64)), size)[:many].tolist()
+
+
+@pytest.mark.parametrize("large", [1, 10, 4096])
+def test_common_keys_are_joined_apart(spark, monkeypatch, large):
+    """Rows of common and other keys, at any limit; keys without a counted row go."""
+    monkeypatch.setattr(skew, "LARGE", large)
+    rows = spark.range(2000).selectExpr("IF(id % 3 = 0, 7, id % 50) AS k", "id")
+    table = rows.groupBy("k").count().where("k <> 9").withColumnRenamed("count", "n").withColumn("more", F.col("k") * 2)
+    got = skew.join_counted(rows, table, "k", "n", 2000).select("k", "id", "n", "more").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, rows.join(table, "k").select("k", "id", "n", "more").collect()))
+    assert len(got) == 2000 - rows.where("k = 9").count()
