@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from logweft.llm import decontaminate, language, mixing, neardup, substrings
-from logweft.llm.stage import shared_folder
+from logweft.llm.stage import release, written
 from logweft.llm.tables import table
 
 
@@ -49,11 +47,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        path = f"{folder}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    """The stages applied to ``documents``, each written to the shared folder and read again.
+
+    A stage's table goes when the next one is written, the last one's when the application ends.
+    """
+    docs, before = table(spark, sf_dir, "documents"), []
+    for _, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir))
+        release(*before)
+        before = [docs]
     return docs
