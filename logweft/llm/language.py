@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweft.llm.stage import unused
@@ -32,6 +32,8 @@ DIGITS = 3
 EPOCHS, RATE, BATCH = 10, 0.02, 256
 #: Documents are rejected by ``accepted`` below this part of the way from an even guess to certainty.
 LEAST_SHARE = 0.3
+#: Bytes of a text from which on its score counts in full.
+ENOUGH = 256
 UNKNOWN = "und"
 
 
@@ -307,19 +309,25 @@ def _nullable(rows: DataFrame):
 def accepted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` whose text is in a language that was learned, with a score of ``least_score`` or more.
 
-    Texts without letters go, and texts that the network takes for a mixture. With one language none is told apart.
+    Texts without letters go, and texts that the network takes for a mixture of languages.
     """
     network = train(docs, sample)
     lang, score = unused(docs, "__lang"), unused(docs, "__score")
     found = predict(docs, network, lang, score)
-    least = least_score(len(network.languages) if network else 1)
+    least = least_score(len(network.languages) if network else 1, F.octet_length(F.col("text").cast("string")))
     return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).drop(lang, score)
 
 
-def least_score(languages: int) -> float:
-    """The score below which ``accepted`` rejects: ``LEAST_SHARE`` of the way from an even guess to certainty."""
-    even = 1 / max(languages, 1)
-    return even + LEAST_SHARE * (1 - even) if languages > 1 else 0.0
+def least_score(languages: int, length):
+    """The score below which ``accepted`` rejects a text of so many bytes, a number or a column.
+
+    ``LEAST_SHARE`` of the way from an even guess to certainty, less for texts of fewer than ``ENOUGH`` bytes, whose
+    scores say little: in proportion. With one language none is told apart.
+    """
+    if languages < 2:
+        return length * 0.0
+    part = F.least(F.lit(1.0), length / ENOUGH) if isinstance(length, Column) else min(1.0, length / ENOUGH)
+    return 1 / languages + part * LEAST_SHARE * (1 - 1 / languages)
 
 
 def report(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -170,3 +170,16 @@ def test_accepted_rows_keep_their_columns(messy):
     assert kept.columns == messy.columns
     rows = [r for r in messy.collect() if any(c.isalpha() for c in r.text or "")]
     assert 0 < kept.count() <= len(rows)
+
+
+def test_lettered_junk_goes_and_short_texts_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    draw = np.random.default_rng(6)
+    letters = list("bcdfghjklmnpqrstvwxzQXZ0123456789")
+    junk = [(10_000_000 + i, "".join(draw.choice(letters, 500)), None, "x", 500) for i in range(60)]
+    short = [(20_000_000 + i, t, None, "x", 9) for i, t in enumerate(["The.", "De la.", "Und der.", "Los con.", "Avec."])]
+    kept = L.accepted(docs.unionByName(spark.createDataFrame(junk + short, docs.schema))).select("doc_id").collect()
+    kept = {r.doc_id for r in kept}
+    assert sum(r[0] in kept for r in junk) <= 30 and all(r[0] in kept for r in short)
+    assert L.least_score(4, 0) == 0.25 < L.least_score(4, 100) < L.least_score(4, 256) == L.least_score(4, 9999) < L.least_score(2, 9999)
+    assert L.least_score(1, 50) == 0
