@@ -604,3 +604,5 @@ ORACLE["run_analysis"] = recursive(
         RUN_MANIFEST,
     )
 )
+
+ORACLE["merge_saved_groups"] = ORACLE["merge_groups"]

@@ -16,6 +16,7 @@ from logweft.operators import filters, layouts, reports, summaries
 from logweft.operators import groups as G
 from logweft.operators.filters import Selection
 from logweft.plans import analysis as A
+from logweft.plans.store import Results, SavedAnalyses
 from logweft.sources import configs, logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,8 +59,8 @@ def _headers(spark, sf_dir) -> DataFrame:
     return E.header_entries(_scan(spark, sf_dir), DEFAULT)
 
 
-def _groups(spark, sf_dir, selection=Selection()) -> DataFrame:
-    return G.dedup_groups(G.with_group_id(_entries(spark, sf_dir, selection)))
+def _groups(spark, sf_dir) -> DataFrame:
+    return G.dedup_groups(_identified(spark, sf_dir))
 
 
 def _counts(spark, sf_dir) -> DataFrame:
@@ -317,6 +318,20 @@ def merge_groups(spark, sf_dir):
     return groups.join(lines, "gid").select(*G.GROUP_FIELDS, "first_batch", "n_chunks", "n_lines", "line_sum")
 
 
+@query
+def merge_saved_groups(spark, sf_dir):
+    """The first half of January saved by another session, and merged with the rest."""
+    middle = F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")
+    identified, shared = _identified(spark, sf_dir), staging(spark)
+    halves = [identified.where(part) for part in (F.col("entry_time") < middle, F.col("entry_time") >= middle)]
+    first, rest = (Results(G.dedup_groups(half), G.line_chunks(half), G.level_counts(half)) for half in halves)
+    SavedAnalyses(spark, f"{shared.folder}/saved").append(first)
+    merged = SavedAnalyses(spark.newSession(), f"{shared.folder}/saved").merge(shared, rest)
+    lines = merged.chunks.groupBy("gid").agg(F.count("*").alias("n_chunks"), F.sum("n").alias("n_lines"),
+                                             F.sum(F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("line_sum"))
+    return merged.groups.join(lines, "gid").select(*G.GROUP_FIELDS, "first_batch", "n_chunks", "n_lines", "line_sum")
+
+
 @query
 def totals(spark, sf_dir):
     return G.totals(_counts(spark, sf_dir), _groups(spark, sf_dir))

@@ -16,6 +16,7 @@ from logweft.plans.analysis import (
     merge,
     run,
 )
+from logweft.plans.store import Results, SavedAnalyses, merge_results
 from logweft.staging import Staging
 
 # Python workers receive the few functions they run; the package need not be installed there.
@@ -26,8 +27,10 @@ __all__ = [
     "AnalysisOptions",
     "DEFAULT_LAYOUT",
     "Layout",
+    "Results",
     "RunOptions",
     "RunResult",
+    "SavedAnalyses",
     "Staging",
     "UnsupportedLayoutError",
     "analyze",
@@ -35,5 +38,6 @@ __all__ = [
     "detect_layout",
     "iter_entries",
     "merge",
+    "merge_results",
     "run",
 ]

@@ -8,7 +8,7 @@ of a file (a chunk), so no value grows with the group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logweft.functions.levels import level_rank
@@ -30,6 +30,8 @@ GROUP_FIELDS = [
 CHUNK = ["batch", "chunk_file", "chunk_no"]
 # A share of all entries that few groups can hold: at most so many do.
 LARGE_GROUPS = 1_000
+# Bits of an encounter number that hold the line; the others hold the rank of the log's name.
+LINE_BITS = 40
 
 
 def group_id() -> Column:
@@ -64,29 +66,49 @@ def level_summary(counts: DataFrame) -> DataFrame:
     return counts.where("n > 0").select("level", "n").orderBy("level")
 
 
+def with_encounter(identified: DataFrame) -> DataFrame:
+    """Entries with ``encounter``: one number that orders them by log name and line.
+
+    So first and last encounters are plain minima and maxima, which hash. The logs' names are
+    ranked in a table of their own, a row for each log.
+    """
+    names = identified.groupBy("filename").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.orderBy("filename")).cast("bigint")
+    names = names.select("filename", rank.alias("log_no"))
+    line = F.when(F.col("line_num") < 1 << LINE_BITS, F.col("line_num")).otherwise(
+        F.raise_error(F.lit("a log has too many lines to number its entries")).cast("bigint")
+    )
+    numbered = F.shiftleft("log_no", LINE_BITS).bitwiseOR(line)
+    return identified.join(names, "filename").withColumn("encounter", numbered).drop("log_no")
+
+
 def dedup_groups(identified: DataFrame) -> DataFrame:
-    """One row per group: count, first and last encounter."""
-    place = ["filename", "line_num"]
-    first = F.min(F.struct(*place, "timestamp", "thread", *GROUP_KEY)).alias("first")
-    last = F.max(F.struct(*place, "timestamp")).alias("last")
-    return (
-        identified.groupBy("gid")
-        .agg(F.count("*").alias("count"), first, last)
-        .select(
-            "gid",
-            "count",
-            "first.timestamp",
-            F.col("last.timestamp").alias("last_timestamp"),
-            "first.level",
-            "first.thread",
-            "first.logger",
-            "first.filename",
-            "first.message",
-            "first.message_body",
-            "first.stacktrace",
-            F.col("first.line_num").alias("first_line"),
-            F.lit(0).alias("first_batch"),
-        )
+    """One row per group: count, first and last encounter.
+
+    Counted and found on numbers alone; the texts come from the one entry that a group was met
+    first in. ``identified`` is read three times and should be staged.
+    """
+    numbered = with_encounter(identified)
+    met = numbered.groupBy("gid").agg(
+        F.count("*").alias("count"), F.min("encounter").alias("encounter"), F.max("encounter").alias("last")
+    )
+    first = numbered.drop("gid").join(met, "encounter")
+    last = numbered.select(F.col("encounter").alias("last"), F.col("timestamp").alias("last_timestamp"))
+    last = last.join(met.where("count > 1").select("last"), "last")
+    return first.join(last, "last", "left").select(
+        "gid",
+        "count",
+        "timestamp",
+        F.coalesce("last_timestamp", "timestamp").alias("last_timestamp"),
+        "level",
+        "thread",
+        "logger",
+        "filename",
+        "message",
+        "message_body",
+        "stacktrace",
+        F.col("line_num").alias("first_line"),
+        F.lit(0).alias("first_batch"),
     )
 
 
@@ -103,26 +125,41 @@ def line_chunks(identified: DataFrame, batch: int = 0) -> DataFrame:
     )
 
 
-def merge_groups(*batches: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Merge (groups, line chunks) of successive runs, earlier ones first."""
-    union, lines = None, None
+def merge_groups(*batches: tuple[DataFrame, DataFrame], sizes: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Merge (groups, line chunks) of successive runs, earlier ones first.
+
+    A batch that was merged before counts as the ``sizes`` batches it was merged from, one unless said.
+    """
+    union, lines, before = None, None, 0
     for number, (groups, chunks) in enumerate(batches):
-        numbered = groups.withColumn("first_batch", F.lit(number))
-        chunks = chunks.withColumn("batch", F.lit(number))
+        numbered = groups.withColumn("first_batch", F.col("first_batch") + before)
+        chunks = chunks.withColumn("batch", F.col("batch") + before)
         union = numbered if union is None else union.unionByName(numbered)
         lines = chunks if lines is None else lines.unionByName(chunks)
+        before += sizes[number] if sizes else 1
     columns = batches[0][0].columns
-    kept = [c for c in columns if c not in ("gid", "count", "last_timestamp", "first_batch")]
-    merged = (
-        union.groupBy("gid")
-        .agg(
-            F.sum("count").alias("count"),
-            F.min(F.struct("first_batch", *kept)).alias("first"),
-            F.max(F.struct("first_batch", "last_timestamp")).alias("last"),
-        )
-        .select("gid", "count", "last.last_timestamp", "first.first_batch", *[f"first.{name}" for name in kept])
+    met = union.groupBy("gid").agg(
+        F.sum("count").alias("count"), F.min("first_batch").alias("first_batch"), F.max("first_batch").alias("last_batch")
     )
-    return merged.select(*columns), lines
+    # A group is in a batch once, so these are its first and its last row.
+    first = union.drop("count").join(met, ["gid", "first_batch"])
+    last = union.select("gid", F.col("first_batch").alias("last_batch"), F.col("last_timestamp").alias("latest"))
+    last = last.join(met.where("last_batch > first_batch").select("gid", "last_batch"), ["gid", "last_batch"])
+    merged = first.join(last.select("gid", "latest"), "gid", "left")
+    return merged.withColumn("last_timestamp", F.coalesce("latest", "last_timestamp")).select(*columns), lines
+
+
+def merge_counts(*batches: DataFrame, sizes: list[int] | None = None) -> DataFrame:
+    """The level counts of successive runs as those of one; levels in the order they were met, earlier runs first."""
+    union, before = None, 0
+    for number, counts in enumerate(batches):
+        fields = [field.name for field in counts.schema["first_seen"].dataType.fields]
+        batch = (F.col("first_seen.batch") if "batch" in fields else F.lit(0)) + before
+        place = [F.col(f"first_seen.{name}") for name in fields if name != "batch"]
+        numbered = counts.select("level", "n", F.struct(batch.alias("batch"), *place).alias("first_seen"))
+        union = numbered if union is None else union.unionByName(numbered)
+        before += sizes[number] if sizes else 1
+    return union.groupBy("level").agg(F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"))
 
 
 def first_chunk() -> Column:
