@@ -5,10 +5,11 @@ It is computed without a sequential pass over the rows. Rows are cut into chunks
 of bounded length. For one chunk, how full the current part is on entry decides
 where the first cut falls, and from there on the chunk alone decides the rest:
 a chunk is a step function from the state on entry to the state on exit. The
-functions are computed in parallel and composed in a tree, ``FAN_IN`` neighbours
-at a time. A composed function has no more steps than rows fit in one part, since
-the first cut comes before more. From the root the entry states go down again, and
-the rows of each chunk are packed in parallel from theirs.
+functions are computed in parallel, written once, and composed in a tree, as many
+neighbours at a time as their measured steps allow. A composed function has no more
+steps than rows fit in one part, since the first cut comes before more. From the root
+the entry states go down again, and the rows of each chunk are packed in parallel from
+theirs. The tree is one plan, whatever its height: a level is a shuffle of small tables.
 
 State: ``used`` bytes (header and rows so far) and ``rows`` in the current part.
 """
@@ -24,7 +25,8 @@ from logweft.operators.numbering import running_before
 from logweft.staging import Staging
 
 CHUNK_ROWS = 1 << 21
-FAN_IN = 32
+#: Neighbours composed in one task, and their steps together.
+FAN_IN, TASK_STEPS = 256, 1 << 22
 _STEPS = ["skip_rows", "skip_bytes", "exit_used", "exit_rows", "cuts"]
 _STEP_SCHEMA = "unit string, node long, step int, opening long, " + ", ".join(f"{c} long" for c in _STEPS)
 _ENTRY_SCHEMA = "unit string, node long, used long, rows long, part_no long"
@@ -170,14 +172,14 @@ def _tables(steps: pd.DataFrame) -> list[tuple[int, pd.DataFrame]]:
     return [(int(node), table[_STEPS]) for node, table in ordered.groupby("node", sort=True)]
 
 
-def _joined(steps: pd.DataFrame, limit: int, numbered: bool) -> pd.DataFrame:
-    """The step functions of up to ``FAN_IN`` neighbours as one."""
+def _joined(steps: pd.DataFrame, limit: int, numbered: bool, fan_in: int) -> pd.DataFrame:
+    """The step functions of up to ``fan_in`` neighbours as one."""
     opening = int(steps["opening"].iloc[0])
     (first, table), *more = _tables(steps)
     for _, following in more:
         table = _composed(table, following, opening, limit, numbered)
     return table.assign(
-        unit=steps["unit"].iloc[0], node=first // FAN_IN, step=np.arange(len(table)), opening=opening
+        unit=steps["unit"].iloc[0], node=first // fan_in, step=np.arange(len(table)), opening=opening
     )
 
 
@@ -249,22 +251,25 @@ def pack_parts(
             {"unit": rows["unit"], "pos": rows["pos"], "part_no": part_no, "idx": idx}
         )
 
-    parent = F.floor(F.col("node") / FAN_IN).alias("parent")
-    levels = [staging.write(ranked.groupBy("unit", "node").applyInPandas(steps_of, _STEP_SCHEMA), "steps")]
-    last = ranked.agg(F.max("node")).first()[0]
-    while last >= FAN_IN:
-        last //= FAN_IN
-        joined = levels[-1].groupBy("unit", parent).applyInPandas(
-            lambda steps: _joined(steps, limit, numbered), _STEP_SCHEMA
-        )
-        levels.append(staging.write(joined, "steps"))
+    steps = staging.write(ranked.groupBy("unit", "node").applyInPandas(steps_of, _STEP_SCHEMA), "steps")
+    last, n_steps = steps.agg(F.max("node"), F.count("*")).first()
+    fan_in = max(2, min(FAN_IN, TASK_STEPS * (last + 1) // n_steps))
+    parent = F.floor(F.col("node") / fan_in).alias("parent")
+    levels = [steps]
+    while last >= fan_in:
+        last //= fan_in
+        levels.append(
+            levels[-1].groupBy("unit", parent).applyInPandas(
+                lambda steps: _joined(steps, limit, numbered, fan_in), _STEP_SCHEMA
+            )
+        )
     roots = ranked.groupBy("unit").agg(F.min("opening").alias("used"))
     entries = roots.select("unit", F.lit(0).cast("bigint").alias("parent"), "used", F.lit(0).cast("bigint").alias("rows"),
                            F.lit(0).cast("bigint").alias("part_no"))
     for steps in reversed(levels):
         known = steps.withColumn("parent", parent).join(entries, ["unit", "parent"])
         entries = known.groupBy("unit", "parent").applyInPandas(lambda rows: _walked(rows, limit, numbered), _ENTRY_SCHEMA)
-        entries = staging.write(entries, "entries").withColumnRenamed("node", "parent")
+        entries = entries.withColumnRenamed("node", "parent")
     entries = entries.withColumnRenamed("parent", "node")
     return (
         ranked.join(entries, ["unit", "node"])

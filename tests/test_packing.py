@@ -29,8 +29,8 @@ def by_loop(sizes, opening, limit, separator, numbered):
     return placed
 
 
-def by_chunks(sizes, opening, limit, separator, numbered, chunk):
-    """Composed in a tree of ``packing.FAN_IN`` neighbours, and down again."""
+def by_chunks(sizes, opening, limit, separator, numbered, chunk, fan):
+    """Composed in a tree of ``fan`` neighbours, and down again."""
     opening -= separator
     packers = [
         _Packer(np.array(sizes[i : i + chunk], dtype=np.int64) + separator, opening, limit, numbered)
@@ -40,11 +40,10 @@ def by_chunks(sizes, opening, limit, separator, numbered, chunk):
     def table(steps, node):
         return steps.assign(unit="", node=node, step=np.arange(len(steps)), opening=opening)
 
-    fan = packing.FAN_IN
     levels = [[table(p.steps(), i) for i, p in enumerate(packers)]]
     while len(levels[-1]) > 1:
         last = levels[-1]
-        levels.append([_joined(pd.concat(last[i : i + fan]), limit, numbered) for i in range(0, len(last), fan)])
+        levels.append([_joined(pd.concat(last[i : i + fan]), limit, numbered, fan) for i in range(0, len(last), fan)])
     states = {0: (opening, 0, 0)}
     for level in reversed(levels):
         below = {}
@@ -69,7 +68,7 @@ def test_a_composed_function_is_no_longer_than_a_part():
     ]
     tables = [t.assign(step=np.arange(len(t))) for t in tables]
     while len(tables) > 1:
-        tables = [_joined(pd.concat(tables[i : i + packing.FAN_IN]), 1000, False) for i in range(0, len(tables), packing.FAN_IN)]
+        tables = [_joined(pd.concat(tables[i : i + 8]), 1000, False, 8) for i in range(0, len(tables), 8)]
         assert max(map(len, tables)) <= 102
 
 
@@ -93,12 +92,8 @@ def test_many_small_parts_are_quick():
     fan=st.integers(2, 5),
 )
 def test_like_a_plain_loop(sizes, opening, limit, separator, numbered, chunk, fan):
-    packing.FAN_IN = fan
     expected = by_loop(sizes, opening, limit, separator, numbered)
-    try:
-        assert by_chunks(sizes, opening, limit, separator, numbered, chunk) == expected
-    finally:
-        packing.FAN_IN = 32
+    assert by_chunks(sizes, opening, limit, separator, numbered, chunk, fan) == expected
 
 
 @pytest.mark.parametrize("separator, numbered", [(0, False), (2, False), (0, True)])
@@ -118,3 +113,17 @@ def test_on_spark(spark, staging, separator, numbered, monkeypatch):
         sizes = [size for u, _, size, _ in rows if u == unit]
         expected = by_loop(sizes, opening, 1000, separator, numbered)
         assert [got[unit, i] for i in range(n)] == expected
+
+
+@pytest.mark.parametrize("steps", [1, 40, packing.TASK_STEPS])
+def test_two_staged_tables_for_any_number_of_chunks(spark, staging, steps, monkeypatch):
+    """Chunks of sixteen rows and one of all rows give the same parts; the tree is never staged."""
+    monkeypatch.setattr(packing, "TASK_STEPS", steps)
+    written, write = [], staging.write
+    monkeypatch.setattr(staging, "write", lambda df, name: written.append(name) or write(df, name))
+    df = spark.range(3000).select(
+        F.lit("u").alias("unit"), F.col("id").alias("pos"), (F.pmod(F.xxhash64("id"), F.lit(90)) + 1).alias("size"), F.lit(20).cast("long").alias("opening")
+    )
+    small, whole = (pack_parts(staging, df, 700, 2, True, chunk_rows=n) for n in (16, 1 << 21))
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, whole.collect()))
+    assert written == ["ranked", "steps"] * 2
