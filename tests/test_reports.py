@@ -268,3 +268,28 @@ def test_split_by_level_and_size(spark, staging, tmp_path, fmt):
 def test_one_level_is_not_split(spark, staging, tmp_path):
     _, files = write(spark, staging, tmp_path, many(3), split_by_level=True, suffix=".txt")
     assert files == ["report.txt"]
+
+
+def test_many_parts_replace_old_ones_and_nothing_else_is_left(spark, tmp_path):
+    """One part for each of two thousand files; those that are not written again stay."""
+    (tmp_path / "file=0.txt").mkdir()
+    (tmp_path / "file=0.txt" / "part-00009").write_text("old")
+    (tmp_path / "file=kept.txt").mkdir()
+    (tmp_path / "file=kept.txt" / "part-00000").write_text("kept")
+    rows = spark.range(2000).selectExpr("concat(id, '.txt') AS file", "1 AS section", "id AS pos", "0 AS piece", "repeat(string(id), 3) AS text")
+    write_pieces(rows.repartition(8), str(tmp_path), True)
+    names = sorted(p.name for p in tmp_path.iterdir())
+    assert len(names) == 2001 and not [n for n in names if n.startswith("_")]
+    for name in ("0", "17", "1999", "kept"):
+        parts = list((tmp_path / f"file={name}.txt").glob("part-*"))
+        assert [p.read_text() for p in parts] == [name if name == "kept" else name * 3]
+
+
+def test_a_task_that_dies_leaves_the_old_report(spark, tmp_path):
+    (tmp_path / "file=a.txt").mkdir()
+    (tmp_path / "file=a.txt" / "part-00000").write_text("old")
+    rows = spark.range(0, 4000, 1, 4).selectExpr("'a.txt' AS file", "1 AS section", "id AS pos", "0 AS piece", "IF(id = 3900, raise_error('killed'), 'x') AS text")
+    with pytest.raises(Exception, match="killed"):
+        write_pieces(rows, str(tmp_path), False)
+    assert [p.name for p in tmp_path.iterdir()] == ["file=a.txt"]
+    assert (tmp_path / "file=a.txt" / "part-00000").read_text() == "old"
