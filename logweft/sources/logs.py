@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from logweft.functions.text import is_blank, lenient_utf8
+from logweft.sources.hidden import read_hidden
 
 LINES_PER_BLOCK = 65_536
 
@@ -29,12 +30,9 @@ def scan_log_dir(spark: SparkSession, directory: str) -> DataFrame:
     A sub-directory whose name ends in ``.log`` is one log written by Spark in
     several part files; ``filename=app.log`` counts as ``app.log``. ``path`` and
     ``start`` name the block a line was read from, ``pos`` orders the lines of a
-    block. Spark reads no files whose names start with ``.`` or ``_``, so such a log is
-    an error that names it.
+    block. Spark reads no files whose names start with ``.`` or ``_``; such logs come from a
+    reader of their own.
     """
-    hidden = hidden_logs(spark, directory)
-    if hidden:
-        raise ValueError(f"rename these logs, Spark does not read them: {', '.join(hidden)}")
     try:
         text = spark.read.text(f"{_no_glob(directory.rstrip('/'))}/*.log")
     except AnalysisException as error:
@@ -42,15 +40,21 @@ def scan_log_dir(spark: SparkSession, directory: str) -> DataFrame:
             raise
         # No such log: an empty result, or an error when the directory is missing.
         text = spark.read.option("pathGlobFilter", "*.log").text(directory)
-    return _scanned(text)
+    hidden = hidden_logs(spark, directory)
+    return _scanned(text).unionByName(_scanned_hidden(spark, hidden)) if hidden else _scanned(text)
 
 
-def hidden_logs(spark: SparkSession, directory: str) -> list[str]:
-    """Names of logs in a directory that Spark's readers leave out, twenty at most."""
+def hidden_logs(spark: SparkSession, directory: str) -> list[tuple[str, int]]:
+    """The logs in a directory that Spark's readers leave out: uri and bytes. Folders they do read."""
     context = spark.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(f"{_no_glob(directory.rstrip('/'))}/[._]*.log")
     found = path.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(path) or []
-    return sorted(status.getPath().getName() for status in found)[:20]
+    return sorted((s.getPath().toUri().toString(), s.getLen()) for s in found if s.isFile())
+
+
+def _scanned_hidden(spark: SparkSession, files: list[tuple[str, int]]) -> DataFrame:
+    value = lenient_utf8(F.col("value").cast("string")).alias("value")
+    return read_hidden(spark, files).select("path", "start", "pos", value)
 
 
 def _no_glob(path: str) -> str:
@@ -108,6 +112,9 @@ def sample_log_dir(spark: SparkSession, directory: str, limit: int = 50) -> Data
     log = F.when(whole, path).otherwise(F.regexp_replace(path, "/[^/]*$", ""))
     files = files.select(log_name(path).alias("filename"), log.alias("log"), path.alias("path"))
     logs = files.groupBy("filename", "log").agg(F.min("path").alias("head")).orderBy("filename", "log")
+    hidden = hidden_logs(spark, directory)
+    if hidden:
+        return _sample_with_hidden(spark, logs, hidden, limit)
     taken = 1
     while True:
         some = logs.limit(taken + 1).collect()
@@ -120,6 +127,24 @@ def sample_log_dir(spark: SparkSession, directory: str, limit: int = 50) -> Data
         taken *= 2
 
 
+def _sample_with_hidden(spark: SparkSession, logs: DataFrame, hidden: list[tuple[str, int]], limit: int) -> DataFrame:
+    """The first lines over visible and hidden logs: as many logs as are needed, in name order."""
+    ours = spark.createDataFrame([(uri,) for uri, _ in hidden], "path string")
+    ours = {r["path"]: r["filename"] for r in ours.select("path", log_name(F.col("path")).alias("filename")).collect()}
+    taken = 1
+    while True:
+        some = logs.limit(taken).collect()
+        names = sorted({*ours.values(), *[r["filename"] for r in some]})[:taken]
+        rows = _scanned_hidden(spark, [f for f in hidden if ours[f[0]] in names])
+        if some:
+            rows = rows.unionByName(_scanned(spark.read.text([_no_glob(unquote(r["log"])) for r in some])))
+        rows = rows.withColumn("filename", log_name(F.col("path"))).where(F.col("filename").isin(names))
+        rows = sample_lines(rows, limit).select("filename", "value").collect()
+        if len(rows) == limit or taken > len(ours) + len(some):
+            return spark.createDataFrame(rows, "filename string, value string")
+        taken *= 2
+
+
 def _head(spark: SparkSession, file: str, limit: int) -> list[Row]:
     """The first non-blank lines of the first block of a file: only one task has such rows, in order."""
     scanned = _scanned(spark.read.text(_no_glob(file))).where((F.col("start") == 0) & ~is_blank(F.col("value")))

@@ -1,11 +1,17 @@
+import io
 import os
+import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from logweft import AnalysisOptions, RunOptions, Staging, analyze, detect_layout, run
+from logweft import AnalysisOptions, RunOptions, Staging, analyze, detect_layout, iter_entries, run
 from logweft.operators import layouts
 from logweft.sources import configs, logs
-from logweft.sources.logs import sample_log_dir, scan_log_dir
+from logweft.sources.hidden import lines_between
+from logweft.sources.logs import log_name, sample_log_dir, scan_log_dir
 from logweft.staging import shared_folder
 
 CONFIG = """<?xml version="1.0" encoding="UTF-8"?>
@@ -88,10 +94,49 @@ def test_a_broken_configuration_is_named_and_others_count(staging, logs):
             detect_layout(staging, folder, os.path.join(folder, name))
 
 
-def test_hidden_logs_are_an_error(spark, logs):
-    folder = logs({"a.log": "x\n", "_c.log": "y\n", ".d.log": "z\n"})
-    with pytest.raises(ValueError, match=r"\.d\.log, _c\.log"):
-        scan_log_dir(spark, folder)
+def test_hidden_logs_are_read(spark, staging, logs, tmp_path):
+    entry = "2024-05-01 10:00:0{}.000 [t] INFO a.B - m {}\nmore\n"
+    folder = logs({"a.log": "x\n", "_c.log": b"\xef\xbb\xbf" + "".join(entry.format(i, i) for i in range(5)).encode(), ".d e%.log": "z\r\ny\xff"[:-1].encode() + b"\xff\n", "_empty.log": ""})
+    part = tmp_path / "logs" / "_e.log"
+    part.mkdir()
+    (part / "part-0").write_text("p\n")
+    (part / "_SUCCESS").write_text("no\n")
+    found = scan_log_dir(spark, folder).select(log_name(F.col("path")).alias("filename"), "value").collect()
+    by_log = {}
+    for r in found:
+        by_log.setdefault(r.filename, []).append(r.value)
+    lines = [line for i in range(5) for line in entry.format(i, i).splitlines()]
+    assert {k: sorted(v) for k, v in by_log.items()} == {"a.log": ["x"], "_c.log": sorted(lines), ".d e%.log": ["y", "z"], "_e.log": ["p"]}
+    entries = iter_entries(staging, folder).orderBy("line_num").collect()
+    assert [(r.filename, r.line_num, r.message, r.message_body) for r in entries] == [("_c.log", 2 * i + 1, f"m {i}", "more") for i in range(5)]
+    rows = sample_log_dir(spark, folder, 4).collect()
+    assert [(r.filename, r.value) for r in rows] == [(".d e%.log", "z"), (".d e%.log", "y"), ("_c.log", lines[0]), ("_c.log", lines[1])]
+
+
+def test_large_hidden_logs_are_split(spark, staging, logs):
+    text = "".join(f"2024-05-01 10:00:00.000 [t] INFO a.B - {i}\n" + "more\n" * (i % 9) for i in range(900))
+    folder = logs({"_big.log": text})
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        scanned = scan_log_dir(spark, folder)
+        assert scanned.select("start").distinct().count() > 5
+        found = iter_entries(staging, folder).orderBy("line_num").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+    assert [(r.message, r.message_body.count("more")) for r in found] == [(str(i), i % 9) for i in range(900)]
+    numbers = [n for n, line in enumerate(text.split("\n"), 1) if "INFO" in line]
+    assert [r.line_num for r in found] == numbers
+
+
+@settings(max_examples=300, deadline=None)
+@given(data=st.lists(st.sampled_from([b"a", b"bc", b"\n", b"\r", b"\r\n", b"\xef\xbb\xbf"]), max_size=30), split=st.integers(1, 9), block=st.integers(1, 6))
+def test_ranges_of_a_file_have_its_lines(data, split, block):
+    whole = b"".join(data)
+    ranges = [(at, min(at + split, len(whole))) for at in range(0, len(whole), split)]
+    got = [line for start, end in ranges for line in lines_between(io.BytesIO(whole), start, end, block)]
+    expected = re.split(rb"\r\n|\n|\r", whole.removeprefix(b"\xef\xbb\xbf"))
+    assert got == (expected[:-1] if not expected[-1] else expected)
 
 
 def test_sample_of_several_logs(spark, logs):
