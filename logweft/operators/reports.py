@@ -153,10 +153,15 @@ def item_text(fmt: str, index: Column) -> tuple[Column, Column]:
 
 
 def numbers_size(chunks: DataFrame, fmt: str) -> DataFrame:
-    """Bytes of all line numbers of every group: ``gid, numbers``."""
-    between = len(NUMBER_SEPARATOR[fmt])
-    size = F.sum(F.octet_length(chunk_text(fmt)) + between) - between
-    return chunks.groupBy("gid").agg(size.cast("bigint").alias("numbers"))
+    """Bytes of all line numbers of every group: ``gid, numbers``.
+
+    The numbers of a chunk are sorted, so where the first has as many digits as the last all have.
+    """
+    between, many = len(NUMBER_SEPARATOR[fmt]), F.size("lines")
+    first, last = (F.length(F.element_at("lines", at).cast("string")) for at in (1, -1))
+    digits = F.when(first == last, many * first).otherwise(F.length(F.array_join(F.col("lines").cast("array<string>"), "")))
+    size = F.sum((digits + many * between).cast("bigint")) - between
+    return chunks.groupBy("gid").agg(size.alias("numbers"))
 
 
 def rendered_size(text: Column, fmt: str) -> Column:
