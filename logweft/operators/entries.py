@@ -5,11 +5,18 @@ are handled per block (a file split, or a bounded run of numbered lines). One
 small row per block says how many lines it has and where its first header is;
 from these rows come the line offsets and, for the lines before the first
 header of a block, the earlier block that owns them. The lines then move once,
-to the block that owns their entry, where the entry is put together.
+to the block that owns their entry, where the entry is put together. If a selection
+rejects headers, the rows also say whether the entry that is open at a block's start was
+selected, so every line is known to go or stay while its block is read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,15 +34,26 @@ TASK_BYTES = 512 << 20
 CHANGED = "the file blocks changed between two scans"
 
 
-def block_table(scanned: DataFrame, layout: Layout) -> DataFrame:
-    """One row per block: line offset, first header, owner of the lines before it."""
+def block_table(scanned: DataFrame, layout: Layout, selection: Selection | None = None) -> DataFrame:
+    """One row per block: line offset, first header, owner of the lines before it.
+
+    With a selection also ``carried``: whether it selects the entry that these lines belong to.
+    """
     block = block_columns(scanned)
-    header_pos = F.when(layout.matches(F.col("value")), F.col("pos"))
+    header_pos, last_open = F.when(layout.matches(F.col("value")), F.col("pos")), []
+    if selection:
+        parsed = F.col("parsed")
+        scanned = scanned.withColumn("parsed", F.explode(F.array(layout.parse(F.col("value")))))
+        header_pos = F.when(is_header(parsed), F.col("pos"))
+        # The last header's mark as one number: its place, and in the lowest bit the decision.
+        mark = header_pos * 2 + header_selected(layout, parsed, selection).cast("int")
+        last_open = [F.max(mark).alias("last_open")]
     found = scanned.groupBy(*block).agg(
         F.min("pos").alias("first_pos"),
         F.count("*").alias("n_lines"),
         F.sum(F.octet_length("value")).alias("n_bytes"),
         F.min(header_pos).alias("first_header"),
+        *last_open,
     )
     if "filename" not in block:
         found = found.withColumn("filename", log_name(F.col("path")))
@@ -43,6 +61,9 @@ def block_table(scanned: DataFrame, layout: Layout) -> DataFrame:
     in_file = Window.partitionBy("filename").orderBy(*order)
     earlier = in_file.rowsBetween(Window.unboundedPreceding, -1)
     with_header = F.when(F.col("first_header").isNotNull(), F.col("block"))
+    if selection:
+        carried = F.last("last_open", ignorenulls=True).over(earlier) % 2 == 1
+        found = found.withColumn("carried", F.coalesce(carried, F.lit(False))).drop("last_open")
     return (
         found.withColumn("block", F.row_number().over(in_file))
         .withColumn("line_offset", F.coalesce(F.sum("n_lines").over(earlier), F.lit(0)))
@@ -51,19 +72,20 @@ def block_table(scanned: DataFrame, layout: Layout) -> DataFrame:
 
 
 def staged_block_table(
-    staging: Staging, scanned: DataFrame, layout: Layout
+    staging: Staging, scanned: DataFrame, layout: Layout, selection: Selection = Selection()
 ) -> tuple[DataFrame, int | None]:
     """The block table written once, and how many tasks should assemble the lines.
 
-    It is broadcast to the lines if it is small. The session's number of shuffle
+    It is broadcast to the lines if it is small; only then do lines stay in read order, so that
+    what a selection rejects can be dropped while reading. The session's number of shuffle
     partitions is kept (``None``) unless a task would get too many bytes.
     """
-    blocks = staging.write(block_table(scanned, layout), "blocks")
+    blocks = staging.write(block_table(scanned, layout, selection if selection.by_header else None), "blocks")
     names = sum((F.octet_length(c) for c in block_columns(blocks) if c != "start"), F.lit(ROW_BYTES))
     held, n_bytes = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in (names, F.col("n_bytes"))]).first()
     tasks = -(-n_bytes // TASK_BYTES)
     usual = int(staging.spark.conf.get("spark.sql.shuffle.partitions"))
-    table = F.broadcast(blocks) if held <= BROADCAST_BYTES else blocks
+    table = F.broadcast(blocks) if held <= BROADCAST_BYTES else blocks.drop("carried")
     return table, (tasks if tasks > usual else None)
 
 
@@ -95,7 +117,8 @@ def assign_entries(
 
     Lines before the first header of a file go, and so do the lines of entries
     whose header the selection rejects. What can be told from the header is
-    decided here, before any text is moved for it.
+    decided here, before any text is moved for it. If ``blocks`` say what is carried into
+    them, lines of rejected entries are not moved at all.
     """
     value, parsed = F.col("value"), F.col("parsed")
     opened = F.when(
@@ -116,6 +139,7 @@ def assign_entries(
             line_number(scanned).alias("line_num"),
             value,
             layout.parse(value).alias("parsed"),
+            *[c for c in ("block", "carried") if "carried" in blocks.columns],
         )
         .where(F.col("owner").isNotNull())
         .withColumn("is_header", is_header(parsed))
@@ -123,8 +147,12 @@ def assign_entries(
         # A header moves as its fields, a rejected one as a mere mark.
         .withColumn("header", F.when(F.col("selected"), parsed))
         .withColumn("value", F.when(~F.col("is_header"), value))
-        .select("filename", "owner", "line_num", opened.alias("opened"), "header", "value")
     )
+    columns = [F.col(c) for c in ("filename", "owner", "line_num")] + [opened.alias("opened"), F.col("header"), F.col("value")]
+    if "carried" in blocks.columns:
+        lines = _selected_lines(lines.select(*columns, "block", "carried"))
+    else:
+        lines = lines.select(*columns)
     if tasks:
         lines = lines.repartition(tasks, "filename", "owner")
     return (
@@ -134,6 +162,35 @@ def assign_entries(
     )
 
 
+def _selected_lines(lines: DataFrame) -> DataFrame:
+    """The lines of selected entries, decided line by line in the order in which blocks are read."""
+    kept = lines.drop("block", "carried").schema
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, last = False, (None, None, 0)  # of the line before: whether it stays, its log, block and number
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            name, block, number = (batch.column(c) for c in ("filename", "block", "line_num"))
+            block, number = block.to_numpy(), number.to_numpy()
+            fresh = np.ones(len(block), bool)
+            fresh[0] = (name[0].as_py(), block[0]) != last[:2]
+            fresh[1:] = (block[1:] != block[:-1]) | pc.not_equal(name[1:], name[:-1]).to_numpy(zero_copy_only=False)
+            if (np.diff(number, prepend=last[2]) <= 0)[~fresh].any():
+                raise RuntimeError(CHANGED)
+            opened = batch.column("opened")
+            header = opened.is_valid().to_numpy(zero_copy_only=False)
+            said = pc.greater(opened.fill_null(0), 0).to_numpy(zero_copy_only=False)
+            said = np.where(fresh & ~header, batch.column("carried").to_numpy(zero_copy_only=False), said)
+            # Each line takes what the last line that says something said.
+            tells = np.maximum.accumulate(np.where(fresh | header, np.arange(len(said)), -1))
+            stays = np.where(tells < 0, state, said[tells])
+            state, last = bool(stays[-1]), (name[-1].as_py(), block[-1], number[-1])
+            yield batch.filter(pa.array(stays)).select(kept.names)
+
+    return lines.mapInArrow(select, kept)
+
+
 def gather(assigned: DataFrame) -> DataFrame:
     """One row per entry: its header, its continuation lines, where its trace starts.
 

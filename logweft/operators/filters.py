@@ -23,6 +23,11 @@ class Selection:
     keyword: str | None = None
     ignore_case: bool = False
 
+    @property
+    def by_header(self) -> bool:
+        """Whether headers with a real date may be rejected."""
+        return any(x is not None for x in (self.start, self.end, self.levels))
+
 
 def header_selected(layout: Layout, parsed: Column, selection: Selection) -> Column:
     """What the header alone decides: a real date, the time range, the level."""

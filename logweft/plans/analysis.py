@@ -130,7 +130,7 @@ def iter_entries(
     selection = Selection(local_bound(spark, start), local_bound(spark, end), levels)
     compiled = compile_layout(layout)
     scanned = scan_log_dir(spark, path)
-    blocks, tasks = E.staged_block_table(staging, scanned, compiled)
+    blocks, tasks = E.staged_block_table(staging, scanned, compiled, selection)
     assigned = E.assign_entries(scanned, blocks, compiled, selection, tasks)
     return E.build_entries(E.gather(assigned), compiled)
 

@@ -195,3 +195,65 @@ def test_keyword_folds_other_scripts(spark):
     df = spark.createDataFrame([("Ärger über ÉTÉ",), ("ok",)], "full_text string")
     assert filter_keyword(df, "ÜBER été", True).count() == 1
     assert df.where(F.col("full_text") == "ok").count() == 1
+
+
+def shuffled_bytes(spark, action):
+    """Bytes that the stages of an action write to shuffles."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    empty = gateway.jvm.java.util.ArrayList()
+
+    def stages():
+        found = store.stageList(empty, False, False, gateway.new_array(gateway.jvm.double, 0), empty)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    before = set(stages())
+    action()
+    return sum(n for stage, n in stages().items() if stage not in before)
+
+
+@pytest.fixture
+def in_splits(spark, logs):
+    """Two logs of long entries in splits that begin anywhere, with few errors."""
+    name = "spark.sql.files.maxPartitionBytes"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    levels = ["INFO", "DEBUG", "INFO", "ERROR", "error", "WARN", "INFO", "TRACE"]
+    text = "lost\n" + "".join(
+        f"2024-05-{1 + i % 28 if i % 11 else 31:02d} 10:{i % 60:02d}:00.000 [t{i}] {levels[i * i % 8]} a.B - {i}\n" + f"line {i} {'x' * (i % 90)}\n" * (i % 40) for i in range(400)
+    )
+    yield logs({"a.log": text, "b.log": text.replace("ERROR", "INFO", 5), "c.log": "x\n" * 500 + text[:2000]})
+    spark.conf.set(name, usual)
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize(
+    "options",
+    [{"levels": ("error",)}, {"levels": ("INFO", "trace"), "start": datetime(2024, 5, 9)}, {"end": datetime(2024, 5, 3)}, {"levels": ()}],
+    ids=["level", "both", "time", "none"],
+)
+def test_rejected_entries_go_while_reading(spark, staging, in_splits, options, monkeypatch):
+    columns = ("filename", "line_num", "timestamp", "level", "message", "message_body")
+    early = found(staging, in_splits, *columns, **options)
+    monkeypatch.setattr(E, "BROADCAST_BYTES", -1)
+    late = found(staging, in_splits, *columns, **options)
+    assert early == late and (early or options == {"levels": ()})
+    assert scan_log_dir(spark, in_splits).select("path", "start").distinct().count() > 20
+
+
+def test_shuffle_holds_selected_entries_only(spark, staging, in_splits, monkeypatch):
+    def read():
+        iter_entries(staging, in_splits, levels=("ERROR",)).write.format("noop").mode("overwrite").save()
+
+    early = shuffled_bytes(spark, read)
+    everything = shuffled_bytes(spark, lambda: iter_entries(staging, in_splits).write.format("noop").mode("overwrite").save())
+    monkeypatch.setattr(E, "BROADCAST_BYTES", -1)
+    late = shuffled_bytes(spark, read)
+    assert early < 0.4 * late and early < 0.4 * everything
+
+
+def test_lines_out_of_order_are_noticed(spark):
+    rows = [("a.log", 0, 2, None, None, "x", 1, True), ("a.log", 0, 1, None, None, "y", 1, True)]
+    lines = spark.createDataFrame(rows, "filename string, owner int, line_num long, opened long, header string, value string, block int, carried boolean")
+    with pytest.raises(Exception, match="changed between two scans"):
+        E._selected_lines(lines.coalesce(1)).collect()
