@@ -125,7 +125,7 @@ def iter_entries(
     end: datetime | None = None,
     levels: tuple[str, ...] | None = None,
 ) -> DataFrame:
-    """The entries of a log directory inside a time range."""
+    """The entries of a log directory inside a time range, in no order: sort by filename and line_num where that matters."""
     spark = staging.spark
     selection = Selection(local_bound(spark, start), local_bound(spark, end), levels)
     compiled = compile_layout(layout)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import xml.etree.ElementTree as ET
 from collections.abc import Iterable, Iterator
 
@@ -49,28 +48,21 @@ def _patterns(xml: bytes) -> Iterator[tuple[str, str, str]]:
     conversion; so is a ``pattern`` element, named after the outermost appender
     around it.
     """
-    appenders: list[str] = []
-    found: dict[int, tuple[str, str, str]] = {}
-    opened: dict[ET.Element, int] = {}
-    for event, element in ET.iterparse(io.BytesIO(xml), events=("start", "end")):
-        tag = _local(element.tag)
-        if event == "start":
-            opened[element] = len(opened)
-            if tag == "appender":
-                appenders.append(element.get("name", "").strip())
-            elif tag == "property":
-                name, value = element.get("name", "").strip(), element.get("value", "").strip()
-                if "PATTERN" in name.upper() and "%" in value:
-                    found[opened[element]] = (name, value, "property")
-        elif tag == "appender":
-            appenders.pop()
+    waiting: list[tuple[ET.Element, str | None]] = [(ET.fromstring(xml), None)]
+    while waiting:
+        element, owner = waiting.pop()
+        tag = _local(element.tag) if isinstance(element.tag, str) else ""
+        if tag == "appender":
+            owner = element.get("name", "").strip() if owner is None else owner
+        elif tag == "property":
+            name, value = element.get("name", "").strip(), element.get("value", "").strip()
+            if "PATTERN" in name.upper() and "%" in value:
+                yield name, value, "property"
         elif tag.lower() == "pattern":
             text = "".join(element.itertext()).strip()
             if "%" in text:
-                owner = appenders[0] if appenders else ""
-                found[opened[element]] = (f"{owner} Pattern".strip(), text, "encoder")
-    for place in sorted(found):
-        yield found[place]
+                yield f"{owner or ''} Pattern".strip(), text, "encoder"
+        waiting += [(child, owner) for child in reversed(element)]
 
 
 def _rows(config: str, xml: bytes) -> list[tuple]:
