@@ -32,6 +32,8 @@ CHUNK = ["batch", "chunk_file", "chunk_no"]
 LARGE_GROUPS = 1_000
 # Bits of an encounter number that hold the line; the others hold the rank of the log's name.
 LINE_BITS = 40
+# Lines that the bits of one number stand for.
+WORD = 64
 
 
 def group_id() -> Column:
@@ -113,16 +115,31 @@ def dedup_groups(identified: DataFrame) -> DataFrame:
 
 
 def line_chunks(identified: DataFrame, batch: int = 0) -> DataFrame:
-    """The line numbers of a group inside one bounded run of lines of one file."""
-    return (
-        identified.groupBy(
-            "gid",
-            F.lit(batch).alias("batch"),
-            F.col("filename").alias("chunk_file"),
-            F.floor(F.col("line_num") / LINES_PER_BLOCK).alias("chunk_no"),
-        )
-        .agg(F.count("*").alias("n"), F.sort_array(F.collect_list("line_num")).alias("lines"))
+    """The line numbers of a group inside one bounded run of lines of one file.
+
+    Lines are gathered as bits first, 64 in one number: a hash aggregate that shrinks hot groups before
+    they are shuffled. At most a thousand such numbers make a chunk.
+    """
+    line = F.col("line_num")
+    bit = F.expr(f"shiftleft(1L, CAST(line_num & {WORD - 1} AS INT))")
+    words = identified.groupBy("gid", "filename", F.floor(line / WORD).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    runs = words.groupBy(
+        "gid",
+        F.lit(batch).alias("batch"),
+        F.col("filename").alias("chunk_file"),
+        F.floor(F.col("word") * WORD / LINES_PER_BLOCK).alias("chunk_no"),
+    ).agg(
+        F.sum(F.bit_count("bits")).alias("n"), F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words")
     )
+    return runs.withColumn("lines", F.flatten(F.transform("words", _lines_of))).drop("words")
+
+
+def _lines_of(run: Column) -> Column:
+    """The line numbers that a word's bits stand for, in order."""
+    first, bits = run["word"] * WORD, run["bits"]
+    alone = F.array(first + F.length(F.bin(bits)) - 1)
+    several = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.bit_get(bits, i) == 1)
+    return F.when(F.bit_count(bits) == 1, alone).otherwise(F.transform(several, lambda i: first + i))
 
 
 def merge_groups(*batches: tuple[DataFrame, DataFrame], sizes: list[int] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -122,6 +122,27 @@ def test_merge_of_two_runs(staging, logs):
     assert again.columns == groups.columns
 
 
+@pytest.mark.parametrize("block", [64, 65_536])
+def test_line_numbers_as_bits(spark, monkeypatch, block):
+    """A group that holds a third of all lines, others that hold one here and there, and the first and last bits of words."""
+    monkeypatch.setattr(G, "LINES_PER_BLOCK", block)
+    rows = spark.range(1, 200_001, 1, 7).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 64 == 63, "last").when(F.col("id") % 64 == 0, "first")
+        .otherwise(F.concat(F.lit("g"), (F.col("id") % 5000).cast("string"))).alias("gid"),
+        F.when(F.col("id") % 2 == 0, "a.log").otherwise("b.log").alias("filename"),
+        F.col("id").alias("line_num"),
+    )
+    chunks = G.line_chunks(rows)
+    assert chunks.columns == ["gid", "batch", "chunk_file", "chunk_no", "n", "lines"]
+    found = chunks.select("gid", F.col("chunk_file").alias("filename"), "chunk_no", F.explode("lines").alias("line_num"))
+    assert found.where("chunk_no <> floor(line_num / {})".format(block)).count() == 0
+    found = found.drop("chunk_no")
+    assert found.exceptAll(rows).count() == 0 and rows.exceptAll(found).count() == 0
+    assert chunks.where("n <> size(lines) OR NOT lines <=> sort_array(lines)").count() == 0
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    assert "bit_or" in plan and "SortAggregate" not in plan
+
+
 def test_dashboard(spark):
     columns = "count long, timestamp string, logger string, thread string, message string, message_body string, stacktrace string"
     groups = spark.createDataFrame(
