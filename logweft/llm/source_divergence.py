@@ -36,6 +36,8 @@ LEAST_DOCS, SMOOTH, TOP = 30, 5, 50
 SCALE = 1_000_000_000
 #: Postings of a shard of terms; cells of the accumulators of a task, beyond which rows are split.
 SHARD_POSTINGS, LEAST_SHARDS, CELLS = 1 << 18, 8, 1 << 21
+#: Languages whose table, a few dozen bytes each, is broadcast.
+MOST_LANGS = 100_000
 #: Distinct terms that a task holds before it passes their counts on; bytes of text worked on at once.
 HELD, PIECE = 500_000, 1 << 20
 
@@ -219,7 +221,9 @@ def report(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Dat
     langs = known.groupBy("lang").agg(F.count(F.lit(1)).alias("many")).join(sizes, "lang", "left")
     shards = F.greatest(F.ceil(F.coalesce("postings", F.lit(0)) / SHARD_POSTINGS), F.lit(LEAST_SHARDS)).cast("long")
     blocks = F.ceil(F.col("many") * F.col("many") / CELLS).cast("long")
-    langs = langs.select("lang", shards.alias("shards"), blocks.alias("blocks"))
+    langs = written(langs.select("lang", shards.alias("shards"), blocks.alias("blocks")))
+    # Joined with by its only row, a language's index would meet in one task.
+    langs = F.broadcast(langs) if langs.count() <= MOST_LANGS else langs
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
     left = terms_.join(langs, "lang").withColumn("shard", F.pmod(F.xxhash64("term"), F.col("shards")))
     left = left.select("lang", "shard", each, "term", "postings")
