@@ -5,19 +5,18 @@ inverse document frequency of their words. Consistent weighted samples of two te
 with the probability of their weighted Jaccard similarity. Texts that agree in a band of
 samples are candidates, verified by that similarity itself.
 
-Candidates are compared with the lead of their bucket; texts that this links form classes. A
-bucket that still holds texts of different classes is cut finer: fresh samples in several tables
-divide it, and its texts meet only the leads of the finer buckets. Buckets that stay
-mixed are cut once more. So a text is compared with one lead for each of its buckets, however large
-a family of texts that are near misses of each other, and the work grows with the texts.
-
-A pair of similarity 0.8 shares a bucket with probability 0.9996, 6.6 of twenty on average. In a mixed
-bucket it then shares a finer one with probability 0.987, and of the finest with 0.95, for each of
-the buckets that it shares. It can be missed if the leads of all of these are texts that
-are not like the two. ``exact`` finds these as well, by a join on what tells texts from their leads: two
-alike texts of which one at least is not like the lead have much of this in common, so, with the
-differences in order of rising frequency, both have a common one among their first. That join
-can meet all pairs of texts that edit the same places, so it is for tables without large such families.
+Candidates are first compared with the lead of their bucket; texts that this links form classes. Only
+buckets that then hold texts of different classes are left, each set of texts once. In these every
+two texts of different classes are compared, exactly: what tells a text from a base is
+short, the overlap of two such differences gives the similarity of the texts, and it is summed along
+postings. Texts of the largest class need not be compared with each other, and links found on the way
+make further pairs needless. So no link between texts that share a bucket is left out, whatever their
+lead is like. The work on a bucket of near misses is quadratic by nature; it is cut into cells of
+two blocks of bounded size, so that neither a task nor a table holds a bucket's pairs, and a cell gives
+no more links than it takes to connect its texts.
+
+A pair of similarity 0.8 shares a bucket with probability 0.9996, 6.6 of twenty on average; a pair of 0.9 with
+1 - 2e-8. Pairs without a common bucket are no candidates.
 """
 
 from __future__ import annotations
@@ -35,11 +34,11 @@ from logweft.llm.substrings import text_key
 from logweft.llm.words import SPACE, hashes, lists, mix, shingles, slices, spans
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Texts more than this less like a lead than a link asks for are joined as they are.
-FAR_STEP = 0.3
 BANDS, ROWS = 20, 5
-#: Tables and samples to a hash of the finer signatures.
-FINER = ((6, 3), (10, 6))
+#: Texts and bytes of texts to a block of a bucket, about; two blocks are compared in one go.
+BLOCK_TEXTS, BLOCK_BYTES = 2048, 4 << 20
+#: Similarities this close to the threshold are computed anew, from both whole texts.
+CLOSE = 1e-6
 #: Buckets of words for document frequencies; the table has this size for any corpus.
 FREQUENCIES = 1 << 16
 #: Entries of the table of random variates; a sample takes the one its hash of the shingle says.
@@ -55,8 +54,8 @@ def _variates() -> tuple[np.ndarray, ...]:
     return tuple(x.astype(np.float32) for x in (1 / r, random.random(VARIATES), r, np.log(c) - r))
 
 
-def _multipliers(count: int, skip: int) -> np.ndarray:
-    return np.random.default_rng(2009 + skip).integers(1, 1 << 62, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def _multipliers(count: int) -> np.ndarray:
+    return np.random.default_rng(2009).integers(1, 1 << 62, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def word_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,15 +122,14 @@ def weighted(data: np.ndarray, offsets: np.ndarray, idf: np.ndarray) -> tuple[np
     return key[begin] << np.uint64(16), weight[order][begin] * times, np.bincount(row[order][begin], minlength=rows)
 
 
-def signatures(hash_: np.ndarray, weight: np.ndarray, counts: np.ndarray, level: int = 0) -> np.ndarray:
+def signatures(hash_: np.ndarray, weight: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Band hashes of the rows that have shingles: improved consistent weighted samples, some to a band."""
-    bands, samples = ((BANDS, ROWS), *FINER)[level]
     shrink, beta, r, rest = _variates()
     starts = np.cumsum(counts) - counts
     log = np.log(weight).astype(np.float32)
-    out = np.empty((len(counts), bands), np.uint64)
+    out = np.empty((len(counts), BANDS), np.uint64)
     own = mix(hash_)
-    for k, multiplier in enumerate(_multipliers(bands * samples, level)):
+    for k, multiplier in enumerate(_multipliers(BANDS * ROWS)):
         entry = ((own * multiplier) >> _UP).astype(np.int64)
         shift = beta[entry]
         level = np.floor(log * shrink[entry] + shift)
@@ -139,29 +137,28 @@ def signatures(hash_: np.ndarray, weight: np.ndarray, counts: np.ndarray, level:
         least = np.flatnonzero(value == np.repeat(np.minimum.reduceat(value, starts), counts))
         place = least[np.searchsorted(least, starts)]
         sample = own[place] + level[place].astype(np.int64).view(np.uint64) * multiplier
-        band = out[:, k // samples]
-        if k % samples == 0:
-            band[:] = np.uint64(k // samples)
+        band = out[:, k // ROWS]
+        if k % ROWS == 0:
+            band[:] = np.uint64(k // ROWS)
         band[:] = mix(band ^ sample)
     return out
 
 
-def _signed(rows: DataFrame, idf: np.ndarray, level: int = 0) -> DataFrame:
+def _signed(rows: DataFrame, idf: np.ndarray) -> DataFrame:
     """The rows with ``bands``, those of texts without words empty, in place of their ``text``."""
     shared = rows.sparkSession.sparkContext.broadcast(idf)
     own = [c for c in rows.columns if c != "text"]
-    many = (BANDS, *(tables for tables, _ in FINER))[level]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in slices(batch.column("text")):
                 hash_, weight, counts = weighted(data, offsets, shared.value)
                 some = counts > 0
-                bands = np.zeros((len(counts), many), np.uint64)
+                bands = np.zeros((len(counts), BANDS), np.uint64)
                 if some.any():
-                    bands[some] = signatures(hash_, weight, counts[some], level)
+                    bands[some] = signatures(hash_, weight, counts[some])
                 part = batch.slice(first, end - first)
-                values = lists(bands[some].ravel().view(np.int64), np.where(some, many, 0), pa.int64())
+                values = lists(bands[some].ravel().view(np.int64), np.where(some, BANDS, 0), pa.int64())
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), values], names=[*own, "bands"])
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in own)
@@ -169,26 +166,130 @@ def _signed(rows: DataFrame, idf: np.ndarray, level: int = 0) -> DataFrame:
 
 
 def mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """(band, number, root): the members of buckets of three texts or more that hold texts of different classes."""
+    """(band, number, root): the members of buckets of three texts or more that hold texts of different classes.
+
+    Of buckets with the same texts only one is given. Smaller buckets were compared with their lead.
+    """
     rows = buckets.select("band", "number").join(roots.withColumnRenamed("id", "number"), "number", "left")
     rows = rows.withColumn("root", F.coalesce("root", "number"))
-    several = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
-    return rows.join(several.where("n > 2 AND least <> most").select("band"), "band")
+    same = [F.bit_xor(F.xxhash64("number", F.lit(seed))).alias(f"same{seed}") for seed in (0, 1)]
+    several = rows.groupBy("band").agg(
+        F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most"), *same
+    )
+    once = several.where("n > 2 AND least <> most").groupBy("n", "least", "most", "same0", "same1").agg(F.min("band").alias("band"))
+    return rows.join(once.select("band"), "band")
 
 
-def cut_finer(members: DataFrame, texts: DataFrame, idf: np.ndarray, level: int) -> DataFrame:
-    """``members`` of mixed buckets (band, number, root) in finer buckets of their bucket."""
-    rows = texts.join(members.select("number").distinct(), "number").select("number", "text")
-    signed = _signed(rows, idf, level).withColumnRenamed("bands", "tables")
-    finer = F.explode(F.transform("tables", lambda t: F.xxhash64("band", t))).alias("band")
-    return members.join(signed, "number").select("number", "root", finer)
+def cells(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(band, one, other, side, number, root, text): buckets cut into blocks, a cell for every two blocks of one.
+
+    Rows of block ``one`` have side 0, those of block ``other`` side 1. A bucket of one block is one
+    cell. ``texts`` are (number, text).
+    """
+    sized = members.join(texts.select("number", F.octet_length("text").alias("bytes")), "number")
+    held = sized.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_TEXTS, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    held = held.select("band", F.greatest(blocks, F.lit(1)).alias("blocks"))
+    rows = members.join(held, "band").withColumn("own", F.pmod(F.xxhash64("number", F.lit(2)), "blocks").cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(
+        "band", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("other"),
+        (F.col("own") > F.col("with")).cast("int").alias("side"), "number", "root",
+    )
+    return rows.join(texts.select("number", "text"), "number")
+
+
+def common_part(sets: list) -> tuple[np.ndarray, np.ndarray]:
+    """What half of the sets hold or more: no set is far from it if they are alike, and it is short if they are."""
+    hashes_, weights = (np.concatenate([own[i] for own in sets]) for i in (0, 1))
+    hashes_, first, times = np.unique(hashes_, return_index=True, return_counts=True)
+    often = 2 * times >= len(sets)
+    return hashes_[often], weights[first[often]]
+
+
+def links_between(sets: list, sides: np.ndarray, roots: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that connect the texts ``sets`` as all links between texts of different classes do.
+
+    ``sets`` are sorted hashes with weights. If there are two sides, only texts of different sides are
+    compared. With d the difference of a text from a base, negative weights apart, the common weight
+    of two texts is the base's, less the negative parts of both, and the overlap of their
+    differences; so postings of differences are all there is to sum.
+    """
+    size, label = len(sets), np.unique(roots, return_inverse=True)[1]
+    often = np.bincount(label)
+    if len(often) < 2:
+        return []
+    apart = sides.min() != sides.max()
+    base = common_part(sets)
+    found = [difference(own, base, similarity)[:2] for own in sets]
+    counts = np.array([len(hash_) for hash_, _ in found])
+    hashes_, weights = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+    row = np.repeat(np.arange(size), counts)
+    less = np.bincount(row, np.where(hashes_ & np.uint64(1), weights, 0), size)
+    whole = np.array([own[1].sum() for own in sets])
+    order = np.lexsort((row, hashes_))
+    hashes_, weights, row = hashes_[order], weights[order], row[order]
+    fresh = np.ones(len(hashes_), bool)
+    fresh[1:] = hashes_[1:] != hashes_[:-1]
+    starts = np.flatnonzero(fresh)
+    many = np.diff(np.append(starts, len(hashes_)))
+    item = np.cumsum(fresh) - 1
+    # Rows of the elements that others have too, in order of the text: where an element's postings are.
+    mine = np.flatnonzero(many[item] > 1)
+    mine = mine[np.argsort(row[mine], kind="stable")]
+    ends = np.cumsum(np.bincount(row[mine], minlength=size))
+    links = []
+    for i in np.flatnonzero(label != often.argmax()):
+        own = mine[ends[i - 1] if i else 0 : ends[i]]
+        times = many[item[own]]
+        at = np.repeat(starts[item[own]] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+        overlap = np.bincount(row[at], np.minimum(weights[at], np.repeat(weights[own], times)), size)
+        common = base[1].sum() - less[i] - less + overlap
+        alike = common / (whole[i] + whole - common)
+        near = (alike >= similarity - CLOSE) & (label != label[i])
+        if apart:
+            near &= sides != sides[i]
+        for j in np.flatnonzero(near):
+            if label[j] == label[i]:
+                continue
+            if alike[j] < similarity + CLOSE and jaccard(sets[i], sets[j]) < similarity:
+                continue
+            links.append((int(i), int(j)))
+            label[label == label[j]] = label[i]
+    return links
+
+
+def linked(members: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+    """Links (a, b) that connect the members (band, number, root) of each bucket as all its links do."""
+    shared = members.sparkSession.sparkContext.broadcast(idf)
+    place = ["band", "one", "other"]
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, rows = None, []
+
+        def done() -> pa.RecordBatch:
+            numbers, roots, sides = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+            pairs = np.array(links_between([r[3] for r in rows], sides, roots, similarity), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(numbers[pairs[:, 0]]), pa.array(numbers[pairs[:, 1]])], names=["a", "b"])
 
+        for batch in batches:
+            for first, end, data, offsets in slices(batch.column("text")):
+                hash_, weight, counts = weighted(data, offsets, shared.value)
+                ends = np.cumsum(counts)
+                part = batch.slice(first, end - first)
+                where = zip(*(part.column(c).to_pylist() for c in (*place, "number", "root", "side")), strict=True)
+                for k, (band, one, other, number, root, side) in enumerate(where):
+                    if (band, one, other) != cell:
+                        if rows:
+                            yield done()
+                        cell, rows = (band, one, other), []
+                    own = slice(ends[k] - counts[k], ends[k])
+                    rows.append((number, root, side, (hash_[own].copy(), weight[own].copy())))
+        if rows:
+            yield done()
 
-def led(members: DataFrame) -> DataFrame:
-    """Pairs (number, lead), each once: a bucket's texts of other classes than its lead, with the lead."""
-    lead = members.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "number"), "number", "root")).alias("lead"))
-    rows = members.join(lead, "band").where("root <> lead.root")
-    return rows.select(F.greatest("number", "lead.number").alias("number"), F.least("number", "lead.number").alias("lead")).distinct()
+    rows = cells(members, texts).repartition(*place).sortWithinPartitions(*place, "number")
+    return rows.mapInArrow(link, "a long, b long")
 
 
 def _beside(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -233,9 +334,6 @@ def jaccard(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.nda
     return float(least / total) if total > 0 else 0.0
 
 
-_ITEMS = "lead long, number long, linked boolean, short double, long double, hash array<bigint>, weight array<double>"
-
-
 def difference(own: tuple, lead: tuple, similarity: float) -> tuple[np.ndarray, np.ndarray, float, float]:
     """What tells a text from its lead, as hashes (odd where the lead has more) with weights, and the
     overlap of differences that a link needs: with a text that is not like the lead, and with any."""
@@ -250,105 +348,14 @@ def difference(own: tuple, lead: tuple, similarity: float) -> tuple[np.ndarray,
     return hashes_, more, (total + share * (its - mine)) / 2, (total - share * (its + mine)) / 2
 
 
-def _differences(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
-    shared = pairs.sparkSession.sparkContext.broadcast(idf)
-
-    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [difference(*both, similarity) for both in _both(batch, shared.value)]
-            counts = np.array([len(f[0]) for f in found], np.int64)
-            hashes_, weights = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.uint64) for i in (0, 1))
-            linked = batch.column("linked").to_numpy(zero_copy_only=False)
-            short = np.array([f[2] for f in found])
-            long = np.where(linked, short, [f[3] for f in found])
-            columns = [lists(hashes_.view(np.int64), counts, pa.int64()), lists(weights, counts, pa.float64())]
-            arrays = [batch.column("lead"), batch.column("number"), batch.column("linked"), pa.array(short), pa.array(long), *columns]
-            yield pa.RecordBatch.from_arrays(arrays, names=["lead", "number", "linked", "short", "long", "hash", "weight"])
-
-    rows = _beside(pairs, texts).select("number", "lead", "linked", "left", "right")
-    return rows.mapInArrow(differ, _ITEMS)
-
-
-def _wholes(texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
-    """The texts themselves as items, as if their lead were empty: a link needs that part of either's weight."""
-    shared = texts.sparkSession.sparkContext.broadcast(idf)
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, end, data, offsets in slices(batch.column("text")):
-                hash_, weight, counts = weighted(data, offsets, shared.value)
-                rows = len(counts)
-                need = pa.array(similarity * np.bincount(np.repeat(np.arange(rows), counts), weight, rows))
-                columns = [lists(hash_.view(np.int64), counts, pa.int64()), lists(weight, counts, pa.float64())]
-                number = batch.column("number").slice(first, rows)
-                arrays = [pa.array(np.full(rows, -1)), number, pa.array(np.zeros(rows, bool)), need, need, *columns]
-                yield pa.RecordBatch.from_arrays(arrays, names=["lead", "number", "linked", "short", "long", "hash", "weight"])
-
-    return texts.select("number", "text").mapInArrow(weigh, _ITEMS)
-
-
-def _rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each item the elements that do not fit behind the overlap needed, in order of rising frequency."""
-    for batch in batches:
-        parts = batch.column("all")
-        hash_, weight, times = (parts.flatten().field(n).to_numpy(zero_copy_only=False) for n in ("hash", "weight", "times"))
-        counts = np.diff(parts.offsets.to_numpy())
-        row = np.repeat(np.arange(len(counts)), counts)
-        order = np.lexsort((hash_, times, row))
-        ends = np.cumsum(counts)
-        before = np.concatenate([[0.0], np.cumsum(weight[order])])
-        from_here = before[ends][row] - before[:-1]
-        short, long = (batch.column(n).to_numpy()[row] for n in ("short", "long"))
-        slack = 1e-6 * np.abs(before[ends] - before[ends - counts])[row]
-        chosen = (from_here >= long - slack) & (times[order] > 1)
-        at = row[chosen]
-        arrays = [batch.column(n).take(pa.array(at)) for n in ("lead", "number", "linked")]
-        near = from_here[chosen] >= short[chosen] - slack[chosen]
-        yield pa.RecordBatch.from_arrays([*arrays, pa.array(hash_[order][chosen]), pa.array(near)], names=["lead", "number", "linked", "hash", "near"])
-
-
-def _sharing(met: DataFrame, texts: DataFrame, roots: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
-    """Pairs (number, lead) of different classes, first the greater, that may be alike.
-
-    ``met`` has the texts of buckets and their leads with the ``similarity`` of both. Texts that are
-    far from the lead are joined as they are, the others by their differences from it. If one
-    of an alike pair is not far, the other is no further than a link more, since distances
-    (1 - similarity) add up; so every alike pair with a common lead is in one of the joins.
-    """
-    mixed = met.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("least"))
-    mixed = mixed.where((F.col("n") > 1) & (F.col("least") < similarity)).select("lead")
-    met = written(met.join(mixed, "lead").withColumn("linked", F.col("similarity") >= similarity))
-    near = met.where(F.col("similarity") >= 2 * similarity - 1 - FAR_STEP).select("number", "lead", "linked")
-    far = met.where(F.col("similarity") < similarity - FAR_STEP).select("number").distinct()
-    items = _differences(near, texts, idf, similarity).union(_wholes(texts.join(far, "number"), idf, similarity))
-    items = written(items)
-    each = items.select("lead", "number", F.explode(F.arrays_zip("hash", "weight")).alias("s")).select("lead", "number", "s.*")
-    common = each.groupBy("lead", "hash").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    counted = each.join(common, ["lead", "hash"], "left").withColumn("times", F.coalesce("times", F.lit(1)))
-    counted = counted.groupBy("lead", "number").agg(F.collect_list(F.struct("hash", "weight", "times")).alias("all"))
-    counted = counted.join(items.drop("hash", "weight"), ["lead", "number"])
-    first = counted.mapInArrow(_rarest, "lead long, number long, linked boolean, hash long, near boolean")
-    first = first.join(roots.withColumnRenamed("id", "number"), "number", "left").withColumn("root", F.coalesce("root", "number"))
-    first = written(first)
-    several = first.groupBy("lead", "hash").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
-    first = first.join(several.select("lead", "hash"), ["lead", "hash"])
-    a, b = first.alias("a"), first.alias("b")
-    same = (F.col("a.lead") == F.col("b.lead")) & (F.col("a.hash") == F.col("b.hash"))
-    apart = (F.col("a.number") > F.col("b.number")) & (F.col("a.root") != F.col("b.root")) & ~(F.col("a.linked") & F.col("b.linked"))
-    close = F.col("a.linked") | F.col("b.linked") | (F.col("a.near") & F.col("b.near"))
-    found = a.join(b, same & apart & close).select(F.col("a.number").alias("number"), F.col("b.number").alias("lead")).distinct()
-    release(met, items)
-    return found
-
-
-def classes(docs: DataFrame, similarity: float = SIMILARITY, exact: bool = False) -> DataFrame:
+def classes(docs: DataFrame, similarity: float = SIMILARITY, exact: bool = True) -> DataFrame:
     """(key, class_id, class_size, stays): the class of each distinct text by its digest.
 
     A class is connected by links of at least ``similarity``; its id is the least doc_id in it (null if
     all are null), its size the documents in it. ``stays`` marks the text of that document, of several
     the one with the least digest. Equal texts share a class; null is the empty text.
-    Texts without words are linked with nothing but their copies. ``exact`` adds the links between
-    texts of a bucket that are like no lead, see above.
+    Texts without words are linked with nothing but their copies. Without ``exact`` texts are compared
+    with the leads of their buckets only, and links between texts that are like no lead are missing.
     """
     rows = docs.select(text_key().alias("key"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     idf = rarity(*frequencies(docs))
@@ -374,19 +381,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, exact: bool = False
     alike = F.col("similarity") >= similarity
     links = met.where(alike).select(F.col("number").alias("a"), F.col("lead").alias("b"))
     found = components(links)
-    finer, used = buckets, []
-    for level in range(1, len(FINER) + 1):
-        finer = written(cut_finer(mixed(finer, found), texts, idf, level))
-        more = written(compared(led(finer), texts, idf))
-        used += [finer, more]
-        if more.isEmpty():
-            break
-        links = links.union(more.where(alike).select(F.col("number").alias("a"), F.col("lead").alias("b")))
-        found = components(links)
+    used = []
     if exact:
-        more = written(compared(_sharing(met, texts, found, idf, similarity), texts, idf))
-        used.append(more)
-        found = components(links.union(more.where(alike).select(F.col("number").alias("a"), F.col("lead").alias("b"))))
+        members = written(mixed(buckets, found))
+        more = written(linked(members, texts, idf, similarity))
+        used = [members, more]
+        if not more.isEmpty():
+            found = components(links.union(more))
     result = signed.join(found.withColumnRenamed("id", "number"), "number", "left").withColumn("root", F.coalesce("root", "number"))
     lead = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))).alias("lead")
     whole = result.groupBy("root").agg(lead, F.sum("copies").alias("class_size"))

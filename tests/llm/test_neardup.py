@@ -114,6 +114,46 @@ def test_links_away_from_every_lead(spark):
     assert sum(found[i] == found[j] for i, j in linked) >= 0.99 * len(linked)
 
 
+def test_no_link_away_from_the_leads_is_left_out(spark):
+    """Twins inside large families of near misses: all that share a bucket are in one class, whatever its lead."""
+    rows = []
+    for family in range(4):
+        base = words(650 + family, 100, 5000).split()
+        for i in range(300):
+            one = edited(base, 4 + i % 12, 1000 * family + i, lambda k, r: f"n{r.integers(1 << 40)}")
+            rows += [" ".join(one), " ".join(edited(one, 4, 7 + i, lambda k, r: f"m{r.integers(1 << 40)}"))]
+    docs = frame(spark, [(i, t, "en", "a") for i, t in enumerate(rows)]).repartition(4)
+    idf = N.rarity(*N.frequencies(docs))
+    one, bands = sets(rows, idf), N.signatures(*N.weighted(*flat(pa.array(rows)), idf))
+    twins = [i for i in range(0, len(rows), 2) if N.jaccard(one[i], one[i + 1]) >= 0.6 and (bands[i] == bands[i + 1]).any()]
+    found = {r.doc_id: r.class_id for r in N.report(docs, 0.6).collect()}
+    assert len(twins) > 200 and [i for i in twins if found[i] != found[i + 1]] == []
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_links_of_a_bucket_against_all_pairs(spark, blocks, monkeypatch):
+    """The cells of a bucket connect what all its links connect, links at the threshold itself too."""
+    monkeypatch.setattr(N, "BLOCK_TEXTS", -(-90 // blocks))
+    base, idf = words(640, 44, 5000).split(), np.ones(N.FREQUENCIES, np.float32)
+    texts = [" ".join(base), " ".join(base[:-4] + ["x"])] + ["one two three four five six seven", "one two"]
+    texts += [" ".join(edited(base, i % 3, i // 3, lambda k, r: f"n{r.integers(9)}")) for i in range(86)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "number long, text string")
+    members = rows.selectExpr("7L AS band", "number", "CASE WHEN number % 9 = 0 THEN 0L ELSE number END AS root")
+    assert N.cells(members, rows).select("one", "other").distinct().count() == blocks * (blocks + 1) // 2
+    got = [(r.a, r.b) for r in N.linked(members, rows, idf, 0.8).collect()]
+    one, all_ = sets(texts, idf), [(i, 0) for i in range(0, 90, 9)]
+    links = [(i, j) for i in range(90) for j in range(i) if N.jaccard(one[i], one[j]) >= 0.8]
+    assert all((max(p), min(p)) in links for p in got) and len(got) <= 89 * blocks * (blocks + 1) // 2
+
+    def classes(pairs):
+        label = list(range(90))
+        for a, b in pairs:
+            label = [label[a] if x == label[b] else x for x in label]
+        return {frozenset(i for i in range(90) if label[i] == x) for x in label}
+
+    assert classes(got + all_) == classes(links + all_)
+
+
 def test_one_of_each_class_stays(copies, nothing):
     kept = N.kept(copies)
     assert kept.columns == copies.columns
