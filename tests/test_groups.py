@@ -88,6 +88,18 @@ def test_a_group_is_one_row_whatever_its_size(spark, chunk, monkeypatch):
     assert all(len(r["lines"]) == r["n"] <= chunk for r in rows)
 
 
+def test_texts_of_a_log_do_not_meet_in_a_task(staging, spark):
+    """Entries are not dealt by the name of their log, even where nothing is known to be small."""
+    identified = staging.write(G.with_group_id(many_entries(spark, 900)), "entries")
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = G.dedup_groups(identified)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert "BroadcastHashJoin [filename" in plan and "SortMergeJoin [filename" not in plan
+
+
 @pytest.mark.parametrize("share", [1, 1_000])
 def test_chunks_of_large_groups_are_joined_apart(spark, share, monkeypatch):
     monkeypatch.setattr(G, "LARGE_GROUPS", share)
