@@ -3,6 +3,7 @@ import pyarrow as pa
 import pytest
 from helpers_llm import frame, words
 
+import corpus_pipeline
 from logweft.llm import neardup as N
 from logweft.llm.components import components
 from logweft.llm.words import flat
@@ -130,6 +131,23 @@ def test_no_link_away_from_the_leads_is_left_out(spark):
     assert len(twins) > 200 and [i for i in twins if found[i] != found[i + 1]] == []
 
 
+def test_the_pipeline_keeps_one_of_two_linked_texts(spark, monkeypatch):
+    """Its stage finds the links that are away from every lead, too: twins that share a bucket do not both stay."""
+    monkeypatch.setattr(N.kept, "__defaults__", (0.6,))
+    rows = []
+    for family in range(4):
+        base = words(650 + family, 100, 5000).split()
+        for i in range(300):
+            one = edited(base, 4 + i % 12, 1000 * family + i, lambda k, r: f"n{r.integers(1 << 40)}")
+            rows += [" ".join(one), " ".join(edited(one, 4, 7 + i, lambda k, r: f"m{r.integers(1 << 40)}"))]
+    docs = frame(spark, [(i, t, "en", "a") for i, t in enumerate(rows)]).repartition(4)
+    idf = N.rarity(*N.frequencies(docs))
+    one, bands = sets(rows, idf), N.signatures(*N.weighted(*flat(pa.array(rows)), idf))
+    twins = [i for i in range(0, len(rows), 2) if N.jaccard(one[i], one[i + 1]) >= 0.6 and (bands[i] == bands[i + 1]).any()]
+    stays = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").select("doc_id").collect()}
+    assert len(twins) > 200 and [i for i in twins if {i, i + 1} <= stays] == []
+
+
 @pytest.mark.parametrize("blocks", [1, 3])
 def test_links_of_a_bucket_against_all_pairs(spark, blocks, monkeypatch):
     """The cells of a bucket connect what all its links connect, links at the threshold itself too."""
