@@ -100,6 +100,15 @@ def test_texts_of_a_log_do_not_meet_in_a_task(staging, spark):
     assert "BroadcastHashJoin [filename" in plan and "SortMergeJoin [filename" not in plan
 
 
+def test_texts_are_dealt_evenly_even_where_groups_are_few(staging, spark):
+    """Not broadcast to, as a task would read all that one task before it has moved."""
+    identified = staging.write(G.with_group_id(many_entries(spark, 900)), "entries")
+    groups = G.dedup_groups(identified)
+    assert sum(r["count"] for r in groups.collect()) == 900
+    plan = groups._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [encounter" in plan and "BroadcastHashJoin [encounter" not in plan
+
+
 @pytest.mark.parametrize("share", [1, 1_000])
 def test_chunks_of_large_groups_are_joined_apart(spark, share, monkeypatch):
     monkeypatch.setattr(G, "LARGE_GROUPS", share)
