@@ -16,7 +16,10 @@ two blocks of bounded size, so that neither a task nor a table holds a bucket's
 no more links than it takes to connect its texts.
 
 A pair of similarity 0.8 shares a bucket with probability 0.9996, 6.6 of twenty on average; a pair of 0.9 with
-1 - 2e-8. Pairs without a common bucket are no candidates.
+1 - 2e-8. The rest is found by prefixes, exactly: with the shingles of all texts in one order, two texts
+that are alike share some of those that make up the first fifth of each text's weight. Pairs of different
+classes that share so much that the remaining weight may suffice meet in a bucket of their own, and are compared
+like the others. The order only decides how many pairs there are: shingles that are common in a sample come last.
 """
 
 from __future__ import annotations
@@ -39,6 +42,12 @@ BANDS, ROWS = 20, 5
 BLOCK_TEXTS, BLOCK_BYTES = 2048, 4 << 20
 #: Similarities this close to the threshold are computed anew, from both whole texts.
 CLOSE = 1e-6
+#: Documents in the sample that tells common shingles, about, or their least share; how many of them hold one; how many are known.
+COMMON_SAMPLE, COMMON_SHARE, COMMON_TIMES, COMMON = 20_000, 0.01, 3, 1 << 19
+#: Texts whose digests are broadcast to find them, at most.
+FEW = 1 << 14
+#: Bounds on weights that have been rounded are taken this much wider.
+ROUNDED = 1e-5
 #: Buckets of words for document frequencies; the table has this size for any corpus.
 FREQUENCIES = 1 << 16
 #: Entries of the table of random variates; a sample takes the one its hash of the shingle says.
@@ -145,7 +154,7 @@ def signatures(hash_: np.ndarray, weight: np.ndarray, counts: np.ndarray) -> np.
 
 
 def _signed(rows: DataFrame, idf: np.ndarray) -> DataFrame:
-    """The rows with ``bands``, those of texts without words empty, in place of their ``text``."""
+    """The rows with ``bands``, those of texts without words empty, and ``whole``, their weight, in place of their ``text``."""
     shared = rows.sparkSession.sparkContext.broadcast(idf)
     own = [c for c in rows.columns if c != "text"]
 
@@ -159,16 +168,105 @@ def _signed(rows: DataFrame, idf: np.ndarray) -> DataFrame:
                     bands[some] = signatures(hash_, weight, counts[some])
                 part = batch.slice(first, end - first)
                 values = lists(bands[some].ravel().view(np.int64), np.where(some, BANDS, 0), pa.int64())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), values], names=[*own, "bands"])
+                whole = pa.array(np.bincount(np.repeat(np.arange(len(counts)), counts), weight, len(counts)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), values, whole], names=[*own, "bands", "whole"])
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in own)
-    return rows.mapInArrow(sign, f"{kinds}, bands array<bigint>")
+    return rows.mapInArrow(sign, f"{kinds}, bands array<bigint>, whole double")
 
 
-def mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """(band, number, root): the members of buckets of three texts or more that hold texts of different classes.
+def common_shingles(docs: DataFrame, idf: np.ndarray, documents: int) -> np.ndarray:
+    """Sorted hashes of shingles that several documents of a sample hold, the most frequent first if they are many."""
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
+    share = min(1.0, max(COMMON_SHARE, COMMON_SAMPLE / max(documents, 1)))
+    texts = docs.select(text_key().alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    drawn = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20))
 
-    Of buckets with the same texts only one is given. Smaller buckets were compared with their lead.
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in slices(batch.column(0)):
+                hash_ = weighted(data, offsets, shared.value)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(hash_.view(np.int64))], names=["hash"])
+
+    counted = texts.where(drawn).select("text").mapInArrow(own, "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    often = counted.where(F.col("n") >= COMMON_TIMES).orderBy(F.desc("n"), "hash").limit(COMMON).select("hash").toArrow()
+    return np.sort(often["hash"].to_numpy().view(np.uint64))
+
+
+def prefixes(
+    hash_: np.ndarray, weight: np.ndarray, counts: np.ndarray, common: np.ndarray, similarity: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the shingles that each row begins with: row, hash, weight, and the row's weight from there on.
+
+    The order is the same in all texts: common shingles last, else by hash. What follows a prefix weighs less than
+    ``similarity`` of the text, so it cannot hold all that the text has in common with one that is like it.
+    """
+    row = np.repeat(np.arange(len(counts)), counts)
+    late = np.isin(hash_, common)
+    order = np.argsort(row * 2 + late, kind="stable")
+    hash_, weight = hash_[order], weight[order]
+    whole = np.bincount(row, weight, len(counts))[row]
+    total = np.concatenate([[0.0], np.cumsum(weight)])
+    before = total[:-1] - np.repeat(total[np.cumsum(counts) - counts], counts)
+    some = before <= (1 - similarity + CLOSE) * whole
+    return row[some], hash_[some], weight[some], (whole - before)[some]
+
+
+def heads(rows: DataFrame, idf: np.ndarray, common: np.ndarray, similarity: float) -> DataFrame:
+    """(hash, own, weight, rest): the prefixes of the texts ``rows`` (own, text); a text that a task meets again counts once."""
+    shared = rows.sparkSession.sparkContext.broadcast((idf, common))
+
+    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            fresh = [own not in seen and not seen.add(own) for own in batch.column("own").to_pylist()]
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
+            own = batch.column("own").to_numpy()
+            for first, _, data, offsets in slices(batch.column("text")):
+                row, hash_, weight, rest = prefixes(*weighted(data, offsets, shared.value[0]), shared.value[1], similarity)
+                columns = [hash_.view(np.int64), own[first + row], weight.astype(np.float32), rest.astype(np.float32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hash", "own", "weight", "rest"])
+
+    return rows.mapInArrow(head, "hash long, own long, weight float, rest float")
+
+
+def _several(rows: DataFrame, name: str) -> DataFrame:
+    """The rows whose ``hash`` occurs with different values of the column ``name``."""
+    same = Window.partitionBy("hash")
+    rows = rows.repartition("hash").withColumns({"least": F.min(name).over(same), "most": F.max(name).over(same)})
+    return rows.where("least <> most").drop("least", "most")
+
+
+def neighbours(shared: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """(band, number): texts of different classes that may be alike by what their prefixes share, in buckets.
+
+    ``shared`` are rows of ``heads``, ``known`` (own, number, whole, root). At the first shingle that two texts share,
+    neither has more weight left than they can have in common; and what they share outside of their prefixes is
+    outside of the one that ends first, so weighs less than ``similarity`` of that text.
+    """
+    rows = written(_several(shared.join(known, "own").drop("own").dropDuplicates(["hash", "number"]), "root"))
+    one, other = rows.alias("one"), rows.alias("other")
+    least, most = (f(F.col("one.whole"), F.col("other.whole")) for f in (F.least, F.greatest))
+    pair = (F.col("one.hash") == F.col("other.hash")) & (F.col("one.number") < F.col("other.number"))
+    pair &= (F.col("one.root") != F.col("other.root")) & (least >= similarity * (1 - ROUNDED) * most)
+    need = similarity / (1 + similarity) * (1 - ROUNDED) * (least + most)
+    met = one.join(other, pair).groupBy(F.col("one.number").alias("a"), F.col("other.number").alias("b")).agg(
+        F.min("one.hash").alias("band"),
+        F.max(F.least("one.rest", "other.rest")).alias("rest"),
+        F.sum(F.least("one.weight", "other.weight")).alias("common"),
+        F.max(need).alias("need"),
+        F.max(similarity * most).alias("beyond"),
+    )
+    met = met.where("rest >= need AND common + beyond >= need")
+    found = written(met.select("band", F.explode(F.array("a", "b")).alias("number")).distinct())
+    release(rows)
+    return found
+
+
+def mixed(buckets: DataFrame, roots: DataFrame, least: int = 3) -> DataFrame:
+    """(band, number, root): the members of buckets of ``least`` texts or more that hold texts of different classes.
+
+    Of buckets with the same texts only one is given. Buckets of bands that are smaller were compared with their lead.
     """
     rows = buckets.select("band", "number").join(roots.withColumnRenamed("id", "number"), "number", "left")
     rows = rows.withColumn("root", F.coalesce("root", "number"))
@@ -176,7 +274,7 @@ def mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     several = rows.groupBy("band").agg(
         F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most"), *same
     )
-    once = several.where("n > 2 AND least <> most").groupBy("n", "least", "most", "same0", "same1").agg(F.min("band").alias("band"))
+    once = several.where(F.col("n") >= least).where("least <> most").groupBy("n", "least", "most", "same0", "same1").agg(F.min("band").alias("band"))
     return rows.join(once.select("band"), "band")
 
 
@@ -348,6 +446,19 @@ def difference(own: tuple, lead: tuple, similarity: float) -> tuple[np.ndarray,
     return hashes_, more, (total + share * (its - mine)) / 2, (total - share * (its + mine)) / 2
 
 
+def _texts(rows: DataFrame, signed: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(number, text) of these numbers: the text of one document of each, rows that repeat it are dropped.
+
+    Where the numbers are few they are broadcast, and no other text moves.
+    """
+    wanted = signed.join(numbers, "number").select("number", "key", "doc_id")
+    texts = rows.withColumn("known", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+    wanted = wanted.withColumn("known", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+    if numbers.count() <= FEW:
+        wanted = F.broadcast(wanted)
+    return written(texts.join(wanted, ["key", "doc_id", "known"]).select("number", "text").dropDuplicates(["number"]))
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY, exact: bool = True) -> DataFrame:
     """(key, class_id, class_size, stays): the class of each distinct text by its digest.
 
@@ -358,9 +469,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, exact: bool = True)
     with the leads of their buckets only, and links between texts that are like no lead are missing.
     """
     rows = docs.select(text_key().alias("key"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    idf = rarity(*frequencies(docs))
+    counts, documents = frequencies(docs)
+    idf = rarity(counts, documents)
     signed = _signed(rows, idf).groupBy("key").agg(
-        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("whole").alias("whole")
     )
     signed = written(signed.select(F.monotonically_increasing_id().alias("number"), "*"))
     bands = signed.select("number", F.explode("bands").alias("band"))
@@ -371,12 +483,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, exact: bool = True)
     lead = buckets.groupBy("band").agg(F.min(F.struct(-F.col("met"), F.col("number"))).alias("lead"))
     pairs = buckets.join(lead.select("band", F.col("lead.number").alias("lead")), "band").where("number <> lead")
     pairs = written(pairs.select("number", "lead").distinct())
-    met = buckets.select("number").distinct()
-    # The text of one document of each candidate; rows that repeat it are dropped.
-    wanted = signed.join(met, "number").select("number", "key", "doc_id")
-    texts = rows.withColumn("known", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
-    wanted = wanted.withColumn("known", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
-    texts = written(texts.join(wanted, ["key", "doc_id", "known"]).select("number", "text").dropDuplicates(["number"]))
+    texts = _texts(rows, signed, buckets.select("number").distinct())
     met = written(compared(pairs, texts, idf).distinct())
     alike = F.col("similarity") >= similarity
     links = met.where(alike).select(F.col("number").alias("a"), F.col("lead").alias("b"))
@@ -385,9 +492,21 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, exact: bool = True)
     if exact:
         members = written(mixed(buckets, found))
         more = written(linked(members, texts, idf, similarity))
-        used = [members, more]
         if not more.isEmpty():
             found = components(links.union(more))
+        known = signed.select(F.xxhash64("key").alias("own"), "number", "whole").join(found.withColumnRenamed("id", "number"), "number", "left")
+        known = known.withColumn("root", F.coalesce("root", "number"))
+        first = heads(rows.select(F.xxhash64("key").alias("own"), "text"), idf, common_shingles(docs, idf, documents), similarity)
+        shared = written(_several(first, "own"))
+        near = neighbours(shared, known, similarity)
+        used = [members, more, shared, near]
+        if not near.isEmpty():
+            members = written(mixed(near, found, 2))
+            left = _texts(rows, signed, members.select("number").distinct())
+            rest = written(linked(members, left, idf, similarity))
+            used += [members, left, rest]
+            if not rest.isEmpty():
+                found = components(links.union(more).union(rest))
     result = signed.join(found.withColumnRenamed("id", "number"), "number", "left").withColumn("root", F.coalesce("root", "number"))
     lead = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))).alias("lead")
     whole = result.groupBy("root").agg(lead, F.sum("copies").alias("class_size"))

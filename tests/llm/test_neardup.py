@@ -244,3 +244,41 @@ def test_components_of_a_path(spark):
     got = {r.id: r.root for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 150: 100, 200: 100}
     assert components(links.limit(0)).count() == 0
+
+
+def test_links_without_a_common_bucket(spark, monkeypatch):
+    """The pipeline's stage keeps one of two texts that are alike, even where no band of samples says so."""
+    monkeypatch.setattr(N.kept, "__defaults__", (0.6,))
+    rows = []
+    for i in range(400):
+        one = words(20_000 + i, 60 + i % 50, 5000).split()
+        rows += [" ".join(one), " ".join(edited(one, 2 + i % 3, i, lambda k, r: f"m{r.integers(1 << 40)}"))]
+    docs = frame(spark, [(i, t, "en", "a") for i, t in enumerate(rows)]).repartition(4)
+    idf = N.rarity(*N.frequencies(docs))
+    one, bands = sets(rows, idf), N.signatures(*N.weighted(*flat(pa.array(rows)), idf))
+    alone = [i for i in range(0, len(rows), 2) if N.jaccard(one[i], one[i + 1]) >= 0.6 and not (bands[i] == bands[i + 1]).any()]
+    stays = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").select("doc_id").collect()}
+    assert len(alone) > 10 and [i for i in alone if {i, i + 1} <= stays] == []
+
+
+def test_texts_that_are_alike_share_a_shingle_of_their_prefixes():
+    """Whatever is common: of two texts at the threshold or above, both begin with one, and have enough weight left there."""
+    texts = []
+    for i in range(120):
+        one = words(31_000 + i, 20 + i, 3000).split()
+        texts += [" ".join(one), " ".join(edited(one, 1 + i % 4, i, lambda k, r: f"m{r.integers(1 << 40)}"))]
+    idf, seen = np.random.default_rng(3).uniform(1, 9, N.FREQUENCIES).astype(np.float32), 0
+    shingles = N.weighted(*flat(pa.array(texts)), idf)
+    one = sets(texts, idf)
+    for common in (shingles[0][:0], np.sort(shingles[0][::3]), np.unique(shingles[0])):
+        row, hash_, weight, rest = N.prefixes(*shingles, common, 0.7)
+        of = [{h: (w, r) for h, w, r in zip(hash_[row == i], weight[row == i], rest[row == i], strict=True)} for i in range(len(texts))]
+        full = [own[1].sum() for own in one]
+        for i in range(0, len(texts), 2):
+            if N.jaccard(one[i], one[i + 1]) >= 0.7:
+                seen += 1
+                need = 0.7 / 1.7 * (full[i] + full[i + 1]) * (1 - N.ROUNDED)
+                both = [(of[i][h], of[i + 1][h]) for h in of[i].keys() & of[i + 1].keys()]
+                assert max(min(x[1], y[1]) for x, y in both) >= need
+                assert sum(min(x[0], y[0]) for x, y in both) + 0.7 * max(full[i], full[i + 1]) >= need
+    assert seen > 100
