@@ -17,8 +17,8 @@ no more links than it takes to connect its texts.
 
 A pair of similarity 0.8 shares a bucket with probability 0.9996, 6.6 of twenty on average; a pair of 0.9 with
 1 - 2e-8. The rest is found by prefixes, exactly: with the shingles of all texts in one order, two texts
-that are alike share some of those that make up the first fifth of each text's weight. Pairs of different
-classes that share so much that the remaining weight may suffice meet in a bucket of their own, and are compared
+that are alike share some of those that make up the first fifth of each text's weight. Classes that share one after
+which the remaining weight may suffice meet in a bucket, and their texts are compared
 like the others. The order only decides how many pairs there are: shingles that are common in a sample come last.
 """
 
@@ -44,8 +44,6 @@ BLOCK_TEXTS, BLOCK_BYTES = 2048, 4 << 20
 CLOSE = 1e-6
 #: Documents in the sample that tells common shingles, about, or their least share; how many of them hold one; how many are known.
 COMMON_SAMPLE, COMMON_SHARE, COMMON_TIMES, COMMON = 20_000, 0.01, 3, 1 << 19
-#: Texts whose digests are broadcast to find them, at most.
-FEW = 1 << 14
 #: Bounds on weights that have been rounded are taken this much wider.
 ROUNDED = 1e-5
 #: Buckets of words for document frequencies; the table has this size for any corpus.
@@ -213,7 +211,7 @@ def prefixes(
 
 
 def heads(rows: DataFrame, idf: np.ndarray, common: np.ndarray, similarity: float) -> DataFrame:
-    """(hash, own, weight, rest): the prefixes of the texts ``rows`` (own, text); a text that a task meets again counts once."""
+    """(hash, own, rest): the prefixes of the texts ``rows`` (own, text); a text that a task meets again counts once."""
     shared = rows.sparkSession.sparkContext.broadcast((idf, common))
 
     def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,11 +221,11 @@ def heads(rows: DataFrame, idf: np.ndarray, common: np.ndarray, similarity: floa
             batch = batch.filter(pa.array(fresh, pa.bool_()))
             own = batch.column("own").to_numpy()
             for first, _, data, offsets in slices(batch.column("text")):
-                row, hash_, weight, rest = prefixes(*weighted(data, offsets, shared.value[0]), shared.value[1], similarity)
-                columns = [hash_.view(np.int64), own[first + row], weight.astype(np.float32), rest.astype(np.float32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hash", "own", "weight", "rest"])
+                row, hash_, _, rest = prefixes(*weighted(data, offsets, shared.value[0]), shared.value[1], similarity)
+                columns = [hash_.view(np.int64), own[first + row], rest.astype(np.float32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["hash", "own", "rest"])
 
-    return rows.mapInArrow(head, "hash long, own long, weight float, rest float")
+    return rows.mapInArrow(head, "hash long, own long, rest float")
 
 
 def _several(rows: DataFrame, name: str) -> DataFrame:
@@ -241,25 +239,29 @@ def neighbours(shared: DataFrame, known: DataFrame, similarity: float) -> DataFr
     """(band, number): texts of different classes that may be alike by what their prefixes share, in buckets.
 
     ``shared`` are rows of ``heads``, ``known`` (own, number, whole, root). At the first shingle that two texts share,
-    neither has more weight left than they can have in common; and what they share outside of their prefixes is
-    outside of the one that ends first, so weighs less than ``similarity`` of that text.
+    neither has more weight left than they can have in common. Classes are paired, not texts: of a class at a shingle
+    its bounds are known, the largest weight that a text like one of its texts can have, and the weights of these.
+    A pair with a class of several texts goes to the bucket of the larger class, so that holds its texts once.
     """
     rows = written(_several(shared.join(known, "own").drop("own").dropDuplicates(["hash", "number"]), "root"))
-    one, other = rows.alias("one"), rows.alias("other")
-    least, most = (f(F.col("one.whole"), F.col("other.whole")) for f in (F.least, F.greatest))
-    pair = (F.col("one.hash") == F.col("other.hash")) & (F.col("one.number") < F.col("other.number"))
-    pair &= (F.col("one.root") != F.col("other.root")) & (least >= similarity * (1 - ROUNDED) * most)
-    need = similarity / (1 + similarity) * (1 - ROUNDED) * (least + most)
-    met = one.join(other, pair).groupBy(F.col("one.number").alias("a"), F.col("other.number").alias("b")).agg(
-        F.min("one.hash").alias("band"),
-        F.max(F.least("one.rest", "other.rest")).alias("rest"),
-        F.sum(F.least("one.weight", "other.weight")).alias("common"),
-        F.max(need).alias("need"),
-        F.max(similarity * most).alias("beyond"),
-    )
-    met = met.where("rest >= need AND common + beyond >= need")
-    found = written(met.select("band", F.explode(F.array("a", "b")).alias("number")).distinct())
-    release(rows)
+    members = written(rows.select("root", "number").distinct())
+    reach = F.col("rest") * ((1 + similarity) / similarity * (1 + ROUNDED)) - F.col("whole")
+    bounds = rows.groupBy("hash", "root").agg(F.max(reach).alias("reach"), F.min("whole").alias("least"), F.max("whole").alias("most"))
+    one, other = bounds.alias("one"), bounds.alias("other")
+    pair = (F.col("one.hash") == F.col("other.hash")) & (F.col("one.root") < F.col("other.root"))
+    for this, that in (("one", "other"), ("other", "one")):
+        pair &= F.col(f"{this}.reach") >= F.col(f"{that}.least")
+        pair &= F.col(f"{this}.most") >= similarity * (1 - ROUNDED) * F.col(f"{that}.least")
+    met = one.join(other, pair).groupBy(F.col("one.root").alias("a"), F.col("other.root").alias("b")).agg(F.min("one.hash").alias("band"))
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    for name in ("a", "b"):
+        met = met.join(sizes.select(F.col("root").alias(name), F.col("n").alias(f"n_{name}")), name)
+    larger = F.when(F.col("n_a") >= F.col("n_b"), F.col("a")).otherwise(F.col("b"))
+    # Hashes are even, so no class has the number of a shingle.
+    band = F.when(F.greatest("n_a", "n_b") > 1, larger * 2 + 1).otherwise(F.col("band"))
+    classes_ = met.select(band.alias("band"), F.explode(F.array("a", "b")).alias("root")).distinct()
+    found = written(classes_.join(members, "root").select("band", "number"))
+    release(rows, members)
     return found
 
 
@@ -447,15 +449,10 @@ def difference(own: tuple, lead: tuple, similarity: float) -> tuple[np.ndarray,
 
 
 def _texts(rows: DataFrame, signed: DataFrame, numbers: DataFrame) -> DataFrame:
-    """(number, text) of these numbers: the text of one document of each, rows that repeat it are dropped.
-
-    Where the numbers are few they are broadcast, and no other text moves.
-    """
+    """(number, text) of these numbers: the text of one document of each, rows that repeat it are dropped."""
     wanted = signed.join(numbers, "number").select("number", "key", "doc_id")
     texts = rows.withColumn("known", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
     wanted = wanted.withColumn("known", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
-    if numbers.count() <= FEW:
-        wanted = F.broadcast(wanted)
     return written(texts.join(wanted, ["key", "doc_id", "known"]).select("number", "text").dropDuplicates(["number"]))
 
 

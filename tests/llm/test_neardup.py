@@ -2,6 +2,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from helpers_llm import frame, words
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from logweft.llm import neardup as N
@@ -282,3 +283,19 @@ def test_texts_that_are_alike_share_a_shingle_of_their_prefixes():
                 assert max(min(x[1], y[1]) for x, y in both) >= need
                 assert sum(min(x[0], y[0]) for x, y in both) + 0.7 * max(full[i], full[i + 1]) >= need
     assert seen > 100
+
+
+def test_a_class_meets_its_near_misses_in_one_bucket(spark):
+    """Each near miss shares a shingle of its own with all texts of a class: these are not dealt out once for each."""
+    size, misses = 200, 40
+    shared = [(1000 * (j + 1), i, 95.0) for j in range(misses) for i in (*range(size), size + j)]
+    shared += [(9, size, 95.0), (9, size + 1, 95.0), (9, size + misses, 50.0), (9, size + misses + 1, 95.0)]
+    known = [(i, i, 100.0, 0 if i < size else i) for i in range(size + misses + 1)] + [(size + misses + 1, size + misses + 1, 70.0, size + misses + 1)]
+    shared = spark.createDataFrame(shared, "hash long, own long, rest float").withColumn("weight", F.lit(50).cast("float"))
+    known = spark.createDataFrame(known, "own long, number long, whole double, root long")
+    near = [(r.band, r.number) for r in N.neighbours(shared, known, 0.8).collect()]
+    assert len(near) == len(set(near)) == size + misses + 2
+    buckets = {}
+    for band, number in near:
+        buckets.setdefault(band, set()).add(number)
+    assert sorted(map(sorted, buckets.values())) == [list(range(size + misses)), [size, size + 1]]
