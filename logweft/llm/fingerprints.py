@@ -97,8 +97,8 @@ def bucketed(docs: DataFrame) -> DataFrame:
     buckets = min(MOST_BUCKETS, stats["n"] // BUCKET_ROWS + 1)
     bounds = [] if stats["top"] is None else [stats["top"]]
     if buckets > 1 and bounds:
-        shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)]) if buckets <= 256 else F.expr(
-            f"transform(sequence(1, {buckets - 1}), i -> i / {buckets}D)")
+        # Spelled as one literal: the shares must be constant, and an expression for each is slow if they are many.
+        shares = F.split(F.lit(",".join(str(i / buckets) for i in range(1, buckets))), ",").cast("array<double>")
         inner = docs.agg(F.percentile_approx("doc_id", shares, 10 * buckets)).first()[0]
         bounds += sorted(set(inner) - set(bounds), reverse=True)
     if not bounds:

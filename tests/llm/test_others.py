@@ -132,6 +132,15 @@ def test_edited_texts(messy, rows_per_bucket, monkeypatch):
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
 
 
+def test_more_buckets_than_256(spark, monkeypatch):
+    monkeypatch.setattr(P, "BUCKET_ROWS", 1)
+    rows = [(i * 7 % 601, f"t{i} a b c d e f {i % 5}") for i in range(600)]
+    docs = frame(spark, [(*r, "en", "a") for r in rows])
+    assert P.bucketed(docs.select("doc_id")).select("bucket").distinct().count() > 256
+    found = [tuple(r) for r in P.compare(docs).select("doc_id", "n_chars", "edited_sha256").collect()]
+    assert sorted(found) == sorted((d, n, hashlib.sha256(t.encode()).hexdigest()) for d, n, t in edited(rows))
+
+
 def test_ids_that_are_all_null_and_single_documents(spark, nothing):
     one = P.compare(frame(spark, [(7, "a b c d e f g h", "en", "a")])).first()
     assert one.near_next == 1 and one.edited_sha256 == hashlib.sha256(b"a b c d a b c d"[:8] + b"a b c d").hexdigest()
