@@ -5,6 +5,7 @@ import re
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from logweft import AnalysisOptions, RunOptions, Staging, analyze, detect_layout, iter_entries, run
@@ -41,6 +42,41 @@ def test_candidates(spark, logs):
     ]
 
 
+def test_configurations_are_listed_by_a_task(spark, logs, tmp_path):
+    """The driver holds no file of the directory, however many there are."""
+    folder = logs({f"{'Ll'[i % 2]}ogback-{i}.xM{'Ll'[i % 2]}": f"<a>{i}</a>" for i in range(300)})
+    found = configs.discover_configs(spark, f"file://{folder}")
+    assert found.inputFiles() == []
+    assert {(r.config, bytes(r.xml)) for r in found.collect()} == {(f"{'Ll'[i % 2]}ogback-{i}.xM{'Ll'[i % 2]}", f"<a>{i}</a>".encode()) for i in range(300)}
+    names = found.select("config")
+    assert names.count() == names.distinct().count() == 300
+    assert "BatchEvalPython" not in names._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_odd_names_of_configurations(spark, logs, tmp_path):
+    folder = logs({"logback a+%20é.xml": "<b/>", "logback.xml": "<c/>", "xlogback.xml": "", "logback.xml.bak": "", ".logback.xml": ""})
+    with open(os.path.join(folder.encode(), b"logback-\xff.xml"), "wb") as file:
+        file.write(b"<d/>")
+    for name in ("logback-dir.xml", "sub", "filename=a.log"):  # one with part files of a log is no reason to skip others
+        os.mkdir(os.path.join(folder, name))
+        for inside in ("logback-in.xml", "part-0"):
+            with open(os.path.join(folder, name, inside), "w") as file:
+                file.write("<in/>")
+    os.symlink(os.path.join(folder, "logback.xml"), os.path.join(folder, "logback-link.xml"))
+    os.symlink(os.path.join(folder, "none"), os.path.join(folder, "logback-broken.xml"))
+    expected = [("logback a+%20é.xml", b"<b/>"), ("logback-.xml", b"<d/>"), ("logback-link.xml", b"<c/>"), ("logback.xml", b"<c/>")]
+    got = [(r.config, bytes(r.xml)) for r in configs.discover_configs(spark, folder).collect()]
+    assert sorted(got) == sorted(expected)
+    other = tmp_path / "logs2"
+    other.mkdir()
+    (other / "logback-o.xml").write_text("<o/>")
+    both = configs.discover_configs(spark, f"{tmp_path}/logs*").select("config").collect()
+    assert sorted(r.config for r in both) == sorted([*[name for name, _ in expected], "logback-o.xml"])
+    assert configs.discover_configs(spark, f"{folder}/sub").count() == 1
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        configs.discover_configs(spark, f"{folder}/none")
+
+
 def test_best_layout(spark, staging, logs):
     folder = logs({"logback-a.xml": CONFIG, "logback-b.xml": CONFIG, "a.log": LINES + "tail\n" * 30})
     best = detect_layout(staging, folder).first()
